@@ -17,6 +17,8 @@ MASK64 = (1 << 64) - 1
 SYMBOLS = np.random.Generator(np.random.PCG64(20240611)).integers(1, 1 << 64, 256, dtype=np.uint64)
 SPACES = np.zeros(256, bool)
 SPACES[[0x20, *range(0x09, 0x0E)]] = True
+#: Whatever is neither an ASCII letter or digit nor part of a longer UTF-8 character.
+PUNCTUATION = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -79,12 +81,12 @@ def windows(symbols: np.ndarray, length: int) -> np.ndarray:
         span *= 2
 
 
-def words(data: bytes, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, start and end of every word of UTF-8 bytes; words are runs of other than 0x20, 0x09-0x0D."""
+def words(data: bytes, lower: bool = False, between: np.ndarray = SPACES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, start and end of every word of UTF-8 bytes; words are runs of bytes that are not `between`."""
     a = np.frombuffer(data, np.uint8)
     if not len(a):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    edge = np.diff(np.concatenate(([0], (~SPACES[a]).view(np.int8), [0])))
+    edge = np.diff(np.concatenate(([0], (~between[a]).view(np.int8), [0])))
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     return spans(prefix_sums(SYMBOLS[LOWER[a] if lower else a]), starts, ends), starts, ends
 
