@@ -6,9 +6,9 @@
 3. Within buckets, sketches are compared by their joint likelihood; a pair
    that may reach the threshold is verified on the full sets.
 4. Verified links merge groups. Pairs inside a group need no more work, so a
-   family of any size costs links in proportion to its members. Rounds ask for
-   geometrically more candidates per class and end when no pair across groups
-   is left untested.
+   family of any size costs links in proportion to its members. Early rounds
+   take each class's likeliest candidates; the last one tests every candidate
+   pair that is still across groups.
 
 Buckets over BLOCK classes are compared block by block, so that no task holds
 a whole bucket; after the first round only classes outside the bucket's
@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docquery.llm.components import components
@@ -34,9 +34,10 @@ from docquery.llm.sketch import REGISTERS, fingerprint, joint_jaccard, registers
 from docquery.llm.storage import written
 
 THRESHOLD_PERCENT = 80
-BAND, BLOCK, PAIRS = 4, 512, 1 << 14
+#: Registers per band and bands; classes in a block; pairs compared at a time; candidates per class in each round (None: all).
+BAND, BANDS, BLOCK, PAIRS, ROUNDS = 4, 32, 512, 1 << 14, (2, 4, None)
 #: Standard deviations of the estimate that a candidate may lie below the threshold.
-MARGIN = 4.0
+MARGIN = 3.5
 SKETCH = "doc_id long, n long, f1 long, f2 long, registers binary"
 
 
@@ -90,31 +91,37 @@ def _pairs_of(sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield np.concatenate(left), np.concatenate(right)
 
 
-def _candidates(batches: Iterator[pd.DataFrame], percent: int, most: int) -> Iterator[pd.DataFrame]:
-    """Pairs across groups that may reach the threshold: for each class its `most` likeliest in a block."""
+def _candidates(batches: Iterator[pd.DataFrame], percent: int, most: int | None) -> Iterator[pd.DataFrame]:
+    """Pairs across groups that may reach the threshold: for each class that asks its `most` likeliest in a block."""
     t = percent / 100
     for rows in _whole_groups(batches, ["key", "part", "other"]):
         key = rows[["key", "part", "other"]].to_numpy()
         edge = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]).any(axis=1), [True])))
         doc, label, n = (rows[c].to_numpy(np.int64) for c in ("doc_id", "label", "n"))
-        asks = rows["asks"].to_numpy(bool)
+        asks, band = rows["asks"].to_numpy(bool), rows["band"].to_numpy(np.int64)
         sketch = np.frombuffer(b"".join(rows["registers"]), np.uint16).reshape(len(rows), REGISTERS)
         failed = {d: set(x) for d, x in zip(doc.tolist(), rows["failed"], strict=True) if x is not None and len(x)}
         found = []
         for a, b in _pairs_of(np.diff(edge)):
             ok = (label[a] != label[b]) & (asks[a] | asks[b]) & (100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b])) & (doc[a] != doc[b])
             a, b = a[ok], b[ok]
-            near = (sketch[a] == sketch[b]).sum(axis=1) >= (t - 2 * MARGIN * np.sqrt(t * (1 - t) / REGISTERS)) * REGISTERS
+            same = sketch[a] == sketch[b]
+            # a pair counts in the first bucket that it shares
+            once = same[:, : BAND * BANDS].reshape(-1, BANDS, BAND).all(axis=2).argmax(axis=1) == band[a]
+            near = once & (same.sum(axis=1) >= (t - 2 * MARGIN * np.sqrt(t * (1 - t) / REGISTERS)) * REGISTERS)
             a, b = a[near], b[near]
             if failed:
                 new = np.array([min(x, y) not in failed.get(max(x, y), ()) for x, y in zip(doc[a].tolist(), doc[b].tolist(), strict=True)], bool)
                 a, b = a[new], b[new]
             likely = joint_jaccard(sketch[a], sketch[b], n[a], n[b])
             good = likely >= t - MARGIN * np.sqrt(t * (1 - t) / REGISTERS)
-            found.append(pd.DataFrame({"key": key[a[good], 0], "u": np.maximum(doc[a], doc[b])[good], "v": np.minimum(doc[a], doc[b])[good], "likely": likely[good]}))
+            a, b, likely = a[good], b[good], likely[good]
+            u, v = np.maximum(doc[a], doc[b]), np.minimum(doc[a], doc[b])
+            owner = np.where(asks[a] & asks[b], u, np.where(asks[a], doc[a], doc[b]))
+            found.append(pd.DataFrame({"key": key[a, 0], "owner": owner, "u": u, "v": v, "likely": likely}))
         if found:
-            out = pd.concat(found, ignore_index=True).drop_duplicates(["key", "u", "v"]).sort_values(["key", "u", "likely"], ascending=False)
-            yield out[out.groupby(["key", "u"]).cumcount() < most]
+            out = pd.concat(found, ignore_index=True).drop_duplicates(["key", "u", "v"]).sort_values(["key", "owner", "likely", "u", "v"], ascending=False)
+            yield out[out.groupby(["key", "owner"]).cumcount() < most] if most else out
 
 
 def _verified(batches: Iterator[pd.DataFrame], percent: int) -> Iterator[pd.DataFrame]:
@@ -129,9 +136,9 @@ def _verified(batches: Iterator[pd.DataFrame], percent: int) -> Iterator[pd.Data
 
 def _buckets(reps: DataFrame) -> DataFrame:
     """key, doc_id, size of every bucket with more than one class."""
-    slots = F.sequence(F.lit(0), F.lit(REGISTERS // BAND - 1))
+    slots = F.sequence(F.lit(0), F.lit(BANDS - 1))
     keys = F.transform(slots, lambda i: F.xxhash64(i, F.substring("registers", i * 2 * BAND + 1, F.lit(2 * BAND))))
-    banded = reps.select("doc_id", F.explode(keys).alias("key"))
+    banded = reps.select("doc_id", F.posexplode(keys).alias("band", "key"))
     shared = banded.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     return written(banded.join(shared, "key"), "near-buckets")
 
@@ -156,26 +163,25 @@ def linked_groups(docs: DataFrame, reps: DataFrame, width: int, percent: int) ->
     labels = written(buckets.select("doc_id").distinct().withColumn("label", F.col("doc_id")), "near-labels")
     sets = written(docs.select("doc_id", "text").join(labels.select("doc_id"), "doc_id", "left_semi").mapInPandas(functools.partial(_sets, width=width), "doc_id long, elements binary"), "near-sets")
     failed = spark.createDataFrame([], "u long, v long")
-    most, active = 2, buckets
-    while True:
+    active = buckets
+    for i, most in enumerate(ROUNDS):
         past = failed.groupBy(F.col("u").alias("doc_id")).agg(F.collect_list("v").alias("failed"))
-        placed = _blocks(active.join(labels, "doc_id"), most == 2)
-        rows = placed.select("key", "part", "other", "doc_id", "label", "asks").join(reps.select("doc_id", "n", "registers"), "doc_id").join(past, "doc_id", "left")
+        placed = _blocks(active.join(labels, "doc_id"), i == 0)
+        rows = placed.select("key", "band", "part", "other", "doc_id", "label", "asks").join(reps.select("doc_id", "n", "registers"), "doc_id").join(past, "doc_id", "left")
         rows = rows.repartition("key", "part", "other").sortWithinPartitions("key", "part", "other")
-        found = written(rows.mapInPandas(functools.partial(_candidates, percent=percent, most=most), "key long, u long, v long, likely double"), "near-candidates")
-        pairs = found.select("u", "v").distinct()
+        found = written(rows.mapInPandas(functools.partial(_candidates, percent=percent, most=most), "key long, owner long, u long, v long, likely double"), "near-candidates")
+        place = F.row_number().over(Window.partitionBy("owner").orderBy(F.desc("likely"), "u", "v"))
+        pairs = (found.withColumn("place", place).where(F.col("place") <= most) if most else found).select("u", "v").distinct()
         loaded = pairs.join(sets.toDF("u", "x"), "u").join(sets.toDF("v", "y"), "v")
         tested = written(loaded.mapInPandas(functools.partial(_verified, percent=percent), "u long, v long, linked boolean"), "near-tested")
-        if tested.isEmpty():
-            return labels
         links = tested.where("linked").select("u", "v")
         ends = links.join(labels.toDF("u", "a"), "u").join(labels.toDF("v", "b"), "v")
         moved = components(ends)
         labels = written(labels.join(moved.toDF("label", "to"), "label", "left").select("doc_id", F.coalesce("to", "label").alias("label")), "near-labels")
         failed = failed.union(tested.where("not linked").select("u", "v"))
-        again = found.select("key").union(active.where(F.col("size") > BLOCK).select("key")) if most == 2 else found.select("key")
+        again = found.select("key").union(active.where(F.col("size") > BLOCK).select("key")) if i == 0 else found.select("key")
         active = active.join(again.distinct(), "key", "left_semi")
-        most *= 8
+    return labels
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = THRESHOLD_PERCENT) -> DataFrame:

@@ -13,7 +13,7 @@ import numpy as np
 
 from docquery.llm.hashing import U, mix, windows, words
 
-REGISTERS = 128
+REGISTERS = 256
 #: Base of the register scale, rate of the exponential values, largest register: as the scale of 16-bit registers.
 STEP, RATE, TOP = 1.001, 20.0, 65535
 _salts = np.random.Generator(np.random.PCG64(77)).integers(0, 1 << 32, (2, 1024), dtype=np.uint64).astype(np.uint32)
