@@ -143,16 +143,22 @@ def _buckets(reps: DataFrame) -> DataFrame:
     return written(banded.join(shared, "key"), "near-buckets")
 
 
+def _contested(buckets: DataFrame, labels: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows of those buckets of keys that hold several groups, with label, main (the bucket's largest group) and minor (rows outside it)."""
+    labelled = buckets.select("key", "band", "size", "doc_id").join(labels, "doc_id")
+    groups = labelled.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("label", "n").alias("main"), (F.sum("n") - F.max("n")).alias("minor"))
+    return written(labelled.join(groups.where("minor > 0").join(keys.distinct(), "key", "left_semi"), "key"), "near-contested")
+
+
 def _blocks(buckets: DataFrame, first: bool) -> DataFrame:
     """Adds part and other, the block pair that a row takes part in; asks: whether its pairs are of interest."""
     blocks = lambda n: F.ceil(n / F.lit(BLOCK))
     place = lambda n, salt: F.pmod(F.xxhash64("doc_id", F.lit(salt)), blocks(n))
     if first:
-        return buckets.withColumns({"part": place(F.col("size"), 0), "other": F.lit(0).cast("long"), "asks": F.lit(True)})
-    groups = buckets.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("label", "n").alias("main"), F.sum("n").alias("all"), F.max("n").alias("largest"))
-    rows = buckets.join(groups.where("all > largest"), "key").withColumn("minor", F.col("all") - F.col("largest")).withColumn("asks", F.col("label") != F.col("main"))
-    settled = rows.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), blocks(F.col("minor")) - 1))).withColumn("other", place(F.col("size"), 1)).withColumn("asks", F.lit(False))
-    asking = rows.where("asks").withColumn("part", place(F.col("minor"), 0)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks(F.col("size")) - 1)))
+        return buckets.withColumns({"label": F.col("doc_id"), "part": place(F.col("size"), 0), "other": F.lit(0).cast("long"), "asks": F.lit(True)})
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), blocks(n) - 1))
+    settled = buckets.withColumn("part", every(F.col("minor"))).withColumn("other", place(F.col("size"), 1)).withColumn("asks", F.lit(False))
+    asking = buckets.where("label <> main").withColumn("part", place(F.col("minor"), 0)).withColumn("other", every(F.col("size"))).withColumn("asks", F.lit(True))
     return settled.unionByName(asking)
 
 
@@ -166,8 +172,9 @@ def linked_groups(docs: DataFrame, reps: DataFrame, width: int, percent: int) ->
     active = buckets
     for i, most in enumerate(ROUNDS):
         past = failed.groupBy(F.col("u").alias("doc_id")).agg(F.collect_list("v").alias("failed"))
-        placed = _blocks(active.join(labels, "doc_id"), i == 0)
-        rows = placed.select("key", "band", "part", "other", "doc_id", "label", "asks").join(reps.select("doc_id", "n", "registers"), "doc_id").join(past, "doc_id", "left")
+        if i:
+            active = _contested(active, labels, again)
+        rows = _blocks(active, i == 0).select("key", "band", "part", "other", "doc_id", "label", "asks").join(reps.select("doc_id", "n", "registers"), "doc_id").join(past, "doc_id", "left")
         rows = rows.repartition("key", "part", "other").sortWithinPartitions("key", "part", "other")
         found = written(rows.mapInPandas(functools.partial(_candidates, percent=percent, most=most), "key long, owner long, u long, v long, likely double"), "near-candidates")
         place = F.row_number().over(Window.partitionBy("owner").orderBy(F.desc("likely"), "u", "v"))
@@ -180,7 +187,6 @@ def linked_groups(docs: DataFrame, reps: DataFrame, width: int, percent: int) ->
         labels = written(labels.join(moved.toDF("label", "to"), "label", "left").select("doc_id", F.coalesce("to", "label").alias("label")), "near-labels")
         failed = failed.union(tested.where("not linked").select("u", "v"))
         again = found.select("key").union(active.where(F.col("size") > BLOCK).select("key")) if i == 0 else found.select("key")
-        active = active.join(again.distinct(), "key", "left_semi")
     return labels
 
 
