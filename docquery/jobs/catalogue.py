@@ -12,8 +12,8 @@ from docquery.operators.markdown import elements, title
 from docquery.operators.routing import with_file_type
 from docquery.operators.vectors import HashEmbedder, norm, top_k, upserted
 
-#: Hits per query where chunks are packed; per golden case; budget that some contexts overflow.
-K, GOLDEN_K, BUDGET = 5, 25, 3000
+#: Hits per query where chunks are packed; per golden case; every so many ids is a query.
+K, GOLDEN_K, EVERY = 5, 25, 20
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,7 +40,7 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return points(spark, sf_dir).where("(point_id - 1) % 10 = 0").select((F.col("point_id") - 1).alias("query_id"), "workspace_id", "vector")
+    return points(spark, sf_dir).where(f"(point_id - 1) % {EVERY} = 0").select((F.col("point_id") - 1).alias("query_id"), "workspace_id", "vector")
 
 
 def _hits(spark: SparkSession, sf_dir: str, k: int = K) -> DataFrame:
@@ -64,12 +64,12 @@ def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("point_id").alias("chunk_db_id"), "workspace_id", F.sha2("text", 256).alias("chunk_id"), F.col("point_id").alias("document_id"),
         F.concat(F.lit("doc-"), F.col("doc_id").cast("string"), F.lit(".md")).alias("document_name"), F.lit("markdown").alias("source_type"), F.lit(0).alias("chunk_index"),
         F.when(F.col("doc_id") % 4 > 0, F.col("source")).alias("section"), F.when(F.col("doc_id") % 3 > 0, (F.col("doc_id") % 7).cast("int")).alias("page_start"),
-        F.when(F.col("doc_id") % 5 > 0, (F.col("doc_id") % 7 + F.col("doc_id") % 2).cast("int")).alias("page_end"), F.substring("text", 1, 1200).alias("text"),
+        F.when(F.col("doc_id") % 5 > 0, (F.col("doc_id") % 7 + F.col("doc_id") % 2).cast("int")).alias("page_end"), "text",
     )
 
 
 def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return answering.sources(answering.hydrated(_hits(spark, sf_dir), _stored(spark, sf_dir)), BUDGET)
+    return answering.sources(answering.hydrated(_hits(spark, sf_dir), _stored(spark, sf_dir)))
 
 
 def _replies(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,7 +77,7 @@ def _replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _found(spark, sf_dir)
     listed = F.array_join(F.transform(F.array_sort(F.collect_list("n")), lambda n: F.concat(F.lit('"SOURCE_'), n.cast("string"), F.lit('"'))), ", ")
     base = found.where("included").groupBy("query_id").agg(listed.alias("ids"))
-    kind = F.col("query_id") / 10 % 6
+    kind = F.col("query_id") / EVERY % 6
     reply = (
         F.when(kind == 0, F.concat(F.lit('{"text": " answer '), F.col("query_id").cast("string"), F.lit(' ", "cited_source_ids": ['), F.col("ids"), F.lit('], "refused": false}')))
         .when(kind == 1, '{"text": "none", "cited_source_ids": [], "refused": true}')
@@ -171,7 +171,7 @@ def vector_upsert(spark, sf_dir):
 
 
 def _embedded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _read(spark, sf_dir, "documents").select((F.col("doc_id") + 1).alias("point_id"), (F.col("doc_id") % 3 + 1).alias("workspace_id"), F.substring("text", 1, 1000).alias("text"))
+    docs = _read(spark, sf_dir, "documents").select((F.col("doc_id") + 1).alias("point_id"), (F.col("doc_id") % 3 + 1).alias("workspace_id"), "text")
     return HashEmbedder(16).passages(docs, "text").drop("text")
 
 
@@ -181,8 +181,8 @@ def hash_embed(spark, sf_dir):
 
 
 def hash_search(spark, sf_dir):
-    docs = _read(spark, sf_dir, "documents").where("doc_id % 50 = 0")
-    questions = HashEmbedder(16).queries(docs.select(F.col("doc_id").alias("query_id"), (F.col("doc_id") % 3 + 1).alias("workspace_id"), F.substring("text", 1, 200).alias("question")), "question")
+    docs = _read(spark, sf_dir, "documents").where(F.col("doc_id") % EVERY == 0)
+    questions = HashEmbedder(16).queries(docs.select(F.col("doc_id").alias("query_id"), (F.col("doc_id") % 3 + 1).alias("workspace_id"), F.col("text").alias("question")), "question")
     return _rounded(top_k(_embedded(spark, sf_dir), questions, K)).select("query_id", "rank", "score")
 
 

@@ -42,7 +42,7 @@ DOT = "list_inner_product({0}::double[], {1}::double[])"
 
 def hits(k: int) -> str:
     return f"""pt as (select vec_id + 1 as point_id, label + 1 as workspace_id, embedding as vector from embeddings),
-    q as (select point_id - 1 as query_id, workspace_id, vector from pt where (point_id - 1) % 10 = 0),
+    q as (select point_id - 1 as query_id, workspace_id, vector from pt where (point_id - 1) % 20 = 0),
     s as (select query_id, q.workspace_id::bigint as workspace_id, point_id, {DOT.format("pt.vector", "q.vector")} as score from q join pt using (workspace_id)),
     hit as (select *, row_number() over (partition by query_id order by score desc, point_id)::int as rank from s qualify rank <= {k})"""
 
@@ -50,7 +50,7 @@ def hits(k: int) -> str:
 STORED = f"""{hits(5)},
     stored as (select point_id as chunk_db_id, workspace_id::bigint as workspace_id, sha256(text) as chunk_id, point_id as document_id, 'doc-' || doc_id || '.md' as document_name, 'markdown' as source_type,
                       case when doc_id % 4 > 0 then source end as section, case when doc_id % 3 > 0 then (doc_id % 7)::int end as page_start,
-                      case when doc_id % 5 > 0 then (doc_id % 7 + doc_id % 2)::int end as page_end, substr(text, 1, 1200) as text
+                      case when doc_id % 5 > 0 then (doc_id % 7 + doc_id % 2)::int end as page_end, text
                from documents join pt on doc_id + 1 = point_id),
     ctx as (select query_id, rank, score, stored.* from hit join stored on point_id = chunk_db_id and hit.workspace_id = stored.workspace_id)"""
 BLOCKS = f"""{STORED},
@@ -58,10 +58,10 @@ BLOCKS = f"""{STORED},
     b1 as (select *, 'SOURCE_' || n as source_id, concat('[SOURCE_', n, ']', chr(10), 'document: ', document_name, chr(10), 'page: ',
                   case when page_start is null and page_end is null then 'N/A' when page_start is null then page_end::varchar when page_end is null or page_start = page_end then page_start::varchar else page_start || '-' || page_end end,
                   chr(10), 'section: ', coalesce(section, 'N/A'), chr(10), 'chunk_id: ', chunk_id, chr(10), 'content:', chr(10), text) as block from b0),
-    src as (select *, sum(length(block) + 2) over (partition by query_id order by n) - 2 <= 3000 as included from b1),
+    src as (select *, sum(length(block) + 2) over (partition by query_id order by n) - 2 <= 12000 as included from b1),
     packed as (select query_id, coalesce(string_agg(block, chr(10) || chr(10) order by n) filter (where included), '') as prompt_context, count(*) filter (where included) as source_count, count(*) filter (where not included) as omitted_count from src group by query_id)"""
 REPLIES = f"""{BLOCKS},
-    r0 as (select query_id, max(n) as m, query_id // 10 % 6 as kind from src where included group by query_id),
+    r0 as (select query_id, max(n) as m, query_id // 20 % 6 as kind from src where included group by query_id),
     rep as (select query_id, kind, case kind when 0 then 'answer ' || query_id when 1 then 'none' when 2 then 'x' when 5 then 'z' end as text,
                    case kind when 0 then list_transform(range(1, m + 1), lambda i: 'SOURCE_' || i) when 1 then []::varchar[] when 2 then ['SOURCE_99', 'SOURCE_1', 'SOURCE_99'] when 5 then ['SOURCE_1', 'SOURCE_2', 'SOURCE_1'] end as ids,
                    case when kind in (0, 2, 5) then false when kind = 1 then true end as refused,
@@ -81,7 +81,7 @@ def embed(name: str, base: str, key: str, prefix: str) -> str:
     {name} as (select {name}_len.{key}, i as bucket, coalesce(n, 0) / l as x from {name}_len cross join range(16) r(i) left join {name}_cnt on {name}_cnt.{key} = {name}_len.{key} and b = i)"""
 
 
-DOCS16 = "d16 as (select doc_id + 1 as point_id, doc_id % 3 + 1 as workspace_id, substr(text, 1, 1000) as t from documents)"
+DOCS16 = "d16 as (select doc_id + 1 as point_id, doc_id % 3 + 1 as workspace_id, text as t from documents)"
 PAGES = f"""pg as (select conv_id + 1 as document_id, (turn + 1)::int as page, trim(text, ' ' || chr(10)) as rest, 1200 as lim from conversations),
     {split_cte("piece", "pg", "document_id, page")},
     pp as (select document_id, page, piece, row_number() over (partition by document_id order by page, part) as k from piece),
@@ -116,7 +116,7 @@ ORACLES = {
         new as (select case when point_id % 8 = 0 then point_id else point_id + 1000000 end as point_id, workspace_id, -total as total from old where point_id % 4 = 0)
         select point_id, workspace_id, round(total, 6) as total from (select * from old anti join new using (point_id) union all select * from new)""",
     "hash_embed": f"with {DOCS16}, {embed('v', 'd16', 'point_id', 'passage')}, n as (select point_id, round(sqrt(sum(x * x)), 6) as norm from v group by 1) select point_id, norm, bucket::int as bucket, round(x, 6) as x from v join n using (point_id)",
-    "hash_search": f"""with {DOCS16}, ask as (select doc_id as query_id, doc_id % 3 + 1 as workspace_id, substr(text, 1, 200) as t from documents where doc_id % 50 = 0),
+    "hash_search": f"""with {DOCS16}, ask as (select doc_id as query_id, doc_id % 3 + 1 as workspace_id, text as t from documents where doc_id % 20 = 0),
         {embed("v", "d16", "point_id", "passage")}, {embed("u", "ask", "query_id", "query")},
         s as (select query_id, point_id, sum(u.x * v.x) as score from u join ask using (query_id) join d16 using (workspace_id) join v using (point_id, bucket) group by all)
         select query_id, row_number() over (partition by query_id order by score desc, point_id)::int as rank, round(score, 6) as score from s qualify rank <= 5""",

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from docquery.functions.text import let, strip
 
-TOP_K = 5
+#: Hits per query; parts that a workspace's points are dealt into, so that no task holds a large workspace.
+TOP_K, SPLITS = 5, 16
 
 
 class EmbeddingProvider(Protocol):
@@ -87,16 +88,18 @@ def upserted(points: DataFrame, incoming: DataFrame) -> DataFrame:
     return points.join(incoming.select("point_id"), "point_id", "left_anti").unionByName(incoming.select(points.columns))
 
 
-def top_k(points: DataFrame, queries: DataFrame, k: int = TOP_K) -> DataFrame:
+def top_k(points: DataFrame, queries: DataFrame, k: int = TOP_K, splits: int = SPLITS) -> DataFrame:
     """query_id, workspace_id, point_id, score, rank: the k points of the query's workspace with the largest cosine.
 
     points (point_id, workspace_id, vector) and queries (query_id, workspace_id,
-    vector) hold unit vectors. Ties go to the smaller point_id.
+    vector) hold unit vectors. Ties go to the smaller point_id. Each query meets
+    its workspace in `splits` parts, each of which keeps its own k.
     """
     if k <= 0:
         raise ValueError("limit must be positive")
-    asked = queries.select("query_id", "workspace_id", F.col("vector").alias("asked"))
-    scored = points.join(asked, "workspace_id").select("query_id", "workspace_id", "point_id", dot(F.col("vector"), F.col("asked")).alias("score"))
+    part = F.pmod(F.xxhash64("point_id"), F.lit(splits)).cast("int")
+    asked = queries.select("query_id", "workspace_id", F.col("vector").alias("asked"), F.explode(F.sequence(F.lit(0), F.lit(splits - 1))).alias("part"))
+    scored = points.withColumn("part", part).join(asked, ["workspace_id", "part"]).select("query_id", "workspace_id", "point_id", dot(F.col("vector"), F.col("asked")).alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "point_id"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)
 
