@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from docquery.llm.neighbours import nearest
+from docquery.llm.neighbours import block_neighbours, nearest
 
 SCHEMA = "vec_id long, vector array<float>, label int"
 
@@ -46,3 +46,32 @@ def test_recall(spark, block):
     got, true = as_lists(nearest(df, df.where("vec_id % 100 = 0"), block=block)), brute(rows, queries, 10)
     found = [len({i for _, i in got[q]} & {i for _, i in true[q]}) for q in queries]
     assert np.mean(found) / 10 >= 0.9
+
+
+@pytest.mark.parametrize("jitter", [0.0, 1e-3])
+@pytest.mark.parametrize("seed", range(4))
+def test_copies_do_not_hide_neighbours(seed, jitter):
+    """A third of the rows are copies, or near copies, of one vector."""
+    rng = np.random.default_rng(seed)
+    centres = rng.standard_normal((10, 64))
+    data = centres[rng.integers(0, 10, 2000)] + rng.standard_normal((2000, 64))
+    data /= np.linalg.norm(data, axis=1, keepdims=True)
+    copies = data[[7]] + jitter * rng.standard_normal((1000, 64))
+    ids, points = rng.permutation(3000), np.concatenate((data, copies))
+    asked = np.arange(0, 2000, 20)
+    found = []
+    for row, (got, far) in zip(asked, block_neighbours(ids, points, ids[asked], points[asked], 10), strict=True):
+        squares = np.cumsum((points - points[row]) ** 2, axis=1)[:, -1]
+        true = np.lexsort((ids, squares))
+        true = true[true != row][:10]
+        found.append(len(set(got) & set(ids[true])))
+        assert len(got) == len(set(got)) == 10 and (np.diff(far) >= 0).all()
+    assert np.mean(found) / 10 >= 0.97 and min(found) >= 7
+
+
+def test_copies_keep_their_ids(spark):
+    rows = [(i, [1.0, 2.0, 3.0], 0) for i in range(40)] + [(100 + i, [1.0, 2.0, 3.0 + i], 0) for i in range(1, 5)] + [(3, [1.0, 2.0, 3.0], 0)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = as_lists(nearest(df, df.where("vec_id in (3, 101)"), k=10))
+    assert [i for _, i in got[3]] == [0, 1, 2, 4, 5, 6, 7, 8, 9, 10]
+    assert got[101] == sorted([(1.0, i) for i in range(9)] + [(1.0, 3)] + [(1.0, 102)])[:10]
