@@ -18,6 +18,7 @@ NAME_CHARS, SECTION_CHARS, MESSAGE_CHARS = 255, 500, 2000
 def parsed(files: DataFrame, pages: DataFrame | None = None, max_chars: int = MAX_CHARS) -> DataFrame:
     """files (document_id, workspace_id, filename, content_type, content) with state and chunks; pages (document_id, page, text, failed) of PDF files.
 
+    A failed row without page is a file that can't be read, and its text the reason.
     A row that can't be stored has an error_code and no status. A stored one is
     COMPLETED, PARTIAL (pages failed) or FAILED, with an error_message.
     """
@@ -26,12 +27,13 @@ def parsed(files: DataFrame, pages: DataFrame | None = None, max_chars: int = MA
     code = F.when(F.col("error_code") == "INVALID_INPUT", F.col("error_code")).when(F.length("filename") > NAME_CHARS, "INVALID_INPUT").when(empty, "EMPTY_DOCUMENT").otherwise(F.col("error_code"))
     routed = routed.withColumn("error_code", code)
     if pages is None:
-        routed = routed.withColumns({"pages": F.array().cast("array<struct<page:int,text:string>>"), "failed_pages": F.array().cast("array<int>")})
+        routed = routed.withColumns({"pages": F.array().cast("array<struct<page:int,text:string>>"), "failed_pages": F.array().cast("array<int>"), "unreadable": F.lit(None).cast("string")})
     else:
         good = ~F.coalesce("failed", F.lit(False))
         held = pages.groupBy("document_id").agg(
             F.array_sort(F.collect_list(F.when(good, F.struct(F.col("page").cast("int").alias("page"), "text")))).alias("pages"),
             F.array_sort(F.collect_list(F.when(~good, F.col("page").cast("int")))).alias("failed_pages"),
+            F.max(F.when(~good & F.col("page").isNull(), F.col("text"))).alias("unreadable"),
         )
         routed = routed.join(held, "document_id", "left")
     markdown = F.col("error_code").isNull() & (F.col("file_type") == "markdown")
@@ -43,6 +45,7 @@ def parsed(files: DataFrame, pages: DataFrame | None = None, max_chars: int = MA
     failure = (
         F.when(markdown & F.col("body").isNull(), BAD_UTF8)
         .when(cramped, PREFIX_TOO_LONG)
+        .when(F.col("unreadable").isNotNull(), F.col("unreadable"))
         .when(F.coalesce(F.size("chunks"), F.lit(0)) <= 0, NO_CHUNKS)
         .when(long_section, f"section is longer than {SECTION_CHARS} characters")
     )
@@ -51,7 +54,7 @@ def parsed(files: DataFrame, pages: DataFrame | None = None, max_chars: int = MA
     message = F.when(F.col("error_code").isNotNull(), F.col("error_message")).when(failure.isNotNull(), failure).when(partial, F.concat(F.lit(FAILED_PAGES), F.array_join("failed_pages", ", ")))
     read = read.withColumns({"status": status, "message": F.substring(message, 1, MESSAGE_CHARS)})
     read = read.withColumns({"chunks": F.when(F.col("status").isin("COMPLETED", "PARTIAL"), F.col("chunks")), "title": title(F.col("elements"), F.col("filename"))})
-    return read.drop("error_message", "body", "pages").withColumnRenamed("message", "error_message").withColumn("chunk_count", F.greatest(F.coalesce(F.size("chunks"), F.lit(0)), F.lit(0)))
+    return read.drop("error_message", "body", "pages", "unreadable").withColumnRenamed("message", "error_message").withColumn("chunk_count", F.greatest(F.coalesce(F.size("chunks"), F.lit(0)), F.lit(0)))
 
 
 def in_known_workspaces(files: DataFrame, workspaces: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 PAGES = "document_id long, page int, text string, failed boolean"
+UNREADABLE, ENCRYPTED = "Unable to read PDF file.", "Encrypted PDF files are not supported."
 BINARY = "path string, modificationTime timestamp, length long, content binary"
 
 
@@ -20,23 +21,34 @@ def read_files(spark: SparkSession, path: str, workspace_id: int, streaming: boo
     return raw.select(F.shiftright(F.abs(F.xxhash64("path", "content")), 22).alias("document_id"), F.lit(workspace_id).cast("long").alias("workspace_id"), F.url_decode(name).alias("filename"), F.lit("application/octet-stream").alias("content_type"), "content")
 
 
-def _pages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _file_pages(document: int, content: bytes) -> list[tuple]:
     import io
 
     from pypdf import PdfReader
 
+    rows = []
+    try:
+        reader = PdfReader(io.BytesIO(content))
+        if reader.is_encrypted:
+            return [(document, None, ENCRYPTED, True)]
+        for number, page in enumerate(reader.pages, 1):
+            try:
+                text = (page.extract_text() or "").strip()
+                text.encode()
+                rows += [(document, number, text, False)] if text else []
+            except Exception:  # a page that can't be read is reported, the others go on
+                rows.append((document, number, None, True))
+    except Exception:  # a file that can't be read is reported, the others go on
+        return [(document, None, UNREADABLE, True)]
+    return rows
+
+
+def _pages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        rows = []
-        for document, content in zip(batch["document_id"], batch["content"], strict=True):
-            for number, page in enumerate(PdfReader(io.BytesIO(content)).pages, 1):
-                try:
-                    text = page.extract_text().strip()
-                    rows += [(document, number, text, False)] if text else []
-                except Exception:  # a page that can't be read is reported, the others go on
-                    rows.append((document, number, None, True))
-        yield pd.DataFrame(rows, columns=["document_id", "page", "text", "failed"])
+        rows = [row for document, content in zip(batch["document_id"], batch["content"], strict=True) for row in _file_pages(document, content)]
+        yield pd.DataFrame(rows, columns=["document_id", "page", "text", "failed"]).astype({"page": "Int32"})
 
 
 def pdf_pages(files: DataFrame) -> DataFrame:
-    """Pages of PDF files; needs pypdf on the executors."""
+    """Pages of PDF files; needs pypdf on the executors. A file that can't be read is one failed row without page, whose text says why."""
     return files.select("document_id", "content").mapInPandas(_pages, PAGES)

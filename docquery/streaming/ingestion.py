@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from docquery.operators.ingest import chunk_rows, parsed
+from docquery.operators.routing import with_file_type
+from docquery.sources.files import pdf_pages
 from docquery.sources.store import Table
 
 
@@ -13,7 +15,8 @@ def ingest_stream(files: DataFrame, documents: Table, chunks: Table, checkpoint:
     """Documents and chunks of arriving files; ids follow from content, so a repeated batch changes nothing."""
 
     def batch(rows: DataFrame, _: int) -> None:
-        done = parsed(rows).persist()
+        pages = pdf_pages(with_file_type(rows).where("file_type = 'pdf'"))
+        done = parsed(rows, pages).persist()
         documents.upsert(done, "document_id")
         chunks.upsert(chunk_rows(done), "id")
         done.unpersist()

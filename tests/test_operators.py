@@ -10,6 +10,7 @@ from docquery.operators.chunking import exploded, markdown_chunks, page_chunks
 from docquery.operators.markdown import elements, title
 from docquery.operators.routing import with_file_type
 from docquery.operators.vectors import HashEmbedder, checked_queries, top_k, upserted
+from docquery.sources import files
 from docquery.sources.files import read_files
 from docquery.sources.jsonl import read_cases, write_failures
 from docquery.sources.store import Table
@@ -173,3 +174,58 @@ def test_streaming_ingestion_is_idempotent(spark, tmp_path):
         ingest_stream(read_files(spark, str(tmp_path / "in"), 1, streaming=True), documents, chunks, str(tmp_path / f"check{run}")).awaitTermination()
     assert {r.status for r in documents.read().collect()} == {"COMPLETED"}
     assert documents.read().count() == chunks.read().count() == 3
+
+
+def with_stand_in(pages):
+    """pages over a stand-in for pypdf: form feeds part pages, and some files and pages can't be read."""
+
+    def run(batches):
+        import sys
+        import types
+
+        class Page:
+            def __init__(self, data):
+                self.data = data
+
+            def extract_text(self):
+                return self.data.decode()
+
+        class PdfReader:
+            def __init__(self, stream):
+                data = stream.read()
+                if data.startswith(b"broken"):
+                    raise OSError("no PDF")
+                self.is_encrypted = data.startswith(b"locked")
+                self.pages = [Page(x) for x in data.split(b"\f")]
+
+        held = sys.modules.get("pypdf")
+        sys.modules["pypdf"] = types.SimpleNamespace(PdfReader=PdfReader)
+        try:
+            yield from pages(batches)
+        finally:
+            sys.modules.pop("pypdf") if held is None else sys.modules.update(pypdf=held)
+
+    return run
+
+
+def test_streamed_pdfs_keep_their_text_and_errors(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "_pages", with_stand_in(files._pages))
+    (tmp_path / "in").mkdir()
+    contents = {"good.pdf": b"one\ftwo", "partial.pdf": b"one\f\xff\fthree", "broken.pdf": b"broken", "locked.pdf": b"locked", "blank.pdf": b" ", "note.md": b"# T\n\nbody\n"}
+    for name, content in contents.items():
+        (tmp_path / "in" / name).write_bytes(content)
+    documents = Table(spark, str(tmp_path / "store"), "documents", "document_id long, workspace_id long, filename string, status string, error_message string")
+    chunks = Table(spark, str(tmp_path / "store"), "chunks", "id long, workspace_id long, document_name string, text string, page_start int, page_end int")
+    ingest_stream(read_files(spark, str(tmp_path / "in"), 1, streaming=True), documents, chunks, str(tmp_path / "check")).awaitTermination()
+    assert {r.filename: (r.status, r.error_message) for r in documents.read().collect()} == {
+        "good.pdf": ("COMPLETED", None), "partial.pdf": ("PARTIAL", "Text extraction failed for pages: 2"), "broken.pdf": ("FAILED", files.UNREADABLE),
+        "locked.pdf": ("FAILED", files.ENCRYPTED), "blank.pdf": ("FAILED", ingest.NO_CHUNKS), "note.md": ("COMPLETED", None),
+    }
+    assert {(r.document_name, r.text, r.page_start, r.page_end) for r in chunks.read().collect()} == {("good.pdf", "one\n\ntwo", 1, 2), ("partial.pdf", "one\n\nthree", 1, 3), ("note.md", "T\n\nbody", None, None)}
+
+
+def test_unreadable_pdfs_do_not_stop_the_others(spark, monkeypatch):
+    monkeypatch.setattr(files, "_pages", with_stand_in(files._pages))
+    rows = spark.createDataFrame([(1, b"broken"), (2, b"one\ftwo"), (3, b"locked")], "document_id long, content binary").coalesce(1)
+    got = sorted(map(tuple, files.pdf_pages(rows).collect()), key=str)
+    assert got == [(1, None, files.UNREADABLE, True), (2, 1, "one", False), (2, 2, "two", False), (3, None, files.ENCRYPTED, True)]
