@@ -10,8 +10,9 @@ Tokens are lower-cased runs of letters, digits and non-ASCII characters.
 
 Items of fewer than LEAST tokens are one seed; items without tokens match
 nothing. Null and empty documents match nothing, and so do rows without
-doc_id or item_id. Rows that share an id count as one document or item whose
-passages are put together.
+doc_id or item_id. Rows that share an id count as one document or item: a
+document's passages are put together, and an item's distinct texts, in their
+order as strings.
 """
 
 from __future__ import annotations
@@ -166,11 +167,23 @@ def _seeded(docs: DataFrame, found: DataFrame, broadcast_seeds: int) -> DataFram
     return texts.join(own, "doc_id").mapInPandas(functools.partial(_passages, sizes=sizes), schema)
 
 
+def _one_item_each(items: DataFrame) -> DataFrame:
+    """item_id and its distinct texts as one; a repeated row adds nothing."""
+    held = items.where("item_id is not null and text is not null").groupBy("item_id")
+    return held.agg(F.array_join(F.array_sort(F.collect_set("text")), "\n").alias("text"))
+
+
+def _one_document_each(seeded: DataFrame) -> DataFrame:
+    """seeded with the seeds and passages of rows that share a doc_id put together."""
+    together = F.aggregate(F.array_sort(F.collect_list("passages")), F.lit(b""), lambda s, x: F.concat(s, x))
+    return seeded.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("seeds"))).alias("seeds"), together.alias("passages"))
+
+
 def contamination(docs: DataFrame, items: DataFrame, least: int = LEAST, percent: int = COVERAGE_PERCENT, broadcast_seeds: int = BROADCAST_SEEDS) -> DataFrame:
     """A row per document and item whose tiling covers at least `percent` of the item's tokens."""
-    items = items.select("item_id", "text").where("item_id is not null and text is not null")
+    items = _one_item_each(items)
     found = written(items.mapInPandas(functools.partial(_item_seeds, least=least), "seed long, item_id long, at int, size int, n_tokens int"), "item-seeds")
-    seeded = written(_seeded(docs, found, broadcast_seeds), "seeded")
+    seeded = written(_one_document_each(_seeded(docs, found, broadcast_seeds)), "seeded")
     covered = F.size(F.array_distinct(F.flatten(F.collect_set(F.sequence("at", F.col("at") + F.col("size") - 1)))))
     pairs = seeded.select("doc_id", F.explode("seeds").alias("seed")).join(found, "seed").groupBy("doc_id", "item_id").agg(covered.alias("covered"), F.max("n_tokens").alias("n"))
     pairs = pairs.where(F.col("covered") * 100 >= F.col("n") * percent).select("doc_id", "item_id")

@@ -63,3 +63,14 @@ def test_reordered_edited_and_clean(spark, limit):
     assert got == {(1, 10): (1, 1.0), (2, 10): (3, 1.0), (3, 10): (1, 1.0), (8, 11): (1, 1.0)}
     assert contamination(docs.where("false"), items, broadcast_seeds=limit).count() == 0
     assert contamination(docs, items.where("false"), broadcast_seeds=limit).count() == 0
+
+
+@pytest.mark.parametrize("limit", [1 << 20, 0])
+def test_rows_that_share_an_id_are_put_together(spark, limit):
+    words = ITEM.split()
+    other = " ".join(f"p{i}" for i in range(30))
+    rows = [(1, " ".join(words[:11])), (1, " ".join(words[11:22])), (2, ITEM), (2, "again " + ITEM), (3, " ".join(words[:11])), (4, other), (5, other + " x " + ITEM)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    items = spark.createDataFrame([(10, ITEM), (10, ITEM), (20, ITEM), (20, other)], "item_id long, text string")
+    got = sorted((r.doc_id, r.item_id, r.n_tokens, r.n_matched) for r in contamination(docs, items, broadcast_seeds=limit).collect())
+    assert got == [(1, 10, 30, 22), (2, 10, 30, 30), (5, 10, 30, 30), (5, 20, 60, 60)]
