@@ -14,9 +14,16 @@ equal offsets, therefore:
 3. only where one anchor has several classes do windows have to be ranked one
    by one, for one representative of each class.
 
-Nothing is sampled or capped: every window is decided. Copies are combined in
-the scanning task first, so a group of any size sends few rows to the task
-that holds its anchor.
+Nothing is sampled or capped: every window is decided. Runs that are equal as a
+whole are combined in the scanning task first, so whole copies send a row per
+scanning task. A passage barely longer than a window in ever other surroundings
+makes a class, and so a row, per document; its anchor's rows then meet in one
+task, which sorts them on disk.
+
+Runs are equal if the ranks of their anchor and of their whole text are, windows
+if two overlapping ranks are: 128 bits of unrelated hashes either way, so that
+among 10**14 windows no two that differ are taken for equal but with a
+probability of 10**-10.
 """
 
 from __future__ import annotations
@@ -27,10 +34,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docquery.llm.hashing import U, mix, prefix_sums, sliding_min, slices, spans, windows
+from docquery.llm.batches import map_rows
+from docquery.llm.hashing import U, mix, sliding_min, slices, spans, windows
 from docquery.llm.storage import written
 
 #: Symbols of one long document that are worked on at a time, and its share of a 64-bit rank that holds a position.
@@ -42,27 +50,32 @@ RANKED = "left long, right long, doc_id long, at long, sure boolean"
 
 @dataclasses.dataclass(frozen=True)
 class Rule:
-    """length: of a window; anchor: of its anchor; keep_first: the earliest occurrence stays."""
+    """length: of a window; anchor: of its anchor; keep_first: the earliest occurrence stays; ranks: of all runs of `unit` symbols of a text."""
 
     length: int
     anchor: int
     keep_first: bool
-    symbols: Callable[[str | None], np.ndarray]
+    ranks: Callable[[str | None], np.ndarray]
+    unit: int = 1
 
+    @property
+    def half(self) -> int:
+        """The greatest power of two below the length: two such runs span a window."""
+        return max(self.unit, 1 << (self.length - 1).bit_length() - 1)
 
-def document_runs(symbols: np.ndarray, rule: Rule) -> list[tuple[np.ndarray, ...]]:
+
+def document_runs(ranks: np.ndarray, rule: Rule) -> list[tuple[np.ndarray, ...]]:
     """(anchor rank, class, first window, windows) of a document's runs; long documents in overlapping pieces."""
-    out = []
-    for begin in range(0, max(1, len(symbols) - rule.length + 1), PIECE):
-        part = symbols[begin : begin + PIECE + rule.length - 1]
-        if len(part) < rule.length:
-            continue
-        grams = mix(windows(part, rule.anchor))
+    out, n = [], len(ranks) + rule.unit - rule.length
+    for begin in range(0, max(0, n), PIECE):
+        part = ranks[begin : begin + PIECE + rule.length - rule.unit]
+        grams = windows(part, rule.anchor, rule.unit)
         packed = grams >> U(POSITION_BITS) << U(POSITION_BITS) | np.arange(len(grams), dtype=np.uint64)
         at = (sliding_min(packed, rule.length - rule.anchor + 1) & U((1 << POSITION_BITS) - 1)).astype(np.int64)
         first = np.concatenate(([0], np.flatnonzero(np.diff(at)) + 1))
         last = np.concatenate((first[1:], [len(at)])) - 1
-        out.append((grams[at[first]], spans(prefix_sums(part), first, last + rule.length), first + begin, last - first + 1))
+        halves = grams if rule.half == rule.anchor else windows(part, rule.half, rule.unit)
+        out.append((grams[at[first]], spans(halves, rule.half, first, last + rule.length), first + begin, last - first + 1))
     return out
 
 
@@ -90,7 +103,7 @@ def find_runs(batches: Iterator[pd.DataFrame], rule: Rule) -> Iterator[pd.DataFr
         for i, j in slices([len(t) if t else 1 for t in batch["text"]], BATCH_BYTES):
             parts = []
             for doc, text in zip(batch["doc_id"][i:j], batch["text"][i:j], strict=True):
-                for anchor, kind, at, n in document_runs(rule.symbols(text), rule):
+                for anchor, kind, at, n in document_runs(rule.ranks(text), rule):
                     parts.append((anchor, kind, np.full(len(at), doc, np.int64), at, n))
             if parts:
                 yield combined(parts, rule)
@@ -98,17 +111,16 @@ def find_runs(batches: Iterator[pd.DataFrame], rule: Rule) -> Iterator[pd.DataFr
 
 def rank_windows(batches: Iterator[pd.DataFrame], rule: Rule) -> Iterator[pd.DataFrame]:
     """Rank pairs (at the window's start, and where a second prefix ends with it) of the windows asked for."""
-    half = 1 << (rule.length - 1).bit_length() - 1
     for batch in batches:
         for i, j in slices([len(t) if t else 1 for t in batch["text"]], BATCH_BYTES):
             parts = []
             for doc, text, asked in zip(batch["doc_id"][i:j], batch["text"][i:j], batch["asked"][i:j], strict=True):
-                symbols = rule.symbols(text)
+                ranks = rule.ranks(text)
                 for run in asked:
                     at, n = run["at"], run["n"]
-                    if at + n + rule.length - 1 <= len(symbols):
-                        ranks = mix(windows(symbols[at : at + n + rule.length - 1], half))
-                        parts.append((ranks[:n], ranks[rule.length - half :], np.full(n, doc, np.int64), np.arange(at, at + n), np.full(n, run["sure"])))
+                    if at + n + rule.length - rule.unit <= len(ranks):
+                        own = windows(ranks[at : at + n + rule.length - rule.unit], rule.half, rule.unit)
+                        parts.append((own[:n], own[rule.length - rule.half :], np.full(n, doc, np.int64), np.arange(at, at + n), np.full(n, run["sure"])))
             if parts:
                 left, right, doc, at, sure = (np.concatenate(x) for x in zip(*parts, strict=True))
                 yield pd.DataFrame({"left": left.view(np.int64), "right": right.view(np.int64), "doc_id": doc, "at": at, "sure": sure})
@@ -150,6 +162,8 @@ def repeated_windows(docs: DataFrame, rule: Rule, name: str) -> DataFrame:
     return found.where("goes").select("doc_id", "at", "n").unionByName(single).groupBy("doc_id").agg(F.collect_list(F.struct("at", "n")).alias("gone"))
 
 
-def applied(docs: DataFrame, gone: DataFrame, cut: Callable, schema: str) -> DataFrame:
+def applied(docs: DataFrame, gone: DataFrame, cut: Callable, schema: str, key: Column | None = None) -> DataFrame:
     """Every document once more, with its windows to remove, through `cut` (batches of doc_id, text, gone)."""
-    return docs.select("doc_id", "text").join(gone, "doc_id", "left").mapInPandas(cut, schema)
+    key = F.col("doc_id") if key is None else key
+    rows = docs.select("doc_id", "text", key.alias("key")).join(gone.withColumnRenamed("doc_id", "key"), "key", "left").drop("key")
+    return map_rows(rows, cut, schema)

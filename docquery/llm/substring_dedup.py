@@ -28,12 +28,12 @@ LENGTH, SEED = 20, 8
 DIGEST = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 
-def word_symbols(text: str | None) -> np.ndarray:
+def word_ranks(text: str | None) -> np.ndarray:
     return words((text or "").encode())[0]
 
 
 def word_rule(length: int = LENGTH, seed: int = SEED) -> Rule:
-    return Rule(length, min(seed, length), True, word_symbols)
+    return Rule(length, min(seed, length), True, word_ranks)
 
 
 def _kept(text: str | None, gone, rule: Rule) -> tuple[int, list[bytes]]:

@@ -1,17 +1,19 @@
-"""Suffix-array deduplication of long byte strings by distributed prefix doubling.
-
-Ranks of prefixes of 1, 2, 4, ... 256 bytes are built in the scanning task
-by doubling (the rank of a 2h-byte prefix comes from the ranks of two h-byte
-prefixes h apart). Spark then sorts sampled positions by their 256-byte rank
-paired with the rank of the text around them: positions with a unique rank
-drop out, equal pairs are past the threshold. What is left is reranked
-position by position with the pair of 256-byte ranks that together span the
-threshold. Ranks are 64-bit fingerprints rather than ordinals; two of them
-identify a window.
+"""Suffix-array deduplication of long byte strings by prefix doubling over sampled positions.
+
+The scanning task builds ranks of prefixes of 8, 16, ... 256 bytes by doubling
+(the rank of a 2h-byte prefix comes from the ranks of two h-byte prefixes h
+apart) and keeps one position per run of windows, the least-ranked one. Spark
+then sorts and reranks, at growing offsets:
+1. positions by their 256-byte rank: unique ones drop out;
+2. by that rank and the rank of all text of their run: equal pairs are past
+   the threshold, whatever the window;
+3. every window start of what is left, by its 256-byte ranks at offsets 0 and
+   144, which together span the threshold.
+Ranks are 64-bit hashes rather than ordinals, pairs of them identify a string.
 
 Null and empty texts have no bytes. Texts shorter than the threshold lose
 nothing. Repeated rows count as copies of each other. Rows that share a
-doc_id share what is removed; rows without doc_id lose nothing.
+doc_id share what is removed; rows without doc_id are documents like others.
 """
 
 from __future__ import annotations
@@ -22,21 +24,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from docquery.llm.hashing import SYMBOLS
+from docquery.llm.hashing import LOAD, byte_ranks
 from docquery.llm.repeats import Rule, applied, merged, repeated_windows
 
 LENGTH, ANCHOR = 400, 256
 DIGEST = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def byte_symbols(text: str | None) -> np.ndarray:
-    return SYMBOLS[np.frombuffer((text or "").encode(), np.uint8)]
+def text_ranks(text: str | None) -> np.ndarray:
+    return byte_ranks((text or "").encode())
 
 
 def byte_rule(length: int = LENGTH, anchor: int = ANCHOR) -> Rule:
-    return Rule(length, min(anchor, length), False, byte_symbols)
+    """Windows of `length` bytes; length and anchor are LOAD bytes at least."""
+    if length < LOAD or anchor < LOAD:
+        raise ValueError(f"length and anchor must be {LOAD} bytes at least")
+    return Rule(length, min(anchor, length), False, text_ranks, LOAD)
 
 
 def _kept(text: str | None, gone, rule: Rule) -> tuple[bytes, list[bytes], int, int]:
@@ -66,21 +72,26 @@ def _texts(batches: Iterator[pd.DataFrame], rule: Rule) -> Iterator[pd.DataFrame
         yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "text": texts})
 
 
+def _key() -> Column:
+    """doc_id, and for rows without one a negative hash of the text."""
+    return F.coalesce("doc_id", -2 - F.shiftrightunsigned(F.xxhash64("text"), 2))
+
+
 def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
-    """doc_id and the windows of `length` bytes that start anywhere else too, as (at, n)."""
-    return repeated_windows(docs, byte_rule(length, anchor), "suffix")
+    """doc_id (or what stands for it) and the windows of `length` bytes that start anywhere else too, as (at, n)."""
+    return repeated_windows(docs.select(_key().alias("doc_id"), "text"), byte_rule(length, anchor), "suffix")
 
 
 def dedup_texts(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
     """doc_id and the text without its repeated strings; a character cut in two becomes U+FFFD."""
     rule = byte_rule(length, anchor)
-    return applied(docs, repeated_spans(docs, length, anchor), functools.partial(_texts, rule=rule), "doc_id long, text string")
+    return applied(docs, repeated_spans(docs, length, anchor), functools.partial(_texts, rule=rule), "doc_id long, text string", _key())
 
 
 def dedup_digests(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
     """Per document: bytes, bytes removed, maximal removed runs, SHA-256 of what is kept."""
     rule = byte_rule(length, anchor)
-    return applied(docs, repeated_spans(docs, length, anchor), functools.partial(_digests, rule=rule), DIGEST)
+    return applied(docs, repeated_spans(docs, length, anchor), functools.partial(_digests, rule=rule), DIGEST, _key())
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

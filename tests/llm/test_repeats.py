@@ -74,8 +74,8 @@ def test_words_match_brute_force(spark, seed, length, kgram):
 def test_pieces_of_long_texts_agree(monkeypatch):
     rule = suffix_dedup.byte_rule(50, 16)
     text = "".join(random.Random(7).choice("abc") for _ in range(5000))
-    symbols = rule.symbols(text)
-    cover = lambda: sorted((int(a), int(a + n)) for _, _, at, ns in repeats.document_runs(symbols, rule) for a, n in zip(at, ns, strict=True))
+    ranks = rule.ranks(text)
+    cover = lambda: sorted((int(a), int(a + n)) for _, _, at, ns in repeats.document_runs(ranks, rule) for a, n in zip(at, ns, strict=True))
     whole = cover()
     monkeypatch.setattr(repeats, "PIECE", 700)
     parts = cover()
@@ -91,10 +91,37 @@ def test_repeated_rows_and_texts(spark):
     kept = {(r.doc_id, r.text) for r in substring_dedup.dedup_texts(df).collect()}
     assert kept == {(1, text), (2, ""), (None, text)}
     removed = {r.doc_id: r.n_removed for r in suffix_dedup.dedup_digests(df, 100, 64).collect()}
-    assert removed == {1: len(text), 2: len(text), None: 0}
+    assert removed == {1: len(text), 2: len(text), None: len(text)}
+    assert {r.n_removed for r in suffix_dedup.dedup_digests(df.where("doc_id is null or doc_id = 2"), 100, 64).collect()} == {len(text)}
     assert {r.text for r in suffix_dedup.dedup_texts(df.where("doc_id = 2"), 100, 64).collect()} == {text}
 
 
+def thue_morse(n, a, b):
+    out = [a]
+    while len(out) < n:
+        out += [b if x == a else a for x in out]
+    return out
+
+
+def test_thue_morse_sequences_differ(spark):
+    """Sequences that polynomials modulo a power of two cannot tell apart: as words, of words, of bytes."""
+    one, other = "".join(thue_morse(1024, "a", "b")), "".join(thue_morse(1024, "b", "a"))
+    tail = [f"w{i}" for i in range(19)]
+    rows = [(1, " ".join([one, *tail])), (2, " ".join([other, *tail]))]
+    rows += [(3, " ".join(thue_morse(1024, "x", "y"))), (4, " ".join(thue_morse(1024, "y", "x"))), (5, one + one), (6, other + other)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: tuple(r)[1:] for r in substring_dedup.dedup_digests(df).collect()}
+    assert got == brute_words(rows, 20) and got[2][1] == 0
+    for length, anchor in ((400, 256), (64, 16)):
+        assert {r.doc_id: tuple(r)[1:] for r in suffix_dedup.dedup_digests(df, length, anchor).collect()} == brute_bytes(rows, length)
+
+
+def test_large_ids_beside_null(spark):
+    df = spark.createDataFrame([(2**60 + 1, "a b"), (None, "c"), (2**60 + 3, None)], "doc_id long, text string").coalesce(1)
+    for out in (substring_dedup.dedup_digests(df), suffix_dedup.dedup_digests(df)):
+        assert {r.doc_id for r in out.collect()} == {2**60 + 1, None, 2**60 + 3}
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert suffix_dedup.dedup_digests(df).count() == substring_dedup.dedup_digests(df).count() == 0
