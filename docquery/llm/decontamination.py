@@ -4,7 +4,8 @@ Tokens are lower-cased runs of letters, digits and non-ASCII characters.
 1. Seeds, the runs of LEAST tokens that a document shares with any test item,
    find candidates; the tokens of an item that seeds cover bound its tiling.
 2. Running Karp-Rabin tiles the item with the document's seeded passages:
-   repeatedly the longest match whose tokens are all unmarked is marked.
+   repeatedly the longest match whose tokens are all unmarked is marked, once
+   the tokens themselves agree.
 3. A document is contaminated by an item if tiles cover enough of it, in
    whatever order the passages come.
 
@@ -18,8 +19,6 @@ order as strings.
 from __future__ import annotations
 
 import functools
-import heapq
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +31,8 @@ from docquery.llm.storage import written
 
 #: Tokens of the shortest tile; share of an item's tokens that makes a document contaminated; seeds that may be broadcast (8 bytes each).
 LEAST, COVERAGE_PERCENT, BROADCAST_SEEDS = 5, 60, 1 << 20
+#: Moduli and bases of the running fingerprints.
+PRIMES = ((2147483647, 1103515245), (2147483629, 1664525173))
 REPORT = "doc_id long, item_id long, n_tokens int, n_matched int, n_tiles int, longest int, coverage double"
 
 
@@ -43,41 +44,87 @@ def seeds(found: np.ndarray, size: int) -> np.ndarray:
     return mix(windows(found, size) + U(size))
 
 
+@functools.lru_cache(maxsize=None)
+def _powers(base: int, prime: int, bits: int) -> np.ndarray:
+    """base**i modulo prime for i < 2**bits."""
+    if not bits:
+        return np.ones(1, np.uint64)
+    low = _powers(base, prime, bits - 1)
+    return np.concatenate((low, low * U(pow(base, len(low), prime)) % U(prime)))
+
+
+class Running:
+    """Karp-Rabin fingerprints of a token sequence: of a window of any size in a few operations.
+
+    Prefix sums of two polynomials modulo primes below 2**31, so that products fit in 64 bits.
+    """
+
+    def __init__(self, found: np.ndarray):
+        self.sums, self.back = [], []
+        bits = len(found).bit_length()
+        for prime, base in PRIMES:
+            up = _powers(base, prime, bits)[: len(found)]
+            self.sums.append(np.concatenate((np.zeros(1, np.uint64), np.cumsum(found % U(prime) * up % U(prime)) % U(prime))))
+            self.back.append(_powers(pow(base, -1, prime), prime, bits))
+
+    def at(self, starts: np.ndarray, size: int) -> np.ndarray:
+        a, b = ((s[starts + size] + U(prime) - s[starts]) % U(prime) * back[starts] % U(prime) for s, back, (prime, _) in zip(self.sums, self.back, PRIMES, strict=True))
+        return a << U(31) | b
+
+
+def _room(free: np.ndarray) -> np.ndarray:
+    """Free tokens from each place to the next marked one."""
+    places = np.arange(len(free))
+    return np.minimum.accumulate(np.where(free, len(free), places)[::-1])[::-1] - places
+
+
 def greedy_tiles(item: np.ndarray, doc: np.ndarray, least: int) -> list[tuple[int, int, int]]:
-    """(item position, document position, length) of the tiles, longest first."""
-    free_i, free_d = np.ones(len(item), bool), np.ones(len(doc), bool)
-    same = lambda i, j: item[i] == doc[j] and free_i[i] and free_d[j]
+    """(item position, document position, length) of the tiles, longest first; of equals the first in the item, then in the document.
+
+    The longest match of unmarked tokens has the greatest size at which both
+    sides share a window: a bisection over running fingerprints, so that a
+    size costs time in proportion to the tokens, however they repeat. All
+    matches of that size are marked before the next size is sought.
+    """
     tiles: list[tuple[int, int, int]] = []
-    size = max(least, min(len(item), len(doc)))
-    while len(item) >= least and len(doc) >= least:
-        places = defaultdict(list)
-        for i, h in enumerate(windows(item, size).tolist()):
-            places[h].append(i)
-        heap = []
-        hashes = windows(doc, size)
-        for j in np.flatnonzero(np.isin(hashes, np.fromiter(places, np.uint64, len(places)))).tolist():
-            for i in places[int(hashes[j])]:
-                if i and j and same(i - 1, j - 1):
-                    continue
-                n = 0
-                while i + n < len(item) and j + n < len(doc) and same(i + n, j + n):
-                    n += 1
-                if n >= size:
-                    heapq.heappush(heap, (-n, i, j))
-        while heap:
-            n, i, j = heapq.heappop(heap)
-            open_ = free_i[i : i - n] & free_d[j : j - n]
-            if open_.all():
-                free_i[i : i - n] = free_d[j : j - n] = False
-                tiles.append((i, j, -n))
-                continue
-            edge = np.flatnonzero(np.diff(np.concatenate(([0], open_.view(np.int8), [0]))))
-            for a, b in edge.reshape(-1, 2).tolist():
-                if b - a >= size:
-                    heapq.heappush(heap, (a - b, i + a, j + a))
-        if size == least:
+    if min(len(item), len(doc)) < least:
+        return tiles
+    free_i, free_d, hash_i, hash_d = np.ones(len(item), bool), np.ones(len(doc), bool), Running(item), Running(doc)
+    most = min(len(item), len(doc))
+    while most >= least:
+        room_i, room_d = _room(free_i), _room(free_d)
+
+        def shared(size: int, room_i=room_i, room_d=room_d) -> tuple[np.ndarray, ...]:
+            i, d = np.flatnonzero(room_i >= size), np.flatnonzero(room_d >= size)
+            x, y = hash_i.at(i, size), hash_d.at(d, size)
+            at, to = np.isin(x, y), np.isin(y, x)
+            return i[at], x[at], d[to], y[to]
+
+        low, high = least - 1, most
+        while low < high:
+            middle = (low + high + 1) // 2
+            if len(shared(middle)[0]):
+                low = middle
+            else:
+                high = middle - 1
+        if low < least:
             break
-        size = max(least, size // 2)
+        starts, x, places, y = shared(low)
+        order = np.argsort(y, kind="stable")
+        y, places = y[order], places[order]
+        left, end = np.searchsorted(y, x, "left"), np.searchsorted(y, x, "right")
+        next_place: dict[int, int] = {}
+        for i, a, b in zip(starts.tolist(), left.tolist(), end.tolist(), strict=True):
+            if not free_i[i] or not free_i[i + low - 1]:  # windows that were free are now marked at an end, if at all
+                continue
+            k = next_place.get(a, a)
+            while k < b and not (free_d[places[k]] and free_d[places[k] + low - 1]):
+                k += 1
+            next_place[a] = k
+            if k < b and (item[i : i + low] == doc[places[k] : places[k] + low]).all():
+                free_i[i : i + low] = free_d[places[k] : places[k] + low] = False
+                tiles.append((i, int(places[k]), low))
+        most = low - 1
     return tiles
 
 
@@ -142,12 +189,19 @@ def _passages(batches: Iterator[pd.DataFrame], sizes: list[int], shared=None) ->
         yield pd.DataFrame(rows, columns=["doc_id", "seeds", "passages"])
 
 
-def _tilings(batches: Iterator[pd.DataFrame], least: int) -> Iterator[pd.DataFrame]:
+def _tilings(batches: Iterator[pd.DataFrame], least: int, percent: int) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows = []
         for doc, item, parts, own in zip(batch["doc_id"], batch["item_id"], batch["passages"], batch["item"], strict=True):
             own, parts = np.frombuffer(own, np.uint64), np.frombuffer(parts, np.uint64)
-            tiles = greedy_tiles(own, parts, min(least, len(own)))
+            size = min(least, len(own))
+            shared = np.flatnonzero(np.isin(seeds(own, size), seeds(parts, size)))
+            cover = np.zeros(len(own) + 1, np.int32)
+            np.add.at(cover, shared, 1)
+            np.add.at(cover, shared + size, -1)
+            if 100 * int((np.cumsum(cover) > 0).sum()) < percent * len(own):  # no tiling covers more than the shared seeds
+                continue
+            tiles = greedy_tiles(own, parts, size)
             matched = sum(n for *_, n in tiles)
             rows.append((doc, item, len(own), matched, len(tiles), max((n for *_, n in tiles), default=0), matched / len(own)))
         yield pd.DataFrame(rows, columns=[x.split()[0] for x in REPORT.split(", ")])
@@ -179,16 +233,46 @@ def _one_document_each(seeded: DataFrame) -> DataFrame:
     return seeded.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("seeds"))).alias("seeds"), together.alias("passages"))
 
 
+def _rare_seeds(batches: Iterator[pd.DataFrame], percent: int) -> Iterator[pd.DataFrame]:
+    """For each item the rarest seeds without which less than `percent` of it can be covered: a document that covers more has one of them."""
+    for batch in batches:
+        for item, n, size, found in zip(batch["item_id"], batch["n_tokens"], batch["size"], batch["found"], strict=True):
+            cover, kept = np.zeros(n, bool), []
+            # from the commonest on, seeds can be left out as long as they cover too little by themselves
+            for row in sorted(found, key=lambda r: (-r["items"], r["seed"])):
+                if not kept:
+                    more = cover.copy()
+                    for at in row["places"]:
+                        more[at : at + size] = True
+                    if 100 * int(more.sum()) < percent * n:
+                        cover = more
+                        continue
+                kept.append(row["seed"])
+            yield pd.DataFrame({"seed": np.array(kept, np.int64), "item_id": item})
+
+
+def rare_seeds(found: DataFrame, percent: int) -> DataFrame:
+    """seed and item_id of the seeds that candidates are joined on."""
+    common = found.groupBy("seed", "item_id", "n_tokens", "size").agg(F.collect_list("at").alias("places"))
+    items = common.groupBy("seed").agg(F.count("*").alias("items"))
+    listed = common.join(items, "seed").groupBy("item_id", "n_tokens", "size").agg(F.collect_list(F.struct("seed", "items", "places")).alias("found"))
+    return listed.mapInPandas(functools.partial(_rare_seeds, percent=percent), "seed long, item_id long")
+
+
 def contamination(docs: DataFrame, items: DataFrame, least: int = LEAST, percent: int = COVERAGE_PERCENT, broadcast_seeds: int = BROADCAST_SEEDS) -> DataFrame:
-    """A row per document and item whose tiling covers at least `percent` of the item's tokens."""
+    """A row per document and item whose tiling covers at least `percent` of the item's tokens.
+
+    Documents and items meet on rare seeds only: the commonest seeds of an item,
+    as far as they cover less than `percent` of it, are left out of the join, so
+    that a phrase common to many items does not pair them with every document
+    that holds it. Tiles of all seeds count.
+    """
     items = _one_item_each(items)
     found = written(items.mapInPandas(functools.partial(_item_seeds, least=least), "seed long, item_id long, at int, size int, n_tokens int"), "item-seeds")
     seeded = written(_one_document_each(_seeded(docs, found, broadcast_seeds)), "seeded")
-    covered = F.size(F.array_distinct(F.flatten(F.collect_set(F.sequence("at", F.col("at") + F.col("size") - 1)))))
-    pairs = seeded.select("doc_id", F.explode("seeds").alias("seed")).join(found, "seed").groupBy("doc_id", "item_id").agg(covered.alias("covered"), F.max("n_tokens").alias("n"))
-    pairs = pairs.where(F.col("covered") * 100 >= F.col("n") * percent).select("doc_id", "item_id")
+    pairs = seeded.select("doc_id", F.explode("seeds").alias("seed")).join(rare_seeds(found, percent), "seed").select("doc_id", "item_id").distinct()
     loaded = pairs.join(seeded.select("doc_id", "passages"), "doc_id").join(items.mapInPandas(_item_tokens, "item_id long, item binary"), "item_id")
-    tiled = loaded.mapInPandas(functools.partial(_tilings, least=least), REPORT)
+    tiled = loaded.mapInPandas(functools.partial(_tilings, least=least, percent=percent), REPORT)
     return tiled.where(F.col("n_matched") * 100 >= F.col("n_tokens") * percent)
 
 

@@ -1,10 +1,12 @@
 import random
+import re
+import time
 from itertools import product
 
 import numpy as np
 import pytest
 
-from docquery.llm.decontamination import contamination, greedy_tiles
+from docquery.llm.decontamination import LEAST, contamination, greedy_tiles
 
 ITEM = " ".join(f"q{i}" for i in range(30))
 
@@ -43,6 +45,38 @@ def test_tiles_match_the_definition(seed):
     assert sorted((n for *_, n in tiles), reverse=True) == brute_tiles(a, b, 3)
 
 
+@pytest.mark.parametrize(("n", "m", "period"), [(3000, 3000, 1), (1200, 2400, 3), (3000, 20_000, 7)])
+def test_repetitive_texts_take_bounded_time(n, m, period):
+    began = time.time()
+    tiles = greedy_tiles(np.arange(n, dtype=np.uint64) % period, np.arange(m, dtype=np.uint64) % period, LEAST)
+    assert sum(size for *_, size in tiles) == n and time.time() - began < 2
+
+
+def test_the_operator_matches_brute_force(spark):
+    rng = random.Random(6)
+    common = "one phrase that many items share"
+    texts = [" ".join([common, *[f"q{i}.{rng.randrange(40)}" for _ in range(rng.randrange(1, 30))], common]) for i in range(12)] + [common, "p " * 9, "two words"]
+    docs = []
+    for i in range(80):
+        parts = [" ".join(f"n{rng.randrange(500)}" for _ in range(rng.randrange(20)))]
+        for _ in range(rng.randrange(3)):
+            own = rng.choice(texts).split()
+            cut = rng.randrange(len(own))
+            parts += [" ".join(own[cut:]), rng.choice(["", "and", common]), " ".join(own[: rng.choice([cut, len(own)])])]
+        docs.append((i, " ".join(parts)))
+    want = {}
+    found = lambda t: re.findall(r"[A-Za-z0-9]+", t.lower())
+    for (d, text), (i, item) in product(docs, enumerate(texts)):
+        own, least = found(item), min(LEAST, len(found(item)))
+        tiles = brute_tiles(own, found(text), least)
+        if 100 * sum(tiles) >= 60 * len(own):
+            want[d, i] = (len(own), sum(tiles))
+    items = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.n_tokens, r.n_matched) for r in contamination(spark.createDataFrame(docs, "doc_id long, text string"), items).collect()}
+    assert got.keys() == want.keys() and len(want) > 20
+    assert all(got[x][0] == want[x][0] and abs(got[x][1] - want[x][1]) <= LEAST for x in want), [(got[x], want[x]) for x in want if got[x] != want[x]]
+
+
 @pytest.mark.parametrize("limit", [1 << 20, 0])
 def test_reordered_edited_and_clean(spark, limit):
     words = ITEM.split()
