@@ -51,17 +51,50 @@ def test_matches_brute_force(spark, monkeypatch, seed, block):
     monkeypatch.setattr(near_dedup, "BLOCK", block)
     rows = corpus(seed)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    got = {r.doc_id: tuple(r)[1:] for r in near_dedup.near_duplicates(df, 4).collect()}
+    got = {r.doc_id: tuple(r)[1:] for r in near_dedup.near_duplicates(df, 4).drop("text_hash").collect()}
     assert got == brute(rows, 4)
 
 
 def test_repeated_rows_and_empty_table(spark):
     df = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f"), (None, "a b c d e f")], "doc_id long, text string")
-    got = sorted(map(tuple, near_dedup.near_duplicates(df).collect()), key=str)
+    got = sorted(map(tuple, near_dedup.near_duplicates(df).drop("text_hash").collect()), key=str)
     assert got == [(1, 2, 1, True), (1, 2, 1, True), (2, 2, 1, False), (None, 2, None, True)]
     assert near_dedup.near_duplicates(df.where("false")).count() == 0
 
 
+def test_rows_that_repeat_a_doc_id_are_documents_of_their_own(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    rows = [(0, b), (1, a), (1, b), (1, c), (1, c + " more"), (2, a + " more"), (5, c)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(tuple(r)[::2] for r in near_dedup.near_duplicates(df, 4).select("doc_id", "n_shingles", "component_id").collect())
+    assert got == [(0, 0), (1, 0), (1, 1), (1, 1), (1, 1), (2, 1), (5, 1)]
+
+
+def test_thue_morse_words_differ(spark):
+    one, other = ["a"], ["b"]
+    for _ in range(10):
+        one, other = one + other, other + one
+    tail = " ".join(f"w{i}" for i in range(3))
+    df = spark.createDataFrame([(1, "".join(one) + " " + tail), (2, "".join(other) + " " + tail)], "doc_id long, text string")
+    assert [r.component_id for r in near_dedup.near_duplicates(df, 4).orderBy("doc_id").collect()] == [1, 2]
+
+
+def test_unlinked_family_and_hot_copies(spark, monkeypatch):
+    """A family of near copies below the threshold, with few links, and copies of one text; small blocks and hot classes."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 16)
+    monkeypatch.setattr(near_dedup, "HOT", 4)
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(100)]
+    rows = [(0, " ".join(base))] + [(1000 + i, " ".join(base)) for i in range(40)]
+    for i in range(1, 60):
+        new = list(base)
+        for j in rng.sample(range(100), rng.choice([4, 7, 8])):
+            new[j] = f"x{i}.{j}"
+        rows.append((i, " ".join(new)))
+    got = {r.doc_id: tuple(r)[1:] for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4).drop("text_hash").collect()}
+    assert got == brute(rows, 4)
+
+
 def test_estimate_is_close():
     rng = np.random.default_rng(3)
     errors = []
