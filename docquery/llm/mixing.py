@@ -6,11 +6,14 @@ come first; the rest of its target is filled with documents in order of their
 exponential keys -ln(u) / quality, up to the running sum of sizes that is
 nearest to it. u is a hash of the id, so reruns agree.
 
-Running sums go over ranges of keys first and within a range then, so no task
-sorts a whole source. Null text has no words; documents without words are
-taken 0 times. A null source is a source of its own, after all others. Null
-ids share one u; repeated rows are drawn by their common key and are rows of
-their own. Documents without a positive quality have quality 1.
+Running sums go over ranges first and within a range then. Spark's range
+partitioning cuts them at measured quantiles of (source, key, id, size), so no
+task sorts a whole source, however keys lie. Null text has no words; documents
+without words are taken 0 times. A null source is a source of its own, after
+all others. Null ids share one u; repeated rows are drawn by their common key
+and are rows of their own, and ranges may cut between them. Documents without
+a positive quality have quality 1. Targets are worked out in one task that
+gets a row per source.
 """
 
 from __future__ import annotations
@@ -51,26 +54,30 @@ def targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, budget_percent:
     return fits.withColumn("water", water).select("source_key", "source_size", F.least(F.col("water") * F.col("weight"), (MOST * F.col("source_size")).cast("double")).alias("target"))
 
 
-def mixed(docs: DataFrame, quality: DataFrame, weights: Sequence[int] = WEIGHTS, budget_percent: int = BUDGET_PERCENT, seed: str = SEED) -> DataFrame:
-    """doc_id, size, source_size, target, taken of every row; quality has doc_id and quality > 0, where known."""
+def mixed(docs: DataFrame, quality: DataFrame, weights: Sequence[int] = WEIGHTS, budget_percent: int = BUDGET_PERCENT, seed: str = SEED, row: Column | None = None) -> DataFrame:
+    """doc_id, size, source_size, target, taken of every row, and `row`, if given; quality has doc_id and quality > 0, where known."""
     known = quality.where("quality > 0").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     name = F.concat(F.when(F.col("source").isNull(), "1").otherwise("0"), F.coalesce("source", F.lit("")))
-    rows = docs.select("doc_id", name.alias("source_key"), word_count("text").alias("size")).join(known, "doc_id", "left")
+    own = [] if row is None else ["row"]
+    rows = docs.select("doc_id", name.alias("source_key"), word_count("text").alias("size"), *([] if row is None else [row.alias("row")])).join(known, "doc_id", "left")
     rows = rows.withColumn("key", -F.log(uniform("doc_id", seed)) / F.coalesce("quality", F.lit(1.0)))
-    rows = written(rows.select("doc_id", "source_key", "size", "key"), "mix-rows")
-    ranges = max(1, rows.count() // RANGE_ROWS)
-    cut = rows.withColumn("range", F.floor((1 - F.exp(-F.col("key"))) * ranges))
+    rows = written(rows.select("doc_id", "source_key", "size", "key", *own), "mix-rows")
+    # ranges of near-equal numbers of rows in the order of the draw; rows that tie in all that counts are dealt out by their place in the table
+    order = ["key", "doc_id", "size", *own]
+    ranges = max(1, -(-rows.count() // RANGE_ROWS))
+    cut = rows.withColumn("tie", F.monotonically_increasing_id()).repartitionByRange(ranges, "source_key", *order, "tie")
+    cut = written(cut.withColumn("range", F.spark_partition_id()).drop("tie"), "mix-ranges")
     sums = written(cut.groupBy("source_key", "range").agg(F.sum("size").alias("n")), "mix-sums")
     aims = targets(sums.groupBy("source_key").agg(F.sum("n").alias("source_size")), weights, budget_percent)
     earlier = Window.partitionBy("source_key").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.withColumn("start", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n").join(aims, "source_key")
-    within = Window.partitionBy("source_key", "range").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    within = Window.partitionBy("source_key", "range").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = cut.withColumn("upto", F.sum("size").over(within)).join(starts, ["source_key", "range"])
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     rest = F.col("target") - epochs * F.col("source_size")
     before = F.col("start") + F.col("upto") - F.col("size")
     more = F.when(before + F.col("size") / 2 <= rest, 1).otherwise(0)
-    return placed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.least(epochs + more, F.lit(MOST))).cast("long").alias("taken"))
+    return placed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.least(epochs + more, F.lit(MOST))).cast("long").alias("taken"), *own)
 
 
 def label_quality(labels: DataFrame) -> DataFrame:

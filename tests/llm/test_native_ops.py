@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docquery.llm.mixing import label_quality, mixed
-from docquery.llm.sharding import sharded
+from docquery.llm.sharding import kd_shards, sharded
 
 DOCS = "doc_id long, text string, lang string, source string, size string, key string"
 
@@ -36,6 +36,49 @@ def test_shards_are_near_equal_and_gapless(spark, monkeypatch, shards):
     assert all(abs(held[s] - mean) <= 2 * largest for s in range(shards))
 
 
+def test_equal_texts_share_a_shard(spark):
+    rng = random.Random(5)
+    rows = [(i, f"text {i} " * rng.randrange(1, 40), "en", rng.choice("abc")) for i in range(3000)]
+    groups = [f"copied {g} " * rng.randrange(1, 30) for g in range(60)]
+    rows += [(5000 + i, rng.choice(groups), rng.choice(["en", "de"]), rng.choice("abc")) for i in range(900)]
+    rows += [(9000 + i, "hot text " * 20, None, "d") for i in range(1500)]  # over a whole shard
+    out = sharded(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), shards=12).collect()
+    held, shards = Counter(), defaultdict(set)
+    text = {d: t for d, t, *_ in rows}
+    for r in out:
+        held[r.shard] += r["size"]
+        shards[text[r.doc_id]].add(r.shard)
+    mean = sum(held.values()) / 12
+    assert len(out) == len(rows) and all(abs(held[s] - mean) < 0.02 * mean for s in range(12))
+    assert {t for t, s in shards.items() if len(s) > 1} == {"hot text " * 20}
+    again = {(r.doc_id, r.shard) for r in sharded(spark.createDataFrame(rows[::-1], "doc_id long, text string, lang string, source string").repartition(7), shards=12).collect()}
+    assert again == {(r.doc_id, r.shard) for r in out}
+
+
+def test_tree_splits_along_the_widest_dimension(spark):
+    """Against a k-d tree by sorting, on points whose codes do not tie."""
+    rng = random.Random(1)
+    points = [(i, rng.randrange(10, 60), x, y) for i, (x, y) in enumerate(zip(rng.sample(range(60_000), 600), rng.sample(range(9_000), 600), strict=True))]
+    df = spark.createDataFrame([(i, s, x, y, i % 7, i) for i, s, x, y in points], "id long, size long, x long, y long, d1 long, d2 long")
+    got = {r.id: r.shard for r in kd_shards(df, ["x", "y"], [1.0] * 6).collect()}
+    width, want = [max(p[k] for p in points) - min(p[k] for p in points) for k in (2, 3)], {}
+
+    def split(own, lo, n):
+        if n == 1:
+            want.update({p[0]: lo for p in own})
+            return
+        dim = max((2, 3), key=lambda k: (max(p[k] for p in own) - min(p[k] for p in own)) / width[k - 2])
+        own, goal, upto, cut = sorted(own, key=lambda p: p[dim]), sum(p[1] for p in own) * (n // 2) // n, 0, 0
+        while upto + own[cut][1] < goal:
+            upto, cut = upto + own[cut][1], cut + 1
+        cut += upto + own[cut][1] - goal <= goal - upto
+        split(own[:cut], lo, n // 2)
+        split(own[cut:], lo + n // 2, n - n // 2)
+
+    split(points, 0, 6)
+    assert got == want
+
+
 def test_shards_by_target_and_of_nothing(spark):
     df = spark.createDataFrame(corpus(200), DOCS)
     total = df.select(F.sum(F.octet_length(F.coalesce("text", F.lit(""))) + 16)).first()[0]
