@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docquery.llm.batches import map_rows
+
 U = np.uint64
 #: (verdict, host, path) of the contract's rules, fixed values.
 RULES = (
@@ -115,13 +117,13 @@ def _judge(batches: Iterator[pd.DataFrame], rules: list[tuple[str, str, str]], d
     for batch in batches:
         hit = automaton.matches([("." + h + p).encode() for h, p in zip(batch["host"], batch["path"], strict=True)])[:, by_length]
         which = np.where(hit.any(axis=1), hit.argmax(axis=1), len(rules)) if len(rules) else np.zeros(len(batch), int)
-        yield batch.assign(page_id=batch["page_id"].astype("Int64"), rule=names[which], verdict=verdicts[which])
+        yield batch.assign(rule=names[which], verdict=verdicts[which])
 
 
 def judged(pages: DataFrame, rules: Sequence[tuple[str, str, str]], default: str = "allow") -> DataFrame:
     """page_id, host, path, rule, verdict of every row; rules are (verdict, name, glob)."""
     split = pages.select("page_id", host_of("url").alias("host"), path_of("url").alias("path"))
-    return split.mapInPandas(functools.partial(_judge, rules=list(rules), default=default), "page_id long, host string, path string, rule string, verdict string")
+    return map_rows(split, functools.partial(_judge, rules=list(rules), default=default), "page_id long, host string, path string, rule string, verdict string", "page_id")
 
 
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:

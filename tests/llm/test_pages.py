@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import tempfile
 
 import pytest
 from pyspark.sql import functions as F
@@ -44,10 +45,25 @@ def test_warc_of_nothing_and_damage(spark):
     import gzip
 
     whole = b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Payload-Digest: sha256:0\r\nWARC-Payload-Length: 3\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
-    assert len(list(warc.chunk_rows("a", gzip.compress(whole) + gzip.compress(whole), True))) == 2
+    assert len(list(warc.chunk_rows("a", iter([whole, whole[:9], whole[9:]]), True))) == 2
     for bad in (whole[:-3], whole[:60], b"no" + whole):
         with pytest.raises(ValueError):
-            list(warc.chunk_rows("a", gzip.compress(bad), True))
+            list(warc.chunk_rows("a", iter([bad]), True))
+    folder = tempfile.mkdtemp(prefix="spark-")
+    with gzip.open(f"{folder}/a.txt.gz", "wb") as out:
+        out.write(whole)
+    with pytest.raises(Exception, match="differs from its header"):
+        warc.read_records(spark, folder).collect()
+
+
+def test_many_shared_payloads(spark, monkeypatch):
+    """More shared digests than may be broadcast: hot ones are, the others are joined by a shuffle."""
+    monkeypatch.setattr(warc, "HOT", 4)
+    rows = [(i, "u", "hot" * 50 if i % 3 else f"pair {i % 30} " * 20) for i in range(240)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.refers_to for r in warc._records(df, broadcast_digests=0).collect()}
+    assert got == {r.page_id: r.refers_to for r in warc._records(df).collect()}
+    assert got[1] is None and got[2] == 1 and got[30] == 0 and got[0] is None
 
 
 def as_regex(glob):
@@ -65,6 +81,19 @@ def test_automaton_matches_regexes():
         assert [bool(rule.fullmatch(t)) for t in texts] == got[:, r].tolist(), glob
 
 
+def test_rules_over_several_words():
+    """The contract's rules between enough others that states cross 64-bit words."""
+    others = [host_glob(f"host{i}.example.org", f"/path{i}/") for i in range(20)]
+    globs = [*others[:7], *[host_glob(h, p) for _, h, p in RULES], *others[7:]]
+    automaton = Automaton(globs)
+    assert automaton.words > 3
+    hosts = ["example.com", "a.www.example.com", "xexample.com", "net", "b.net", "host3.example.org", "c.host19.example.org"]
+    urls = [(h, p) for h in hosts for p in ("/", "/en/", "/en", "/es/a", "/fr/x/y", "/path3/", "/path19/q")]
+    got = automaton.matches([("." + h + p).encode() for h, p in urls])
+    rules = [*[(f"host{i}.example.org", f"/path{i}/") for i in range(7)], *[(h, p) for _, h, p in RULES], *[(f"host{i}.example.org", f"/path{i}/") for i in range(7, 20)]]
+    assert got.tolist() == [[("." + h).endswith("." + host) and p.startswith(path) for host, path in rules] for h, p in urls]
+
+
 def test_rules(spark):
     urls = {
         "http://a.example.com/en/x?q#f": ("a.example.com", "/en/x", "example.com/en/", "block"),
