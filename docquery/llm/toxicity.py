@@ -11,8 +11,8 @@ documents with the least hashes of doc_id, whole texts, and the FEATURES most
 associated with a category in it. Scoring covers every document in full.
 
 Null and empty texts have no features. Rows of labels with a null are no
-labels; rows that repeat a doc_id count once, with the greater label. Without
-labelled documents nothing is flagged.
+labels; rows that repeat a doc_id count once, with the greater label and the
+least text. Without labelled documents nothing is flagged.
 """
 
 from __future__ import annotations
@@ -26,8 +26,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docquery.llm.batches import map_rows
 from docquery.llm.decontamination import SeedSet
-from docquery.llm.hashing import LOWER, PUNCTUATION, SYMBOLS, U, prefix_sums, spans, words
+from docquery.llm.hashing import LOWER, PUNCTUATION, U, hashed, words
 from docquery.llm.storage import written
 
 #: Bound of the labelled sample and of the features; folds; least |z| of a feature; probability that flags.
@@ -41,11 +42,10 @@ def text_features(text: str | None) -> np.ndarray:
     whole, starts, ends = words(data, lower=True, between=PUNCTUATION)
     if not len(whole):
         return whole
-    sums = prefix_sums(SYMBOLS[LOWER[np.frombuffer(data, np.uint8)]])
-    parts = [whole]
+    low, parts = LOWER[np.frombuffer(data, np.uint8)], [whole]
     for size in PREFIXES:
         longer = ends - starts > size
-        parts.append(spans(sums, starts[longer], starts[longer] + size) ^ U(size))
+        parts.append(hashed(low, starts[longer], starts[longer] + size) ^ U(size))
     return np.concatenate(parts)
 
 
@@ -121,7 +121,8 @@ def train(docs: DataFrame, labels: DataFrame, categories: Sequence[str], sample:
     """The chain for 0/1 label columns, in order; None without labelled documents."""
     named = labels.dropna(subset=["doc_id", *categories]).groupBy("doc_id").agg(*[F.max(c).cast("double").alias(c) for c in categories])
     chosen = named.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select("doc_id", F.array(*categories).alias("y"))
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
+    # of texts that share a doc_id the least is fitted, so that reruns agree
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.first("y").alias("y"), F.min("text").alias("text"))
     seen = written(texts.mapInPandas(_features, "doc_id long, y array<double>, features array<long>"), "toxic-sample")
     totals = seen.agg(F.count("*").alias("n"), *[F.sum(F.col("y")[k]).alias(f"p{k}") for k in range(len(categories))]).first()
     if not totals.n:
@@ -153,7 +154,7 @@ def _scores(batches: Iterator[pd.DataFrame], model, names: list[str]) -> Iterato
         chain = np.zeros((len(batch), 0))
         for w, c, b in models:
             chain = np.column_stack((chain, sigmoid(x.dot(w) + chain @ c + b)))
-        yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), **{name: chain[:, k] for k, name in enumerate(names)}})
+        yield pd.DataFrame({"doc_id": batch["doc_id"], **{name: chain[:, k] for k, name in enumerate(names)}})
 
 
 def scores(docs: DataFrame, labels: DataFrame, categories: Sequence[str] = ("low_quality", "toxic"), sample: int = SAMPLE) -> DataFrame:
@@ -164,7 +165,7 @@ def scores(docs: DataFrame, labels: DataFrame, categories: Sequence[str] = ("low
     if model is None:
         return docs.select("doc_id", *[F.lit(0.0).alias(n) for n in names])
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.select("doc_id", "text").mapInPandas(functools.partial(_scores, model=shared, names=names), schema)
+    return map_rows(docs.select("doc_id", "text"), functools.partial(_scores, model=shared, names=names), schema)
 
 
 def chain_labels(labels: DataFrame) -> DataFrame:

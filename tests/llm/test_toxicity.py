@@ -1,3 +1,5 @@
+import math
+import pickle
 import random
 
 import numpy as np
@@ -37,16 +39,48 @@ def test_held_out_accuracy_and_hard_rows(spark):
     assert 5002 in found and None in found and not {5000, 5001} & found
 
 
-def test_later_models_see_out_of_fold_probabilities():
+def chain_weight(in_sample):
+    """What the second model, whose category is the first one, gives to a first probability that only looks good in training."""
     rng = np.random.default_rng(2)
-    n = 400
-    y = (rng.random((n, 2)) < 0.5).astype(float)
-    row = np.flatnonzero(y[:, 0])
-    x = toxicity.Rows(row, np.zeros(len(row), int), n, 1)
-    y[:, 1] = y[:, 0]
-    models = toxicity.fit_chain(x, y, np.arange(n) % toxicity.FOLDS)
-    assert [len(c) for _, c, _ in models] == [0, 1]
-    assert models[1][1][0] > 0.5
+    n, width = 300, 4000
+    y = (rng.random(n) < 0.5).astype(float)
+    row, column = np.repeat(np.arange(n), 12), rng.integers(0, width, 12 * n)
+    x = toxicity.Rows(row, column, n, width)
+    if in_sample:
+        w, c, b = toxicity.fit(x, np.zeros((n, 0)), y)
+        chain = toxicity.sigmoid(x.dot(w) + b)[:, None]
+        return toxicity.fit(x, chain, y)[1][0]
+    return toxicity.fit_chain(x, np.column_stack((y, y)), np.arange(n) % toxicity.FOLDS)[1][1][0]
+
+
+def test_later_models_see_out_of_fold_probabilities():
+    """Features are noise: out of fold they foretell nothing, while in-sample probabilities repeat the labels."""
+    assert chain_weight(in_sample=False) < 0.5 < 2 < chain_weight(in_sample=True)
+
+
+def test_scores_match_a_plain_version(spark):
+    docs, labels = corpus(300, seed=3)
+    df = spark.createDataFrame(docs, "doc_id long, text string, toxic string")
+    known = toxicity.chain_labels(spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    columns, models = pickle.loads(toxicity.train(df, known, ("low_quality", "toxic")))
+    places = {h: i for i, h in enumerate(columns.tolist())}
+    want = {}
+    for d, text, _ in docs:
+        held = {places[h] for h in toxicity.text_features(text).tolist() if h in places}
+        chain = []
+        for w, c, b in models:
+            chain.append(1 / (1 + math.exp(-(sum(w[i] for i in held) + sum(p * q for p, q in zip(chain, c, strict=True)) + b))))
+        want[d] = chain
+    for r in toxicity.scores(df, known).collect():
+        assert np.allclose((r.p_low_quality, r.p_toxic), want[r.doc_id])
+
+
+def test_texts_that_share_an_id_are_fitted_alike(spark):
+    docs, labels = corpus(60, seed=4)
+    twice = docs + [(d, "zz " + t, x) for d, t, x in docs]
+    known = toxicity.chain_labels(spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    models = [toxicity.train(spark.createDataFrame(rows, "doc_id long, text string, toxic string").repartition(n), known, ("toxic",)) for rows, n in ((twice, 2), (twice[::-1], 5))]
+    assert models[0] == models[1]
 
 
 def test_without_labels(spark):
