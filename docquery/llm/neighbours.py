@@ -102,7 +102,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, verified: float
     spread = lambda name, n: F.pmod(F.xxhash64(name, "vector"), F.lit(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
     keys = ["width", "block", "part"]
-    points = points.withColumn("block", F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(blocks))).withColumn("part", every(query_blocks))
+    points = points.withColumn("block", F.pmod(F.xxhash64("vec_id", "vector"), F.lit(blocks))).withColumn("part", every(query_blocks))
     asked = asked.withColumn("part", spread("query_id", query_blocks)).withColumn("block", every(blocks))
     found = points.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(functools.partial(_block, k=k, verified=verified), "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
