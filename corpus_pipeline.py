@@ -3,7 +3,8 @@
 A stage takes (spark, docs, sf_dir) and returns the columns of documents; the
 last returns where each document is stored. Rows without doc_id can't be told
 apart by a stage's verdict: they pass the filters. Rows that share a doc_id
-share its verdict.
+share its verdict on toxicity and contamination; near-dedup and mixing tell
+them apart by their other columns.
 """
 
 from __future__ import annotations
@@ -18,7 +19,8 @@ from docquery.llm.sharding import sharded
 from docquery.llm.storage import written
 from docquery.llm.toxicity import flagged
 
-SHARDS = 40
+#: Bytes of a shard of the corpus: sharding splits until leaves reach them.
+SHARD_BYTES = 128 << 20
 
 
 def _without(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
@@ -33,7 +35,10 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that are near duplicates (five words, similarity 0.8), the one with the smallest doc_id stays."""
-    return _without(docs, near_duplicates(docs, width=5).where("not kept"))
+    gone = near_duplicates(docs, width=5).where("not kept").select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")).distinct()
+    # a row is told by its id and text: another text under the id of a copy stays
+    own = [docs["doc_id"] == F.col("gone_id"), F.xxhash64(docs["text"]) == F.col("gone_hash")]
+    return docs.join(gone, own, "left_anti")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,21 +47,24 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it: not at all, once or twice."""
-    taken = mixed(docs, label_quality(spark.read.parquet(f"{sf_dir}/labels.parquet")))
-    times = taken.where("taken > 0").groupBy(F.col("doc_id").alias("id")).agg(F.max(F.floor(F.col("taken") / F.col("size"))).cast("int").alias("times"))
-    placed = docs.join(times, docs["doc_id"].eqNullSafe(times["id"]))
-    return placed.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select(docs.columns)
+    """Each document as often as the mix takes it: not at all, once or twice; equal rows together as often as all of them."""
+    own = docs.select(*docs.columns, F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("mix id"), F.xxhash64(*docs.columns).alias("mix row"))
+    taken = mixed(docs, label_quality(spark.read.parquet(f"{sf_dir}/labels.parquet")), row=F.xxhash64(*docs.columns))
+    times = taken.groupBy(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("mix id"), F.col("row").alias("mix row")).agg(F.sum(F.when(F.col("taken") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(0)).cast("int").alias("mix times"), F.count("*").alias("mix rows"))
+    times, keys = written(times.where("`mix times` > 0"), "mix-times"), ["mix id", "mix row"]
+    once = own.join(times.where("`mix rows` = 1"), keys)
+    repeated = own.join(times.where("`mix rows` > 1"), keys).dropDuplicates(keys)
+    return once.unionByName(repeated).withColumn("mix copy", F.explode(F.sequence(F.lit(1), F.col("mix times")))).select(docs.columns)
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Shard and slot of every document and copy."""
-    return sharded(docs, shards=SHARDS)
+    return sharded(docs, target_bytes=SHARD_BYTES)
 
 
 STAGES = [("toxicity", toxicity), ("near_dedup", near_dedup), ("decontamination", decontamination), ("mixing", mixing), ("sharding", sharding)]
 
-#: The classifier is not expressible in SQL; tests/llm/test_pipeline.py holds the stages against brute force.
+#: The classifier is not expressible in SQL; tests/llm/test_pipeline.py holds the stages against brute-force versions on planted rows.
 ORACLE_SQL = None
 
 
