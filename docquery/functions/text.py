@@ -7,29 +7,41 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The code points that count as whitespace and as line ends.
+# The code points that count as whitespace and as line ends, as text and as patterns.
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+ENDS = "\n\x0b\x0c\r\x1c\x1d\x1e\x85\u2028\u2029"
 WHITESPACE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 LINE_END = r"\r\n|[\n-\r\x1c-\x1e\x{85}\x{2028}\x{2029}]"
 
 
+def _holds(c: Column, characters: str) -> Column:
+    """Whether c has any of the characters: searches for bytes, which cost far less than a pattern."""
+    found = F.contains(c, F.lit(characters[0]))
+    for x in characters[1:]:
+        found = found | F.contains(c, F.lit(x))
+    return found
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body of a value that is computed once, however often body uses it."""
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"\A{WHITESPACE}+|{WHITESPACE}+\z", "")
+    return F.trim(c, F.lit(SPACES))
 
 
 def collapse(c: Column) -> Column:
     """Words joined by single spaces."""
-    return F.regexp_replace(strip(c), f"{WHITESPACE}+", " ")
+    c = strip(c)
+    usual = F.regexp_replace(F.replace(c, F.lit("\n"), F.lit(" ")), " {2,}", " ")
+    return F.when(_holds(c, SPACES.replace("\n", "").replace(" ", "")), F.regexp_replace(c, f"{WHITESPACE}+", " ")).otherwise(usual)
 
 
 def split_lines(c: Column) -> Column:
     """Lines without their ends; a last line end opens no line."""
-    parts = F.split(c, LINE_END, -1)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))).otherwise(parts)
+    parts = F.when(_holds(c, ENDS[1:]), F.split(c, LINE_END, -1)).otherwise(F.split(c, "\n", -1))
+    return let(parts, lambda x: F.when(F.element_at(x, -1) == "", F.slice(x, 1, F.greatest(F.size(x) - 1, F.lit(0)))).otherwise(x))
 
 
 def utf8(c: Column) -> Column:
@@ -56,19 +68,12 @@ def mime(c: Column) -> Column:
 
 
 def hard_split(text: Column, limit: Column | int) -> Column:
-    """Pieces of at most `limit` characters, cut at the last space that fits; limit must be positive."""
-    limit = F.lit(limit) if isinstance(limit, int) else limit
-    first = strip(text)
-    steps = F.sequence(F.lit(1), F.greatest(F.lit(1), 2 * F.ceil(F.length(first) / limit).cast("int") + 1))
-
-    def step(state: Column, _: Column) -> Column:
-        rest = state["rest"]
-        long = F.length(rest) > limit
-        last = limit + 1 - F.locate(" ", F.reverse(F.substring(rest, F.lit(1), limit + 1)))
-        cut = F.when((last > 0) & (last <= limit), last).otherwise(limit)
-        piece = F.when(long, strip(F.substring(rest, F.lit(1), cut))).otherwise(rest)
-        left = F.when(long, strip(F.substring(rest, cut + 1, F.length(rest)))).otherwise(F.lit(""))
-        return F.struct(left.alias("rest"), F.when(rest == "", state["pieces"]).otherwise(F.concat(state["pieces"], F.array(piece))).alias("pieces"))
-
-    start = F.struct(first.alias("rest"), F.array().cast("array<string>").alias("pieces"))
-    return F.when(text.isNotNull(), F.aggregate(steps, start, step, lambda s: s["pieces"]))
+    """Pieces of at most `limit` characters, cut at the last space that fits; limit must be positive.
+
+    One pass of a pattern: as many characters as may be before the end, or
+    before a space, or else as many as may be; the space around is dropped.
+    """
+    size = (F.lit(limit) if isinstance(limit, int) else limit).cast("string")
+    some = F.concat(F.lit(".{1,"), size, F.lit("}"))
+    pattern = F.concat(F.lit("(?s)("), some, F.lit(r"\z|"), some, F.lit("(?= )|"), some, F.lit(f"){WHITESPACE}*"))
+    return F.transform(F.regexp_extract_all(strip(text), pattern, F.lit(1)), strip)

@@ -7,13 +7,15 @@ from pyspark.sql import functions as F
 
 from docquery.functions.text import hard_split
 from docquery.operators import answering, evaluation, ingest
-from docquery.operators.chunking import exploded, markdown_chunks, page_chunks
-from docquery.operators.markdown import elements, title
+from docquery.operators.chunking import identified, markdown_chunks, page_chunks
+from docquery.operators.indexing import embedded, indexed, searchable, with_payload
+from docquery.operators.markdown import elements, titles
 from docquery.operators.routing import with_file_type
 from docquery.operators.vectors import HashEmbedder, norm, top_k, upserted
+from docquery.sources.scratch import written
 
-#: Hits per query where chunks are packed; per golden case; every so many ids is a query.
-K, GOLDEN_K, EVERY = 5, 25, 20
+#: Hits per query, where chunks are packed, and per golden case; every so many ids is a query; components of hashed and of supplied vectors.
+K, PACK_K, GOLDEN_K, EVERY, HASHED, SUPPLIED = 5, 12, 25, 20, 16, 64
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,8 +23,10 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def md_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents as Markdown files: source and language as headings, each line a paragraph."""
-    body = F.concat(F.lit("# "), F.col("source"), F.lit("\n\n## "), F.col("lang"), F.lit("\n\n"), F.replace("text", F.lit("\n"), F.lit("\n\n")))
+    """documents as Markdown files: source and language as headings, each line a paragraph, some under further headings, nested and repeated."""
+    own = F.concat(F.lit("## "), F.col("lang"), F.lit("\n\n"))
+    line = lambda x, i: F.concat(F.when(i % 6 == 2, "### Part\n\n").when(i % 6 == 3, "###### Deep\n\n").when(i % 6 == 5, own).otherwise(""), x)
+    body = F.concat(F.lit("# "), F.col("source"), F.lit("\n\n"), own, F.array_join(F.transform(F.split("text", "\n"), line), "\n\n"))
     docs = _read(spark, sf_dir, "documents")
     name = F.concat(F.lit("doc-"), F.col("doc_id").cast("string"), F.lit(".md"))
     return docs.select((F.col("doc_id") + 1).alias("document_id"), (F.col("doc_id") % 3 + 1).alias("workspace_id"), name.alias("filename"), F.lit("text/markdown").alias("content_type"), body.alias("body"))
@@ -43,39 +47,49 @@ def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return points(spark, sf_dir).where(f"(point_id - 1) % {EVERY} = 0").select((F.col("point_id") - 1).alias("query_id"), "workspace_id", "vector")
 
 
-def _hits(spark: SparkSession, sf_dir: str, k: int = K) -> DataFrame:
-    return top_k(points(spark, sf_dir), asked(spark, sf_dir), k)
-
-
 def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return md_source(spark, sf_dir).withColumn("content", F.encode("body", "UTF-8")).drop("body")
 
 
 def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = md_source(spark, sf_dir).withColumn("chunks", markdown_chunks(elements(F.col("body"))))
-    return exploded(docs.select("document_id", "workspace_id", "chunks"))
+    return identified(markdown_chunks(elements(md_source(spark, sf_dir))))
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_file_type(md_source(spark, sf_dir).drop("body")).select("document_id", "workspace_id", "filename", "file_type")
+
 
+def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every twentieth document as a question to its workspace."""
+    docs = _read(spark, sf_dir, "documents").where(F.col("doc_id") % EVERY == 0)
+    asked_for = docs.select(F.col("doc_id").alias("query_id"), (F.col("doc_id") % 3 + 1).alias("workspace_id"), F.col("text").alias("question"))
+    return HashEmbedder(HASHED).queries(asked_for, "question")
+
+
+class Engine:
+    """What the answering queries share: the stored chunks, their points, and the hits of all questions, each made once."""
 
-def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A chunk per document, with the point's id and workspace; points of absent documents have none."""
-    docs, own = _read(spark, sf_dir, "documents"), points(spark, sf_dir).select("point_id", "workspace_id")
-    joined = docs.join(own, docs["doc_id"] + 1 == own["point_id"])
-    return joined.select(
-        F.col("point_id").alias("chunk_db_id"), "workspace_id", F.sha2("text", 256).alias("chunk_id"), F.col("point_id").alias("document_id"),
-        F.concat(F.lit("doc-"), F.col("doc_id").cast("string"), F.lit(".md")).alias("document_name"), F.lit("markdown").alias("source_type"), F.lit(0).alias("chunk_index"),
-        F.when(F.col("doc_id") % 4 > 0, F.col("source")).alias("section"), F.when(F.col("doc_id") % 3 > 0, (F.col("doc_id") % 7).cast("int")).alias("page_start"),
-        F.when(F.col("doc_id") % 5 > 0, (F.col("doc_id") % 7 + F.col("doc_id") % 2).cast("int")).alias("page_end"), "text",
-    )
+    def __init__(self, spark: SparkSession, sf_dir: str, k: int = PACK_K):
+        self.documents = _documents(spark, sf_dir)
+        self.chunks = written(_chunks(spark, sf_dir), "chunks")
+        self.points = written(indexed(embedded(self.chunks, HashEmbedder(HASHED), HASHED), self.documents)[0], "points")
+        self.questions = _questions(spark, sf_dir)
+        self.hits = written(top_k(searchable(self.points), self.questions, k, HASHED), "hits")
+        self.stored = answering.stored_chunks(self.chunks, self.documents)
 
+    def found(self) -> DataFrame:
+        return answering.sources(answering.hydrated(self.hits, self.stored))
 
-def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return answering.sources(answering.hydrated(_hits(spark, sf_dir), _stored(spark, sf_dir)))
+    def ranked(self) -> tuple[DataFrame, DataFrame]:
+        """Golden cases, each question's expected chunk the first of its own document, with their ranks; and the hits with their payload."""
+        first = self.chunks.where("chunk_index = 0").select((F.col("document_id") - 1).alias("query_id"), F.col("chunk_id").alias("expected_chunk_id"))
+        hits = with_payload(self.hits, self.points).select("query_id", "rank", "score", "payload.*")
+        return evaluation.case_ranks(self.questions.select("query_id").join(first, "query_id"), hits), hits
 
 
-def _replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _replies(found: DataFrame) -> DataFrame:
     """Replies of a model that answers, refuses, cites what it was not given, or breaks the format."""
-    found = _found(spark, sf_dir)
-    listed = F.array_join(F.transform(F.array_sort(F.collect_list("n")), lambda n: F.concat(F.lit('"SOURCE_'), n.cast("string"), F.lit('"'))), ", ")
+    listed = F.array_join(F.transform(F.sort_array(F.collect_list("n")), lambda n: F.concat(F.lit('"SOURCE_'), n.cast("string"), F.lit('"'))), ", ")
     base = found.where("included").groupBy("query_id").agg(listed.alias("ids"))
     kind = F.col("query_id") / EVERY % 6
     reply = (
@@ -89,13 +103,6 @@ def _replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answering.parsed_reply(base.select("query_id", reply.alias("reply")))
 
 
-def _golden(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A query's expected point: the next one of its workspace."""
-    own, other = asked(spark, sf_dir).select("query_id", "workspace_id"), points(spark, sf_dir).select("point_id", "workspace_id")
-    after = own.join(other, "workspace_id").where("point_id - 1 > query_id")
-    return after.groupBy("query_id").agg(F.min("point_id").alias("expected_id"))
-
-
 def route_files(spark, sf_dir):
     kind = F.col("doc_id") % 7
     name = F.concat(F.lit("f."), F.element_at(F.array(*map(F.lit, ["md", "PDF", "docx", "markdown", "md", "tar.pdf", "txt"])), (kind + 1).cast("int")))
@@ -109,12 +116,12 @@ def doc_checksum(spark, sf_dir):
 
 
 def md_elements(spark, sf_dir):
-    found = md_source(spark, sf_dir).select("document_id", F.posexplode(elements(F.col("body"))).alias("at", "e"))
-    return found.select("document_id", "at", "e.text", "e.element_type", F.array_join("e.heading_path", " > ").alias("path"), "e.heading_level", "e.line_start", "e.line_end")
+    return elements(md_source(spark, sf_dir)).select("document_id", "at", "text", "element_type", F.array_join("heading_path", " > ").alias("path"), "heading_level", "line_start", "line_end")
 
 
 def md_title(spark, sf_dir):
-    return md_source(spark, sf_dir).select("document_id", title(elements(F.col("body")), F.col("filename")).alias("title"))
+    docs = md_source(spark, sf_dir)
+    return titles(docs, elements(docs))
 
 
 def split_text(spark, sf_dir):
@@ -123,7 +130,7 @@ def split_text(spark, sf_dir):
 
 
 def md_chunks(spark, sf_dir):
-    return _chunks(spark, sf_dir).select("document_id", "chunk_index", "text", "section", "line_start", "line_end", "part_index", "char_count", F.size("element_types").alias("paragraphs"))
+    return _chunks(spark, sf_dir).select("document_id", "chunk_index", "text", "section", "line_start", "line_end", "part_index", "char_count", F.array_join("element_types", ",").alias("kinds"))
 
 
 def md_chunk_ids(spark, sf_dir):
@@ -131,13 +138,13 @@ def md_chunk_ids(spark, sf_dir):
 
 
 def page_chunks_query(spark, sf_dir):
-    pages = page_source(spark, sf_dir).groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("page", "text"))).alias("pages"))
-    rows = exploded(pages.select("document_id", page_chunks(F.col("pages")).alias("chunks")))
-    return rows.select("document_id", "chunk_index", "text", "page_start", "page_end", "char_count", "chunk_id", F.size("element_types").alias("pieces"))
+    rows = identified(page_chunks(page_source(spark, sf_dir)))
+    return rows.select("document_id", "chunk_index", "text", "page_start", "page_end", "char_count", "chunk_id", F.array_join("element_types", ",").alias("kinds"))
 
 
 def chunk_stats(spark, sf_dir):
-    return _chunks(spark, sf_dir).groupBy("workspace_id").agg(F.count("*").alias("chunks"), F.count_distinct("document_id").alias("documents"), F.sum("char_count").alias("chars"), F.max("char_count").alias("longest"), F.min("line_start").alias("first_line"), F.max("line_end").alias("last_line"))
+    rows = _chunks(spark, sf_dir).withColumn("workspace_id", (F.col("document_id") - 1) % 3 + 1)
+    return rows.groupBy("workspace_id").agg(F.count("*").alias("chunks"), F.count_distinct("document_id").alias("documents"), F.sum("char_count").alias("chars"), F.max("char_count").alias("longest"), F.min("line_start").alias("first_line"), F.max("line_end").alias("last_line"))
 
 
 def ingest_status(spark, sf_dir):
@@ -161,7 +168,7 @@ def _rounded(hits: DataFrame) -> DataFrame:
 
 
 def vector_topk(spark, sf_dir):
-    return _rounded(_hits(spark, sf_dir))
+    return _rounded(top_k(points(spark, sf_dir), asked(spark, sf_dir), K, SUPPLIED))
 
 
 def vector_upsert(spark, sf_dir):
@@ -172,7 +179,7 @@ def vector_upsert(spark, sf_dir):
 
 def _embedded(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select((F.col("doc_id") + 1).alias("point_id"), (F.col("doc_id") % 3 + 1).alias("workspace_id"), "text")
-    return HashEmbedder(16).passages(docs, "text").drop("text")
+    return HashEmbedder(HASHED).passages(docs, "text").drop("text")
 
 
 def hash_embed(spark, sf_dir):
@@ -181,50 +188,80 @@ def hash_embed(spark, sf_dir):
 
 
 def hash_search(spark, sf_dir):
-    docs = _read(spark, sf_dir, "documents").where(F.col("doc_id") % EVERY == 0)
-    questions = HashEmbedder(16).queries(docs.select(F.col("doc_id").alias("query_id"), (F.col("doc_id") % 3 + 1).alias("workspace_id"), F.col("text").alias("question")), "question")
-    return _rounded(top_k(_embedded(spark, sf_dir), questions, K)).select("query_id", "rank", "score")
+    return _rounded(top_k(_embedded(spark, sf_dir), _questions(spark, sf_dir), K, HASHED)).select("query_id", "point_id", "rank", "score")
+
+
+def index_points(spark, sf_dir):
+    """Points of all chunks: payload, and a weighted sum that stands for the vector."""
+    found, _ = indexed(embedded(_chunks(spark, sf_dir), HashEmbedder(HASHED), HASHED), _documents(spark, sf_dir))
+    weighted = F.aggregate(F.transform("vector", lambda x, i: x * (i + 1)), F.lit(0.0), lambda s, x: s + x)
+    return found.select("point_id", "payload.*", F.round(weighted, 6).alias("weighted"))
+
+
+def index_status(spark, sf_dir):
+    """Per document: chunks indexed, and why there are none; every eleventh document has no chunk table rows, every thirteenth no workspace."""
+    documents = _documents(spark, sf_dir).withColumn("workspace_id", F.when(F.col("document_id") % 13 > 0, F.col("workspace_id")))
+    rows = written(embedded(_chunks(spark, sf_dir).where("document_id % 11 > 0"), HashEmbedder(HASHED), HASHED), "embedded")
+    found, errors = indexed(rows, documents)
+    counts = found.groupBy(F.col("payload.document_id").alias("document_id")).agg(F.count("*").alias("indexed_chunks")).withColumn("message", F.lit(None).cast("string"))
+    return counts.unionByName(errors.select("document_id", F.lit(0).cast("long").alias("indexed_chunks"), "message"))
+
+
+def chunk_search(spark, sf_dir):
+    engine = Engine(spark, sf_dir, K)
+    return with_payload(engine.hits, engine.points).select("query_id", "rank", "point_id", F.round("score", 6).alias("score"), "payload.chunk_id", "payload.document_name", "error_message")
 
 
 def hydrate(spark, sf_dir):
-    return answering.hydrated(_hits(spark, sf_dir), _stored(spark, sf_dir)).select("query_id", "chunk_db_id", "document_id", "document_name", "section", "page_start", "page_end", F.length("text").alias("chars"))
+    engine = Engine(spark, sf_dir)
+    return answering.hydrated(engine.hits, engine.stored).select("query_id", "chunk_db_id", "document_id", "document_name", "section", "page_start", "page_end", F.length("text").alias("chars"))
 
 
 def enrich_rank(spark, sf_dir):
-    return answering.hydrated(_hits(spark, sf_dir), _stored(spark, sf_dir)).select("query_id", "rank", "chunk_db_id", "chunk_id", F.round("retrieval_score", 6).alias("score"))
+    engine = Engine(spark, sf_dir)
+    return answering.hydrated(engine.hits, engine.stored).select("query_id", "rank", "chunk_db_id", "chunk_id", F.round("retrieval_score", 6).alias("score"))
 
 
 def missing_hits(spark, sf_dir):
-    return answering.missing(_hits(spark, sf_dir), _stored(spark, sf_dir).where("chunk_db_id % 3 > 0"))
+    engine = Engine(spark, sf_dir)
+    return answering.missing(engine.hits, engine.stored.where("chunk_db_id % 3 > 0"))
 
 
 def context_blocks(spark, sf_dir):
-    return _found(spark, sf_dir).select("query_id", "source_id", "block", "included")
+    return Engine(spark, sf_dir).found().select("query_id", "source_id", "block", "included")
 
 
 def context_pack(spark, sf_dir):
-    return answering.packed(_found(spark, sf_dir))
+    return answering.packed(Engine(spark, sf_dir).found())
 
 
 def prompts(spark, sf_dir):
     question = F.concat(F.lit(" What is "), F.col("query_id").cast("string"), F.lit("? "))
-    return answering.packed(_found(spark, sf_dir)).select("query_id", answering.prompt(question, F.col("prompt_context")).alias("prompt"))
+    return answering.packed(Engine(spark, sf_dir).found()).select("query_id", answering.prompt(question, F.col("prompt_context")).alias("prompt"))
 
 
 def llm_parse(spark, sf_dir):
-    return _replies(spark, sf_dir).select("query_id", "text", F.array_join("cited_source_ids", ",").alias("cited"), "refused", "error_message")
+    return _replies(Engine(spark, sf_dir).found()).select("query_id", "text", F.array_join("cited_source_ids", ",").alias("cited"), "refused", "error_message")
+
+
+def _cited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = Engine(spark, sf_dir).found()
+    return answering.citations(_replies(found), found)
 
 
 def citations(spark, sf_dir):
-    return answering.citations(_replies(spark, sf_dir), _found(spark, sf_dir)).select("query_id", "position", "source_id", "chunk_id", "document_id")
+    return _cited(spark, sf_dir).select("query_id", "position", "source_id", "chunk_id", "document_id")
 
 
 def answers(spark, sf_dir):
-    return answering.answers(asked(spark, sf_dir), _hits(spark, sf_dir), _found(spark, sf_dir), _replies(spark, sf_dir))
+    """Of every seventh question the chunks have gone from the chunk table, and to every ninth the model does not reply."""
+    engine = Engine(spark, sf_dir)
+    found = engine.found().where(F.col("query_id") / EVERY % 7 > 0)
+    return answering.answers(engine.questions, engine.hits, found, _replies(found).where(F.col("query_id") / EVERY % 9 > 0))
 
 
 def eval_cases(spark, sf_dir):
-    return evaluation.case_ranks(_golden(spark, sf_dir), _hits(spark, sf_dir, GOLDEN_K))
+    return Engine(spark, sf_dir, GOLDEN_K).ranked()[0]
 
 
 def eval_metrics(spark, sf_dir):
@@ -232,13 +269,12 @@ def eval_metrics(spark, sf_dir):
 
 
 def eval_failures(spark, sf_dir):
-    hits = _hits(spark, sf_dir, GOLDEN_K)
-    missed = evaluation.failures(evaluation.case_ranks(_golden(spark, sf_dir), hits), hits)
-    return missed.select("query_id", "expected_id", F.array_join(F.transform("retrieved", lambda x: x["point_id"].cast("string")), ",").alias("retrieved"))
+    missed = evaluation.failures(*Engine(spark, sf_dir, GOLDEN_K).ranked())
+    return missed.select("query_id", "expected_chunk_id", F.array_join(F.transform("retrieved", lambda x: x["chunk_id"]), ",").alias("retrieved"))
 
 
 def public_citations(spark, sf_dir):
-    return answering.public(answering.citations(_replies(spark, sf_dir), _found(spark, sf_dir)))
+    return answering.public(_cited(spark, sf_dir))
 
 
 def integrity(spark, sf_dir):
@@ -263,6 +299,6 @@ def health(spark, sf_dir):
 QUERIES = {
     f.__name__.removesuffix("_query"): f
     for f in (route_files, doc_checksum, md_elements, md_title, split_text, md_chunks, md_chunk_ids, page_chunks_query, chunk_stats, ingest_status, dup_documents, shared_chunk_ids,
-              vector_topk, vector_upsert, hash_embed, hash_search, hydrate, enrich_rank, missing_hits, context_blocks, context_pack, prompts, llm_parse, citations, answers,
+              vector_topk, vector_upsert, hash_embed, hash_search, index_points, index_status, chunk_search, hydrate, enrich_rank, missing_hits, context_blocks, context_pack, prompts, llm_parse, citations, answers,
               eval_cases, eval_metrics, eval_failures, public_citations, integrity, workspace_check, health)
 }

@@ -4,16 +4,19 @@ from __future__ import annotations
 
 from docquery.operators.answering import INSTRUCTION, REFUSAL
 
-SOURCE = """md as (select doc_id + 1 as document_id, doc_id % 3 + 1 as workspace_id, '# ' || source || chr(10) || chr(10) || '## ' || lang || chr(10) || chr(10) || replace(text, chr(10), chr(10) || chr(10)) as body from documents)"""
-#: Lines, then headings and paragraphs; every document opens with a heading of level 1 and one of level 2.
+SOURCE = """md as (select doc_id + 1 as document_id, doc_id % 3 + 1 as workspace_id, '# ' || source || chr(10) || chr(10) || '## ' || lang || chr(10) || chr(10) || array_to_string(list_transform(string_split(text, chr(10)),
+        lambda x, i: case (i - 1) % 6 when 2 then '### Part' || chr(10) || chr(10) when 3 then '###### Deep' || chr(10) || chr(10) when 5 then '## ' || lang || chr(10) || chr(10) else '' end || x), chr(10) || chr(10)) as body from documents)"""
+#: Lines, then headings, whose paths are built one after another, and paragraphs.
 ELEMENTS = f"""{SOURCE},
     line as (select document_id, unnest(string_split(body, chr(10))) as raw, generate_subscripts(string_split(body, chr(10)), 1) as n from md),
-    kind as (select *, trim(raw) as x, regexp_matches(trim(raw), '^#{{1,6}} ') as head from line),
-    run as (select *, sum(case when head or x = '' then 1 else 0 end) over (partition by document_id order by n) as g from kind),
-    top as (select document_id, max(case when n = 1 then substr(x, 3) end) as h1, max(case when n = 3 then substr(x, 4) end) as h2 from run group by 1),
-    para as (select document_id, min(n) as a, max(n) as z, trim(string_agg(raw, chr(10) order by n)) as text from run where not head and x <> '' group by document_id, g),
-    el as (select document_id, text, 'paragraph' as element_type, h1 || ' > ' || h2 as path, null as heading_level, a, z from para join top using (document_id)
-           union all select document_id, h1, 'heading', h1, 1, 1, 1 from top union all select document_id, h2, 'heading', h1 || ' > ' || h2, 2, 3, 3 from top)"""
+    kind as (select *, trim(raw) as x, regexp_matches(trim(raw), '^#{{1,6}} ') as head, length(regexp_extract(trim(raw), '^#+')) as level from line),
+    run as (select *, sum(case when head or x = '' then 1 else 0 end) over (partition by document_id order by n) as g, sum(case when head then 1 else 0 end) over (partition by document_id order by n) as h from kind),
+    top as (select document_id, h, n, level, trim(substr(x, level + 2)) as title from run where head),
+    stack as (select document_id, h, [title] as path from top where h = 1
+              union all select top.document_id, top.h, list_concat(list_slice(stack.path, 1, least(len(stack.path), level - 1)), [title]) from stack join top on top.document_id = stack.document_id and top.h = stack.h + 1),
+    para as (select document_id, h, min(n) as a, max(n) as z, trim(string_agg(raw, chr(10) order by n)) as text from run where not head and x <> '' group by document_id, g, h),
+    el as (select document_id, h, text, 'paragraph' as element_type, array_to_string(path, ' > ') as path, null::bigint as heading_level, a, z from para join stack using (document_id, h)
+           union all select document_id, h, title, 'heading', array_to_string(path, ' > '), level, n, n from top join stack using (document_id, h))"""
 
 
 def split_cte(name: str, base: str, keys: str) -> str:
@@ -24,12 +27,12 @@ def split_cte(name: str, base: str, keys: str) -> str:
 
 
 CHUNKS = f"""{ELEMENTS},
-    p as (select document_id, path, a, z, text, row_number() over (partition by document_id order by a) as k, length(path) + 2 as pre, length(path) + 2 + length(text) > 1200 as over from el where element_type = 'paragraph'),
+    p as (select document_id, h, path, a, z, text, row_number() over (partition by document_id order by a) as k, length(path) + 2 as pre, length(path) + 2 + length(text) > 1200 as over from el where element_type = 'paragraph'),
     big as (select document_id, k, text as rest, 1200 - pre as lim from p where over),
     {split_cte("piece", "big", "document_id, k")},
-    pack as (select document_id, k, 1 as no, pre + length(text) as len, over from p where k = 1
-             union all select p.document_id, p.k, case when not p.over and not pack.over and pack.len + 2 + length(p.text) <= 1200 then no else no + 1 end,
-                              case when not p.over and not pack.over and pack.len + 2 + length(p.text) <= 1200 then pack.len + 2 + length(p.text) else p.pre + length(p.text) end, p.over
+    pack as (select document_id, k, h, 1 as no, pre + length(text) as len, over from p where k = 1
+             union all select p.document_id, p.k, p.h, case when not p.over and not pack.over and p.h = pack.h and pack.len + 2 + length(p.text) <= 1200 then no else no + 1 end,
+                              case when not p.over and not pack.over and p.h = pack.h and pack.len + 2 + length(p.text) <= 1200 then pack.len + 2 + length(p.text) else p.pre + length(p.text) end, p.over
              from pack join p on p.document_id = pack.document_id and p.k = pack.k + 1),
     c0 as (select document_id, no, null::int as part, any_value(path) as section, min(a) as line_start, max(z) as line_end, count(*) as paragraphs, any_value(path) || chr(10) || chr(10) || string_agg(text, chr(10) || chr(10) order by k) as text
            from pack join p using (document_id, k) where not p.over group by document_id, no
@@ -40,18 +43,31 @@ CHUNKS = f"""{ELEMENTS},
 DOT = "list_inner_product({0}::double[], {1}::double[])"
 
 
-def hits(k: int) -> str:
-    return f"""pt as (select vec_id + 1 as point_id, label + 1 as workspace_id, embedding as vector from embeddings),
+def embed(name: str, base: str, key: str, prefix: str) -> str:
+    return f"""{name}_tok as (select {key}, ('0x' || substr(md5(x), 1, 7))::bigint % 16 as b from (select {key}, unnest(string_split(lower('{prefix}: ' || trim(t, ' ' || chr(10))), ' ')) as x from {base}) where x <> ''),
+    {name}_cnt as (select {key}, b, count(*)::double as n from {name}_tok group by all),
+    {name}_len as (select {key}, sqrt(sum(n * n)) as l from {name}_cnt group by all),
+    {name} as (select {name}_len.{key}, i as bucket, coalesce(n, 0) / l as x from {name}_len cross join range(16) r(i) left join {name}_cnt on {name}_cnt.{key} = {name}_len.{key} and b = i)"""
+
+
+VECTOR_HITS = f"""pt as (select vec_id + 1 as point_id, label + 1 as workspace_id, embedding as vector from embeddings),
     q as (select point_id - 1 as query_id, workspace_id, vector from pt where (point_id - 1) % 20 = 0),
     s as (select query_id, q.workspace_id::bigint as workspace_id, point_id, {DOT.format("pt.vector", "q.vector")} as score from q join pt using (workspace_id)),
-    hit as (select *, row_number() over (partition by query_id order by score desc, point_id)::int as rank from s qualify rank <= {k})"""
+    hit as (select *, row_number() over (partition by query_id order by round(score, 12) desc, point_id)::int as rank from s qualify rank <= 5)"""
+STORE = f"""{CHUNKS},
+    stored as (select id as chunk_db_id, (document_id - 1) % 3 + 1 as workspace_id, chunk_id, document_id, 'doc-' || (document_id - 1) || '.md' as document_name, 'markdown' as source_type,
+                      chunk_index::int as chunk_index, section, null::int as page_start, null::int as page_end, text from c),
+    body as (select chunk_db_id as point_id, text as t from stored), {embed("v", "body", "point_id", "passage")}"""
+
+
+def hits(k: int) -> str:
+    return f"""{STORE},
+    q as (select doc_id as query_id, doc_id % 3 + 1 as workspace_id, text as t from documents where doc_id % 20 = 0), {embed("u", "q", "query_id", "query")},
+    s as (select query_id, q.workspace_id, point_id, sum(u.x * v.x) as score from u join q using (query_id) join stored on stored.workspace_id = q.workspace_id join v on v.point_id = chunk_db_id and v.bucket = u.bucket group by all),
+    hit as (select *, row_number() over (partition by query_id order by round(score, 12) desc, point_id)::int as rank from s qualify rank <= {k})"""
 
 
-STORED = f"""{hits(5)},
-    stored as (select point_id as chunk_db_id, workspace_id::bigint as workspace_id, sha256(text) as chunk_id, point_id as document_id, 'doc-' || doc_id || '.md' as document_name, 'markdown' as source_type,
-                      case when doc_id % 4 > 0 then source end as section, case when doc_id % 3 > 0 then (doc_id % 7)::int end as page_start,
-                      case when doc_id % 5 > 0 then (doc_id % 7 + doc_id % 2)::int end as page_end, text
-               from documents join pt on doc_id + 1 = point_id),
+STORED = f"""{hits(12)},
     ctx as (select query_id, rank, score, stored.* from hit join stored on point_id = chunk_db_id and hit.workspace_id = stored.workspace_id)"""
 BLOCKS = f"""{STORED},
     b0 as (select *, row_number() over (partition by query_id order by rank) as n from ctx),
@@ -70,15 +86,9 @@ REPLIES = f"""{BLOCKS},
     mention as (select query_id, source_id, (row_number() over (partition by query_id order by min(pos)) - 1)::int as position from said group by query_id, source_id),
     cit as (select mention.position, src.* from mention join src on src.query_id = mention.query_id and src.source_id = mention.source_id and included)"""
 GOLDEN = f"""{hits(25)},
-    gold as (select query_id, min(point_id) as expected_id from q join pt using (workspace_id) where point_id - 1 > query_id group by query_id),
-    ranked as (select gold.query_id, expected_id, min(rank) as relevant_rank from gold left join hit on hit.query_id = gold.query_id and point_id = expected_id group by all)"""
-
-
-def embed(name: str, base: str, key: str, prefix: str) -> str:
-    return f"""{name}_tok as (select {key}, ('0x' || substr(md5(x), 1, 7))::bigint % 16 as b from (select {key}, unnest(string_split(lower('{prefix}: ' || trim(t, ' ' || chr(10))), ' ')) as x from {base}) where x <> ''),
-    {name}_cnt as (select {key}, b, count(*)::double as n from {name}_tok group by all),
-    {name}_len as (select {key}, sqrt(sum(n * n)) as l from {name}_cnt group by all),
-    {name} as (select {name}_len.{key}, i as bucket, coalesce(n, 0) / l as x from {name}_len cross join range(16) r(i) left join {name}_cnt on {name}_cnt.{key} = {name}_len.{key} and b = i)"""
+    gold as (select query_id, chunk_id as expected_chunk_id from q join stored on document_id = query_id + 1 and chunk_index = 0),
+    told as (select query_id, rank, chunk_id from hit join stored on chunk_db_id = point_id),
+    ranked as (select gold.query_id, expected_chunk_id, min(rank) as relevant_rank from gold left join told on told.query_id = gold.query_id and told.chunk_id = expected_chunk_id group by all)"""
 
 
 DOCS16 = "d16 as (select doc_id + 1 as point_id, doc_id % 3 + 1 as workspace_id, text as t from documents)"
@@ -96,12 +106,12 @@ ORACLES = {
         select doc_id, case doc_id % 7 when 0 then 'markdown' when 1 then 'pdf' when 3 then 'markdown' when 5 then 'pdf' when 6 then 'markdown' end as file_type,
                case doc_id % 7 when 2 then 'UNSUPPORTED_TYPE' when 4 then 'TYPE_CONFLICT' end as error_code from documents""",
     "doc_checksum": f"with {SOURCE} select document_id, octet_length(encode(body)) as file_size_bytes, sha256(body) as checksum from md",
-    "md_elements": f"with {ELEMENTS} select document_id, (row_number() over (partition by document_id order by a) - 1)::int as at, text, element_type, path, heading_level::int as heading_level, a::int as line_start, z::int as line_end from el",
+    "md_elements": f"with recursive {ELEMENTS} select document_id, (row_number() over (partition by document_id order by a) - 1)::int as at, text, element_type, path, heading_level::int as heading_level, a::int as line_start, z::int as line_end from el",
     "md_title": "select doc_id + 1 as document_id, source as title from documents",
     "split_text": f"with recursive base as (select doc_id, trim(replace(text, chr(10), ' ')) as rest, 300 as lim from documents), {split_cte('piece', 'base', 'doc_id')} select doc_id, part::int as part_index, piece from piece",
-    "md_chunks": f"with recursive {CHUNKS} select document_id, chunk_index::int as chunk_index, text, section, line_start::int as line_start, line_end::int as line_end, part::int as part_index, char_count::int as char_count, paragraphs::int as paragraphs from c",
+    "md_chunks": f"with recursive {CHUNKS} select document_id, chunk_index::int as chunk_index, text, section, line_start::int as line_start, line_end::int as line_end, part::int as part_index, char_count::int as char_count, array_to_string(list_transform(range(paragraphs), lambda i: 'paragraph'), ',') as kinds from c",
     "md_chunk_ids": f"with recursive {CHUNKS} select id, document_id, chunk_index::int as chunk_index, chunk_id from c",
-    "page_chunks": f"with recursive {PAGES} select document_id, chunk_index::int as chunk_index, text, page_start, page_end, char_count::int as char_count, pieces::int as pieces, sha256(ident || chr(10) || 'occurrence:' || (row_number() over (partition by document_id, ident order by chunk_index) - 1)) as chunk_id from c",
+    "page_chunks": f"with recursive {PAGES} select document_id, chunk_index::int as chunk_index, text, page_start, page_end, char_count::int as char_count, array_to_string(list_transform(range(pieces), lambda i: 'page_text'), ',') as kinds, sha256(ident || chr(10) || 'occurrence:' || (row_number() over (partition by document_id, ident order by chunk_index) - 1)) as chunk_id from c",
     "chunk_stats": f"with recursive {CHUNKS} select (document_id - 1) % 3 + 1 as workspace_id, count(*) as chunks, count(distinct document_id) as documents, sum(char_count)::bigint as chars, max(char_count)::int as longest, min(line_start)::int as first_line, max(line_end)::int as last_line from c group by 1",
     "ingest_status": """
         with p as (select conv_id + 1 as d, turn + 1 as page, (turn + 1) % 5 = 0 or (conv_id + 1) % 11 = 0 as failed, trim(text, ' ' || chr(10)) <> '' as has from conversations),
@@ -110,7 +120,7 @@ ORACLES = {
                case when not ok then 'Parsing produced no usable chunks.' when bad is not null then 'Text extraction failed for pages: ' || bad end as error_message, ok as has_chunks from g""",
     "dup_documents": f"with {SOURCE} select sha256(body) as checksum, count(*) as copies, min(document_id) as first from md group by 1 having count(*) > 1",
     "shared_chunk_ids": f"with recursive {CHUNKS} select chunk_id, count(distinct document_id) as documents, min(id) as first from c group by chunk_id having count(distinct document_id) > 1",
-    "vector_topk": f"with {hits(5)} select query_id, workspace_id, point_id, round(score, 6) as score, rank from hit",
+    "vector_topk": f"with {VECTOR_HITS} select query_id, workspace_id, point_id, round(score, 6) as score, rank from hit",
     "vector_upsert": """
         with old as (select vec_id + 1 as point_id, label::bigint + 1 as workspace_id, list_sum(embedding::double[]) as total from embeddings),
         new as (select case when point_id % 8 = 0 then point_id else point_id + 1000000 end as point_id, workspace_id, -total as total from old where point_id % 4 = 0)
@@ -119,29 +129,37 @@ ORACLES = {
     "hash_search": f"""with {DOCS16}, ask as (select doc_id as query_id, doc_id % 3 + 1 as workspace_id, text as t from documents where doc_id % 20 = 0),
         {embed("v", "d16", "point_id", "passage")}, {embed("u", "ask", "query_id", "query")},
         s as (select query_id, point_id, sum(u.x * v.x) as score from u join ask using (query_id) join d16 using (workspace_id) join v using (point_id, bucket) group by all)
-        select query_id, row_number() over (partition by query_id order by score desc, point_id)::int as rank, round(score, 6) as score from s qualify rank <= 5""",
-    "hydrate": f"with {STORED} select query_id, chunk_db_id, document_id, document_name, section, page_start, page_end, length(text)::int as chars from ctx",
-    "enrich_rank": f"with {STORED} select query_id, rank, chunk_db_id, chunk_id, round(score, 6) as score from ctx",
-    "missing_hits": f"with {STORED} select query_id, point_id, rank from hit where not exists (select 1 from stored where chunk_db_id = point_id and chunk_db_id % 3 > 0)",
-    "context_blocks": f"with {BLOCKS} select query_id, source_id, block, included from src",
-    "context_pack": f"with {BLOCKS} select query_id, prompt_context, source_count, omitted_count, length(prompt_context) as character_count from packed",
-    "prompts": f"""with {BLOCKS} select query_id, case when prompt_context <> '' then concat_ws(chr(10) || chr(10), 'Question:', 'What is ' || query_id || '?', 'Sources:', trim(prompt_context, ' ' || chr(10)), '{INSTRUCTION}') end as prompt from packed""",
-    "llm_parse": f"with {REPLIES} select query_id, text, case when ids is not null then array_to_string(ids, ',') end as cited, refused, error_message from rep",
-    "citations": f"with {REPLIES} select query_id, position, source_id, chunk_id, document_id from cit",
-    "answers": f"""with {REPLIES},
-        st as (select q.query_id, count(distinct hit.point_id) as hits, count(distinct ctx.chunk_db_id) as held from q left join hit using (query_id) left join ctx on ctx.query_id = q.query_id group by 1)
-        select st.query_id,
-               case when held = 0 then null when source_count = 0 then '{REFUSAL}' when kind in (2, 3, 4) or kind = 5 and source_count < 2 then null when kind = 1 then '{REFUSAL}' else text end as answer,
-               case when held = 0 then null when source_count = 0 then true when kind in (2, 3, 4) or kind = 5 and source_count < 2 then null else refused end as refused,
-               case when held = 0 then null when source_count = 0 then '' when kind in (2, 3, 4) or kind = 5 and source_count < 2 then null when kind = 1 then '' when kind = 5 then 'SOURCE_1,SOURCE_2' else array_to_string(ids, ',') end as cited,
-               case when held = 0 then 'DATA_INCONSISTENT' when source_count = 0 then null when kind in (3, 4) then 'LLM_INVALID' when kind = 2 or kind = 5 and source_count < 2 then 'INVALID_CITATION' end as error_code,
-               case when held = 0 then 'all retrieved chunks are missing from the chunk table' when source_count = 0 then null when kind in (3, 4) then error_message
-                    when kind = 2 then 'LLM cited unknown sources: SOURCE_99, SOURCE_99' when kind = 5 and source_count < 2 then 'LLM cited unknown sources: SOURCE_2' end as error_message
-        from st left join packed on packed.query_id = st.query_id left join rep on rep.query_id = st.query_id""",
-    "eval_cases": f"with {GOLDEN} select query_id, expected_id, relevant_rank from ranked",
-    "eval_metrics": f"with {GOLDEN} select count(*) as cases, count(relevant_rank) as recalled, round(avg((relevant_rank is not null)::int), 6) as recall, round(avg(coalesce(1.0::double / relevant_rank, 0)), 6) as mrr from ranked",
-    "eval_failures": f"with {GOLDEN} select query_id, expected_id, (select string_agg(point_id::varchar, ',' order by rank) from hit where hit.query_id = ranked.query_id) as retrieved from ranked where relevant_rank is null",
-    "public_citations": f"with {REPLIES} select query_id, position, source_id, document_name, source_type, section, page_start, page_end, text as quote from cit",
+        select query_id, point_id, row_number() over (partition by query_id order by round(score, 12) desc, point_id)::int as rank, round(score, 6) as score from s qualify rank <= 5""",
+    "index_points": f"""with recursive {STORE}, w as (select point_id, sum(x * (bucket + 1)) as weighted from v group by 1)
+        select point_id, workspace_id, document_id, chunk_id, chunk_index, section, document_name, source_type, page_start, page_end, round(weighted, 6) as weighted from stored join w on point_id = chunk_db_id""",
+    "index_status": f"""with recursive {CHUNKS}, n as (select document_id, count(*) as n from c where document_id % 11 > 0 group by 1)
+        select doc_id + 1 as document_id, case when (doc_id + 1) % 13 = 0 then 0 else coalesce(n, 0) end as indexed_chunks,
+               case when (doc_id + 1) % 13 = 0 then 'document workspace_id must not be empty' when n is null then 'document must contain at least one chunk' end as message
+        from documents left join n on n.document_id = doc_id + 1""",
+    "chunk_search": f"""with recursive {hits(5)} select query_id, rank, point_id, round(score, 6) as score, chunk_id, document_name, null::varchar as error_message from hit join stored on chunk_db_id = point_id""",
+    "hydrate": f"with recursive {STORED} select query_id, chunk_db_id, document_id, document_name, section, page_start, page_end, length(text)::int as chars from ctx",
+    "enrich_rank": f"with recursive {STORED} select query_id, rank, chunk_db_id, chunk_id, round(score, 6) as score from ctx",
+    "missing_hits": f"with recursive {STORED} select query_id, point_id, rank from hit where not exists (select 1 from stored where chunk_db_id = point_id and chunk_db_id % 3 > 0)",
+    "context_blocks": f"with recursive {BLOCKS} select query_id, source_id, block, included from src",
+    "context_pack": f"with recursive {BLOCKS} select query_id, prompt_context, source_count, omitted_count, length(prompt_context) as character_count from packed",
+    "prompts": f"""with recursive {BLOCKS} select query_id, case when prompt_context <> '' then concat_ws(chr(10) || chr(10), 'Question:', 'What is ' || query_id || '?', 'Sources:', trim(prompt_context, ' ' || chr(10)), '{INSTRUCTION}') end as prompt from packed""",
+    "llm_parse": f"with recursive {REPLIES} select query_id, text, case when ids is not null then array_to_string(ids, ',') end as cited, refused, error_message from rep",
+    "citations": f"with recursive {REPLIES} select query_id, position, source_id, chunk_id, document_id from cit",
+    "answers": f"""with recursive {REPLIES},
+        st as (select q.query_id, q.query_id // 20 % 7 = 0 as gone, q.query_id // 20 % 9 = 0 as silent, count(hit.point_id) as hits from q left join hit using (query_id) group by all),
+        v1 as (select st.*, coalesce(source_count, 0) as n, rep.kind, rep.text, rep.ids, rep.refused, rep.error_message,
+                      case when hits = 0 then 'none' when gone then 'lost' when coalesce(source_count, 0) = 0 then 'none' when silent then 'silent' when kind in (3, 4) then 'bad' when kind = 2 or kind = 5 and source_count < 2 then 'unknown' when kind = 1 then 'none' else 'said' end as what
+               from st left join packed on packed.query_id = st.query_id left join rep on rep.query_id = st.query_id)
+        select query_id, case what when 'none' then '{REFUSAL}' when 'said' then text end as answer, case what when 'none' then true when 'said' then false end as refused,
+               case what when 'none' then '' when 'said' then case when kind = 5 then 'SOURCE_1,SOURCE_2' else array_to_string(ids, ',') end end as cited,
+               case what when 'lost' then 'DATA_INCONSISTENT' when 'silent' then 'LLM_INVALID' when 'bad' then 'LLM_INVALID' when 'unknown' then 'INVALID_CITATION' end as error_code,
+               case what when 'lost' then 'all retrieved chunks are missing from the chunk table' when 'silent' then 'the model returned an invalid response' when 'bad' then error_message
+                         when 'unknown' then case when kind = 2 then 'LLM cited unknown sources: SOURCE_99, SOURCE_99' else 'LLM cited unknown sources: SOURCE_2' end end as error_message
+        from v1""",
+    "eval_cases": f"with recursive {GOLDEN} select query_id, expected_chunk_id, relevant_rank from ranked",
+    "eval_metrics": f"with recursive {GOLDEN} select count(*) as cases, count(relevant_rank) as recalled, round(avg((relevant_rank is not null)::int), 6) as recall, round(avg(coalesce(1.0::double / relevant_rank, 0)), 6) as mrr from ranked",
+    "eval_failures": f"with recursive {GOLDEN} select query_id, expected_chunk_id, (select string_agg(chunk_id, ',' order by rank) from told where told.query_id = ranked.query_id) as retrieved from ranked where relevant_rank is null",
+    "public_citations": f"with recursive {REPLIES} select query_id, position, source_id, document_name, source_type, section, page_start, page_end, text as quote from cit",
     "integrity": f"with recursive {CHUNKS} select count(*) as chunks, (count(*) - count(distinct (document_id, chunk_id)))::bigint as repeated_ids, (count(*) - count(distinct id))::bigint as repeated_places, 0::bigint as wrong_lengths, count(*) filter (where char_count > 1200) as too_long from c",
     "workspace_check": "select doc_id, doc_id % 8 as workspace_id, case when doc_id % 8 not in (select r_regionkey + 1 from region) then 'WORKSPACE_NOT_FOUND' end as error_code from documents",
     "health": """with p as (select 'documents' as store, count(*) > 0 and count(*) = count(doc_id) as ok from documents union all select 'embeddings', count(*) > 0 and count(*) = count(vec_id) from embeddings

@@ -11,7 +11,7 @@ CONTEXT_CHARS = 12_000
 # The refusal and the instruction of the prompt.
 REFUSAL = "现有文档中没有足够证据回答这个问题。"
 INSTRUCTION = "Return an answer based only on the sources. Also identify the exact SOURCE_N identifiers used. If the sources are insufficient, refuse to answer."
-INCONSISTENT, UNKNOWN = "all retrieved chunks are missing from the chunk table", "LLM cited unknown sources: "
+INCONSISTENT, UNKNOWN, NO_REPLY = "all retrieved chunks are missing from the chunk table", "LLM cited unknown sources: ", "the model returned an invalid response"
 STORED = ["chunk_db_id", "workspace_id", "chunk_id", "document_id", "document_name", "source_type", "chunk_index", "section", "page_start", "page_end", "text"]
 
 
@@ -59,7 +59,7 @@ def packed(found: DataFrame) -> DataFrame:
     """query_id, prompt_context, source_count, omitted_count, character_count from sources()."""
     inside = F.collect_list(F.when(F.col("included"), F.struct("n", "block")))
     out = found.groupBy("query_id").agg(
-        F.array_join(F.transform(F.array_sort(inside), lambda x: x["block"]), "\n\n").alias("prompt_context"),
+        F.array_join(F.transform(F.sort_array(inside), lambda x: x["block"]), "\n\n").alias("prompt_context"),
         F.count_if("included").alias("source_count"),
         (F.count("*") - F.count_if("included")).alias("omitted_count"),
     )
@@ -91,7 +91,7 @@ def parsed_reply(replies: DataFrame) -> DataFrame:
 
 def stub_replies(found: DataFrame) -> DataFrame:
     """query_id and a JSON reply that needs no model: the first sentence of the first source, citing the first two."""
-    cited = F.transform(F.array_sort(F.collect_list(F.when(F.col("included") & (F.col("n") <= 2), F.struct("n", "source_id")))), lambda x: x["source_id"])
+    cited = F.transform(F.sort_array(F.collect_list(F.when(F.col("included") & (F.col("n") <= 2), F.struct("n", "source_id")))), lambda x: x["source_id"])
     told = F.max(F.when(F.col("included") & (F.col("n") == 1), F.regexp_extract("text", r"(?s)\A[^.]*", 0)))
     out = found.groupBy("query_id").agg(told.alias("text"), cited.alias("cited_source_ids")).where("text is not null")
     return out.select("query_id", F.to_json(F.struct("text", "cited_source_ids", F.lit(False).alias("refused"))).alias("reply"))
@@ -104,10 +104,12 @@ def citations(replies: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def answers(questions: DataFrame, hits: DataFrame, found: DataFrame, replies: DataFrame) -> DataFrame:
-    """query_id, answer, refused, cited, error_code, error_message of every question."""
+    """query_id, answer, refused, cited, error_code, error_message of every question; sources without a reply are an invalid one."""
     seen = hits.groupBy("query_id").agg(F.count("*").alias("hits"))
     given = found.groupBy("query_id").agg(F.count("*").alias("stored"), F.collect_set(F.when(F.col("included"), F.col("source_id"))).alias("known"))
-    rows = questions.select("query_id").join(seen, "query_id", "left").join(given, "query_id", "left").join(replies, "query_id", "left")
+    said_so = replies.withColumn("replied", F.lit(True))
+    rows = questions.select("query_id").join(seen, "query_id", "left").join(given, "query_id", "left").join(said_so, "query_id", "left")
+    rows = rows.withColumn("error_message", F.when(F.col("replied").isNull(), NO_REPLY).otherwise(F.col("error_message")))
     wrong = F.filter("cited_source_ids", lambda x: ~F.array_contains("known", x))
     lost = F.col("hits").isNotNull() & F.col("stored").isNull()
     bad = F.col("error_message").isNotNull()

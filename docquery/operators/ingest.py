@@ -2,59 +2,89 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docquery.functions.text import utf8
-from docquery.operators.chunking import MAX_CHARS, PREFIX_TOO_LONG, exploded, markdown_chunks, page_chunks, prefix_too_long
-from docquery.operators.markdown import elements, title
+from docquery.functions.text import stem, utf8
+from docquery.operators.chunking import FIELDS, MAX_CHARS, PREFIX_TOO_LONG, identified, markdown_chunks, page_chunks, prefix_too_long
+from docquery.operators.markdown import elements
 from docquery.operators.routing import with_file_type
 
 # Messages, and limits of names and sections.
 BAD_UTF8, NO_CHUNKS, FAILED_PAGES = "Markdown file must be valid UTF-8.", "Parsing produced no usable chunks.", "Text extraction failed for pages: "
 NAME_CHARS, SECTION_CHARS, MESSAGE_CHARS = 255, 500, 2000
+#: Columns that parsed() adds; files must not bring their own.
+ADDED = {"file_size_bytes", "checksum", "file_type", "error_code", "error_message", "status", "chunks", "chunk_count", "title", "failed_pages"}
 
 
-def parsed(files: DataFrame, pages: DataFrame | None = None, max_chars: int = MAX_CHARS) -> DataFrame:
-    """files (document_id, workspace_id, filename, content_type, content) with state and chunks; pages (document_id, page, text, failed) of PDF files.
-
-    A failed row without page is a file that can't be read, and its text the reason.
-    A row that can't be stored has an error_code and no status. A stored one is
-    COMPLETED, PARTIAL (pages failed) or FAILED, with an error_message.
-    """
+def checked(files: DataFrame, workspaces: DataFrame | None = None) -> DataFrame:
+    """files with size, checksum, file_type, and error_code and error_message where they are rejected: nothing of those is stored."""
+    clash = sorted(ADDED & set(files.columns))
+    if clash:
+        raise ValueError(f"files have columns that are added: {', '.join(clash)}")
     routed = with_file_type(files.withColumns({"file_size_bytes": F.octet_length("content"), "checksum": F.sha2("content", 256)}))
     empty = F.coalesce(F.col("file_size_bytes"), F.lit(0)) == 0
     code = F.when(F.col("error_code") == "INVALID_INPUT", F.col("error_code")).when(F.length("filename") > NAME_CHARS, "INVALID_INPUT").when(empty, "EMPTY_DOCUMENT").otherwise(F.col("error_code"))
-    routed = routed.withColumn("error_code", code)
-    if pages is None:
-        routed = routed.withColumns({"pages": F.array().cast("array<struct<page:int,text:string>>"), "failed_pages": F.array().cast("array<int>"), "unreadable": F.lit(None).cast("string")})
-    else:
+    message = F.col("error_message")
+    if workspaces is not None:
+        routed = in_known_workspaces(routed, workspaces)
+        lost = F.concat(F.lit("Workspace "), F.coalesce(F.col("workspace_id").cast("string"), F.lit("null")), F.lit(" does not exist."))
+        message = F.when(code.isNull() & F.col("workspace_error").isNotNull(), lost).otherwise(message)
+        code = F.coalesce(code, "workspace_error")
+    return routed.withColumns({"error_code": code, "error_message": message}).drop("workspace_error")
+
+
+def pending(files: DataFrame) -> DataFrame:
+    """Accepted files of checked() as documents that wait for their parsing."""
+    return files.where("error_code is null").drop("content", "error_code").withColumns({"status": F.lit("PENDING"), "error_message": F.lit(None).cast("string"), "chunk_count": F.lit(0)})
+
+
+def parsed(files: DataFrame, pages: DataFrame | None = None, max_chars: int = MAX_CHARS, workspaces: DataFrame | None = None) -> DataFrame:
+    """files (document_id, workspace_id, filename, content_type, content) without content, with state and chunks; pages (document_id, page, text, failed, title) of PDF files.
+
+    A failed row of pages without page is a file that can't be read, and its text the reason.
+    A row that can't be stored has an error_code and no status. A stored one is
+    COMPLETED, PARTIAL (pages failed) or FAILED, with an error_message. Ids must not repeat.
+    """
+    routed = checked(files, workspaces)
+    markdown = routed.where("error_code is null and file_type = 'markdown'").select("document_id", utf8(F.col("content")).alias("body"))
+    found = elements(markdown.where("body is not null"))
+    rows = markdown_chunks(found, max_chars)
+    facts = found.groupBy("document_id").agg(F.bool_or(prefix_too_long(max_chars)).alias("cramped"), F.min_by(F.when(F.col("heading_level") == 1, F.col("text")), F.when(F.col("heading_level") == 1, F.col("at"))).alias("top"))
+    facts = markdown.select("document_id", F.col("body").isNull().alias("bad")).join(facts, "document_id", "left").withColumns({"failed_pages": F.array().cast("array<int>"), "unreadable": F.lit(None).cast("string")})
+    if pages is not None:
         good = ~F.coalesce("failed", F.lit(False))
-        held = pages.groupBy("document_id").agg(
-            F.array_sort(F.collect_list(F.when(good, F.struct(F.col("page").cast("int").alias("page"), "text")))).alias("pages"),
-            F.array_sort(F.collect_list(F.when(~good, F.col("page").cast("int")))).alias("failed_pages"),
+        rows = rows.unionByName(page_chunks(pages.where(good), max_chars))
+        named = F.max("title") if "title" in pages.columns else F.lit(None).cast("string")
+        of_pages = pages.groupBy("document_id").agg(
+            F.sort_array(F.collect_list(F.when(~good, F.col("page").cast("int")))).alias("failed_pages"),
             F.max(F.when(~good & F.col("page").isNull(), F.col("text"))).alias("unreadable"),
+            named.alias("top"),
         )
-        routed = routed.join(held, "document_id", "left")
-    markdown = F.col("error_code").isNull() & (F.col("file_type") == "markdown")
-    read = routed.withColumn("body", F.when(markdown, utf8(F.col("content")))).withColumn("elements", elements(F.col("body")))
-    cramped = prefix_too_long(F.col("elements"), max_chars)
-    chunks = F.when(markdown & ~cramped, markdown_chunks(F.col("elements"), max_chars)).when(F.col("error_code").isNull() & (F.col("file_type") == "pdf"), page_chunks(F.col("pages"), max_chars))
-    read = read.withColumn("chunks", chunks)
-    long_section = F.exists("chunks", lambda c: F.length(c["section"]) > SECTION_CHARS)
+        facts = facts.unionByName(of_pages, allowMissingColumns=True)
+    lists = rows.groupBy("document_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("chunk_index", *FIELDS))), lambda c: F.struct(*[c[x].alias(x) for x in FIELDS])).alias("chunks"))
+    read = routed.drop("content").join(facts, "document_id", "left").join(lists, "document_id", "left")
     failure = (
-        F.when(markdown & F.col("body").isNull(), BAD_UTF8)
-        .when(cramped, PREFIX_TOO_LONG)
+        F.when(F.col("bad"), BAD_UTF8)
+        .when(F.col("cramped"), PREFIX_TOO_LONG)
         .when(F.col("unreadable").isNotNull(), F.col("unreadable"))
         .when(F.coalesce(F.size("chunks"), F.lit(0)) <= 0, NO_CHUNKS)
-        .when(long_section, f"section is longer than {SECTION_CHARS} characters")
+        .when(F.exists("chunks", lambda c: F.length(c["section"]) > SECTION_CHARS), f"section is longer than {SECTION_CHARS} characters")
     )
-    partial = F.size("failed_pages") > 0
-    status = F.when(F.col("error_code").isNotNull(), F.lit(None)).when(failure.isNotNull(), "FAILED").when(partial, "PARTIAL").otherwise("COMPLETED")
-    message = F.when(F.col("error_code").isNotNull(), F.col("error_message")).when(failure.isNotNull(), failure).when(partial, F.concat(F.lit(FAILED_PAGES), F.array_join("failed_pages", ", ")))
-    read = read.withColumns({"status": status, "message": F.substring(message, 1, MESSAGE_CHARS)})
-    read = read.withColumns({"chunks": F.when(F.col("status").isin("COMPLETED", "PARTIAL"), F.col("chunks")), "title": title(F.col("elements"), F.col("filename"))})
-    return read.drop("error_message", "body", "pages", "unreadable").withColumnRenamed("message", "error_message").withColumn("chunk_count", F.greatest(F.coalesce(F.size("chunks"), F.lit(0)), F.lit(0)))
+    partial, rejected = F.coalesce(F.size("failed_pages"), F.lit(0)) > 0, F.col("error_code").isNotNull()
+    status = F.when(rejected, F.lit(None)).when(failure.isNotNull(), "FAILED").when(partial, "PARTIAL").otherwise("COMPLETED")
+    message = F.when(rejected, F.col("error_message")).when(failure.isNotNull(), failure).when(partial, F.concat(F.lit(FAILED_PAGES), F.array_join("failed_pages", ", ")))
+    read = read.withColumns({"status": status, "error_message": F.substring(message, 1, MESSAGE_CHARS)})
+    read = read.withColumns({"chunks": F.when(F.col("status").isin("COMPLETED", "PARTIAL"), F.col("chunks")), "title": F.coalesce("top", stem(F.col("filename")))})
+    return read.drop("bad", "cramped", "unreadable", "top").withColumn("chunk_count", F.coalesce(F.size("chunks"), F.lit(0)))
+
+
+def failed(documents: DataFrame, errors: DataFrame) -> DataFrame:
+    """documents with those of errors (document_id, message) FAILED; what is stored of them stays."""
+    told = errors.groupBy("document_id").agg(F.min("message").alias("reason"))
+    rows = documents.join(told, "document_id", "left")
+    wrong: Column = F.col("reason").isNotNull()
+    return rows.withColumns({"status": F.when(wrong, "FAILED").otherwise(F.col("status")), "error_message": F.when(wrong, F.substring("reason", 1, MESSAGE_CHARS)).otherwise(F.col("error_message"))}).drop("reason")
 
 
 def in_known_workspaces(files: DataFrame, workspaces: DataFrame) -> DataFrame:
@@ -65,4 +95,5 @@ def in_known_workspaces(files: DataFrame, workspaces: DataFrame) -> DataFrame:
 
 def chunk_rows(documents: DataFrame) -> DataFrame:
     """Chunks of stored documents, a row each."""
-    return exploded(documents.select("document_id", "workspace_id", F.col("filename").alias("document_name"), F.col("file_type").alias("source_type"), "chunks").where("chunks is not null"))
+    rows = documents.where("chunks is not null").select("document_id", "workspace_id", F.col("filename").alias("document_name"), F.col("file_type").alias("source_type"), F.posexplode("chunks").alias("chunk_index", "c"))
+    return identified(rows.select("document_id", "workspace_id", "document_name", "source_type", "chunk_index", "c.*"))

@@ -1,47 +1,54 @@
-"""Markdown structure: headings with their paths, and paragraphs, in one fold over a document's lines."""
+"""Markdown structure: headings with their paths, and paragraphs, by windows over a document's lines."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docquery.functions.text import split_lines, stem, strip
 
-ELEMENTS = "array<struct<text:string,element_type:string,heading_path:array<string>,heading_level:int,line_start:int,line_end:int>>"
-
-
-def _element(text: Column, kind: str, path: Column, level: Column, first: Column, last: Column) -> Column:
-    return F.struct(
-        text.alias("text"), F.lit(kind).alias("element_type"), path.alias("heading_path"),
-        level.cast("int").alias("heading_level"), first.cast("int").alias("line_start"), last.cast("int").alias("line_end"),
+#: Levels of headings, a fixed value.
+LEVELS = 6
+
+
+def elements(docs: DataFrame) -> DataFrame:
+    """document_id, at, text, element_type, heading_path, heading_level, line_start, line_end, section_no of Markdown documents (document_id, body).
+
+    A heading nests by position: its depth is one more than its predecessor's,
+    or its level if that is less. So depth is the number of headings so far plus
+    the least (level - number) among them, and the path at a line holds, for each
+    depth down to the current one, the last heading of that depth. section_no
+    counts headings. A null body has no elements; document_id must not repeat.
+    """
+    lines = docs.select("document_id", F.posexplode(split_lines(F.col("body"))).alias("i", "raw"))
+    lines = lines.withColumn("x", strip(F.col("raw")))
+    marks = F.length(F.regexp_extract("x", r"\A(#{1,6}) ", 1))
+    lines = lines.withColumns({"level": F.when(F.startswith("x", F.lit("#")) & (marks > 0), marks), "blank": F.col("x") == ""})
+    lines = lines.withColumn("head", F.col("level").isNotNull())
+    lines = lines.withColumn("title", F.when(F.col("head"), strip(F.substring(F.col("x"), F.col("level") + 2, F.length("x")))))
+    upto = Window.partitionBy("document_id").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    lines = lines.withColumns({"section_no": F.sum(F.col("head").cast("int")).over(upto), "block": F.sum((F.col("head") | F.col("blank")).cast("int")).over(upto)})
+    depth = F.col("section_no") + F.least(F.lit(0), F.min(F.col("level") - F.col("section_no")).over(upto))
+    lines = lines.withColumn("depth", F.when(F.col("head"), depth).cast("int"))
+    names = [F.last(F.when(F.col("depth") == d, F.col("title")), ignorenulls=True).over(upto) for d in range(1, LEVELS + 1)]
+    lines = lines.withColumn("path", F.slice(F.array(*names), F.lit(1), F.coalesce(F.last("depth", ignorenulls=True).over(upto), F.lit(0))))
+    # a block opens with a heading or a blank line, and the lines after it up to the next such line are a paragraph
+    body = F.when(~F.col("head") & ~F.col("blank"), F.struct("i", "raw"))
+    blocks = lines.groupBy("document_id", "block").agg(
+        F.max("title").alias("title"), F.max("level").alias("level"), F.min(F.when(F.col("head"), F.col("i"))).alias("at_head"),
+        F.sort_array(F.collect_list(body)).alias("held"), F.first("path").alias("path"), F.first("section_no").alias("section_no"),
     )
-
-
-def elements(body: Column) -> Column:
-    """Headings and paragraphs of a Markdown text, in order."""
-    lines = F.transform(F.concat(split_lines(body), F.array(F.lit(""))), lambda x, i: F.struct((i + 1).alias("n"), x.alias("raw"), strip(x).alias("x")))
-
-    def step(state: Column, line: Column) -> Column:
-        head, blank = line["x"].rlike(r"\A#{1,6} "), line["x"] == ""
-        level = F.length(F.regexp_extract(line["x"], r"\A(#+)", 1))
-        ends = (head | blank) & (F.size(state["held"]) > 0)
-        paragraph = _element(strip(F.array_join(state["held"], "\n")), "paragraph", state["path"], F.lit(None), state["first"], line["n"] - 1)
-        path = F.concat(F.slice(state["path"], 1, F.least(F.size(state["path"]), level - 1)), F.array(strip(F.substring(line["x"], level + 2, F.length(line["x"])))))
-        heading = _element(F.element_at(path, -1), "heading", path, level, line["n"], line["n"])
-        none = F.array().cast(ELEMENTS)
-        return F.struct(
-            F.when(head, path).otherwise(state["path"]).alias("path"),
-            F.when(head | blank, F.array().cast("array<string>")).otherwise(F.concat(state["held"], F.array(line["raw"]))).alias("held"),
-            F.when(F.size(state["held"]) > 0, state["first"]).otherwise(line["n"]).alias("first"),
-            F.concat(state["out"], F.when(ends, F.array(paragraph)).otherwise(none), F.when(head, F.array(heading)).otherwise(none)).alias("out"),
-        )
-
-    empty = F.array().cast("array<string>")
-    start = F.struct(empty.alias("path"), empty.alias("held"), F.lit(1).alias("first"), F.array().cast(ELEMENTS).alias("out"))
-    return F.aggregate(lines, start, step, lambda s: s["out"])
-
-
-def title(found: Column, filename: Column) -> Column:
-    """The first heading of level 1, or else the file's stem."""
-    tops = F.filter(found, lambda e: e["heading_level"] == 1)
-    return F.when(F.size(tops) > 0, tops[0]["text"]).otherwise(stem(filename))
+    null = F.lit(None)
+    paragraph = strip(F.array_join(F.transform("held", lambda x: x["raw"]), "\n"))
+    element = lambda text, kind, level, first, last: F.struct(text.alias("text"), F.lit(kind).alias("element_type"), level.cast("int").alias("heading_level"), (first + 1).alias("line_start"), (last + 1).alias("line_end"))
+    heading = F.when(F.col("title").isNotNull(), element(F.col("title"), "heading", F.col("level"), F.col("at_head"), F.col("at_head")))
+    text = F.when(F.size("held") > 0, element(paragraph, "paragraph", null, F.get("held", F.lit(0))["i"], F.element_at("held", -1)["i"]))
+    found = blocks.select("document_id", "section_no", F.col("path").alias("heading_path"), F.explode(F.array_compact(F.array(heading, text))).alias("e"))
+    place = F.row_number().over(Window.partitionBy("document_id").orderBy("e.line_start")) - 1
+    return found.select("document_id", place.alias("at"), "e.text", "e.element_type", "heading_path", "e.heading_level", "e.line_start", "e.line_end", "section_no")
+
+
+def titles(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """document_id and title of documents (document_id, filename): the first heading of level 1 in elements found, or else the file's stem."""
+    tops = found.where("heading_level = 1").groupBy("document_id").agg(F.min_by("text", "at").alias("top"))
+    return docs.select("document_id", "filename").join(tops, "document_id", "left").select("document_id", F.coalesce("top", stem(F.col("filename"))).alias("title"))

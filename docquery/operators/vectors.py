@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import Protocol
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docquery.functions.text import let, strip
 
-#: Hits per query; parts that a workspace's points are dealt into, so that no task holds a large workspace.
-TOP_K, SPLITS = 5, 16
+#: Hits per query; points of a workspace that a task compares with its queries; digits of a score in which ties are ties.
+TOP_K, SPLIT_POINTS, DIGITS = 5, 50_000, 12
+#: Parts of a workspace that is compared by several tasks although it is not large, and points of a part that are worth a task.
+PARTS, FEW_POINTS = 16, 256
+#: Components up to which an inner product is written out.
+UNROLLED = 128
 
 
 class EmbeddingProvider(Protocol):
@@ -30,7 +36,10 @@ def normalised(vector: Column) -> Column:
     return let(vector, lambda v: let(norm(v), lambda n: F.when(n > 0, F.transform(v, lambda x: x.cast("double") / n))))
 
 
-def dot(a: Column, b: Column) -> Column:
+def dot(a: Column, b: Column, dimension: int | None = None) -> Column:
+    """Inner product; where the dimension is known and not large, as a sum that Spark compiles."""
+    if dimension and dimension <= UNROLLED:
+        return sum((F.get(a, F.lit(i)).cast("double") * F.get(b, F.lit(i)).cast("double") for i in range(1, dimension)), F.get(a, F.lit(0)).cast("double") * F.get(b, F.lit(0)).cast("double"))
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
@@ -40,21 +49,22 @@ class HashEmbedder:
     def __init__(self, dimension: int = 64):
         self.dimension = dimension
 
-    def embed(self, text: Column) -> Column:
+    def _with(self, df: DataFrame, text: Column) -> DataFrame:
         words = F.filter(F.split(F.lower(text), " "), lambda w: w != "")
-        buckets = F.transform(words, lambda w: F.conv(F.substring(F.md5(w), 1, 7), 16, 10).cast("bigint") % self.dimension)
-        places = F.sequence(F.lit(0), F.lit(self.dimension - 1))
-        return normalised(let(buckets, lambda held: F.transform(places, lambda i: F.size(F.filter(held, lambda b: b == i)).cast("double"))))
+        held = df.withColumn("words of it", F.transform(words, lambda w: (F.conv(F.substring(F.md5(w), 1, 7), 16, 10).cast("bigint") % self.dimension).cast("int")))
+        # how many are left out shows how often a bucket occurs
+        counts = F.array(*[(F.size("words of it") - F.size(F.array_remove("words of it", i))).cast("double") for i in range(self.dimension)])
+        return held.withColumn("vector", counts).drop("words of it").withColumn("vector", normalised(F.col("vector")))
 
     def passages(self, df: DataFrame, text: str) -> DataFrame:
-        return df.withColumn("vector", self.embed(F.concat(F.lit("passage: "), strip(F.col(text)))))
+        return self._with(df, F.concat(F.lit("passage: "), strip(F.col(text))))
 
     def queries(self, df: DataFrame, text: str) -> DataFrame:
-        return df.withColumn("vector", self.embed(F.concat(F.lit("query: "), strip(F.col(text)))))
+        return self._with(df, F.concat(F.lit("query: "), strip(F.col(text))))
 
 
 class ModelEmbedder:
-    """A sentence-transformer model, loaded once per worker; needs that package on the executors."""
+    """A sentence-transformer model, loaded once per worker; needs that package on the executors. A null text has no vector."""
 
     def __init__(self, model: str, dimension: int = 768, batch: int = 32):
         self.model, self.dimension, self.batch = model, dimension, batch
@@ -62,19 +72,22 @@ class ModelEmbedder:
     def _with(self, df: DataFrame, text: str, prefix: str) -> DataFrame:
         model, batch, dimension = self.model, self.batch, self.dimension
 
-        def run(parts):
+        @F.pandas_udf("array<double>")
+        def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
             from sentence_transformers import SentenceTransformer
 
             loaded = SentenceTransformer(model)
             for texts in parts:
-                import pandas as pd
+                there = texts.notna()
+                out = pd.Series([None] * len(texts), index=texts.index, dtype=object)
+                if there.any():
+                    found = loaded.encode([prefix + t.strip() for t in texts[there]], batch_size=batch, normalize_embeddings=True)
+                    if found.shape[1] != dimension:
+                        raise ValueError(f"embedding dimension mismatch: expected {dimension}, got {found.shape[1]}")
+                    out[there] = list(found.astype("float64"))
+                yield out
 
-                found = loaded.encode([prefix + t.strip() for t in texts], batch_size=batch, normalize_embeddings=True)
-                if found.shape[1] != dimension:
-                    raise ValueError("embedding dimension mismatch")
-                yield pd.Series(list(found.astype("float64")))
-
-        return df.withColumn("vector", F.pandas_udf(run, "array<double>", F.PandasUDFType.SCALAR_ITER)(F.col(text)))
+        return df.withColumn("vector", run(F.col(text)))
 
     def passages(self, df: DataFrame, text: str) -> DataFrame:
         return self._with(df, text, "passage: ")
@@ -88,19 +101,23 @@ def upserted(points: DataFrame, incoming: DataFrame) -> DataFrame:
     return points.join(incoming.select("point_id"), "point_id", "left_anti").unionByName(incoming.select(points.columns))
 
 
-def top_k(points: DataFrame, queries: DataFrame, k: int = TOP_K, splits: int = SPLITS) -> DataFrame:
+def top_k(points: DataFrame, queries: DataFrame, k: int = TOP_K, dimension: int | None = None, split_points: int = SPLIT_POINTS) -> DataFrame:
     """query_id, workspace_id, point_id, score, rank: the k points of the query's workspace with the largest cosine.
 
     points (point_id, workspace_id, vector) and queries (query_id, workspace_id,
-    vector) hold unit vectors. Ties go to the smaller point_id. Each query meets
-    its workspace in `splits` parts, each of which keeps its own k.
+    vector) hold unit vectors. Scores equal to DIGITS digits tie, and ties go to
+    the smaller point_id. Each query meets its workspace in parts of at most
+    about split_points points, each of which keeps its own k.
     """
     if k <= 0:
         raise ValueError("limit must be positive")
-    part = F.pmod(F.xxhash64("point_id"), F.lit(splits)).cast("int")
-    asked = queries.select("query_id", "workspace_id", F.col("vector").alias("asked"), F.explode(F.sequence(F.lit(0), F.lit(splits - 1))).alias("part"))
-    scored = points.withColumn("part", part).join(asked, ["workspace_id", "part"]).select("query_id", "workspace_id", "point_id", dot(F.col("vector"), F.col("asked")).alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "point_id"))
+    # one row per workspace that is asked about
+    sizes = points.join(queries.select("workspace_id").distinct(), "workspace_id", "left_semi").groupBy("workspace_id").agg(F.greatest(F.ceil(F.count("*") / split_points), F.least(F.lit(PARTS), F.ceil(F.count("*") / FEW_POINTS))).cast("int").alias("parts"))
+    largest = sizes.agg(F.max("parts")).first()[0] or 1
+    part = F.pmod(F.xxhash64("point_id"), F.lit(largest)).cast("int")
+    asked = queries.select("query_id", "workspace_id", F.col("vector").alias("asked"), F.explode(F.sequence(F.lit(0), F.lit(largest - 1))).alias("part"))
+    scored = points.withColumn("part", part).join(asked, ["workspace_id", "part"]).select("query_id", "workspace_id", "point_id", dot(F.col("vector"), F.col("asked"), dimension).alias("score"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", DIGITS)), "point_id"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)
 
 

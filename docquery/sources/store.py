@@ -1,40 +1,94 @@
-"""Versioned Parquet tables: a version is written whole and then named as the current one."""
+"""Versioned Parquet tables of one store: versions are written whole and then named together as the current ones."""
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
+from pyspark.sql.types import _parse_datatype_string
 
+#: Shared by all workspaces; times that a table may have.
+LOG, CREATED, UPDATED = "versions", "created_at", "updated_at"
 
-class Table:
-    """A table below `root`, partitioned by workspace; readers see the last published version."""
 
-    def __init__(self, spark: SparkSession, root: str, name: str, schema: str):
-        self.spark, self.path, self.schema = spark, f"{root.rstrip('/')}/{name}", schema
+class Store:
+    """Tables below `root`. A commit is one small file, numbered one above the last; it names the folders of every table's workspaces.
+
+    A table's rows lie in a folder per commit and workspace, so that an upsert
+    rewrites the workspaces it touches and no others. Of two writers that start
+    from the same commit the second fails, since its number is taken, and has
+    to run again.
+    """
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
+
+    def _exists(self, path: str) -> bool:
+        place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return place.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(place)
 
-    def _current(self) -> str | None:
-        try:
-            row = self.spark.read.schema("version string, at timestamp").json(f"{self.path}/versions").orderBy(F.desc("at")).first()
-        except AnalysisException:
-            return None
-        return row.version if row else None
+    def state(self) -> tuple[int, dict[str, dict[int, str]]]:
+        """Number of the last commit (0: none) and, by table and workspace, the folder of the rows."""
+        if not self._exists(f"{self.root}/{LOG}"):
+            return 0, {}
+        row = self.spark.read.schema("n long, tables string").json(f"{self.root}/{LOG}/*").orderBy(F.desc("n")).first()
+        return (row.n, {t: {int(w): path for w, path in parts.items()} for t, parts in json.loads(row.tables).items()}) if row else (0, {})
 
-    def read(self) -> DataFrame:
-        version = self._current()
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/{version}") if version else self.spark.createDataFrame([], self.schema)
+    def commit(self, changes: dict[str, DataFrame], replace: bool = False) -> None:
+        """The rows of changes become the rows of the workspaces that they hold, in all tables at once; replace: of all workspaces."""
+        n, tables = self.state()
+        for name, rows in changes.items():
+            version = f"{name}/{uuid.uuid4().hex}"
+            rows.withColumn("part", F.coalesce("workspace_id", F.lit(-1))).write.partitionBy("part").parquet(f"{self.root}/{version}")
+            held = self.spark.read.parquet(f"{self.root}/{version}") if self._parts(version) else None
+            parts = {} if held is None else {r.part: f"{version}/part={r.part}" for r in held.select(F.col("part").cast("long")).distinct().collect()}
+            tables[name] = parts if replace else tables.get(name, {}) | parts
+        line = self.spark.range(1).select(F.lit(n + 1).cast("long").alias("n"), F.lit(json.dumps(tables)).alias("tables"))
+        line.coalesce(1).write.mode("error").json(f"{self.root}/{LOG}/{n + 1:012d}")
+
+    def _parts(self, version: str) -> bool:
+        place = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{version}/part=*")
+        return len(place.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(place)) > 0
+
+
+class Table:
+    """A table of a store; readers see what was committed last."""
+
+    def __init__(self, store: Store, name: str, schema: str):
+        self.store, self.name, self.schema = store, name, _parse_datatype_string(schema)
+
+    def read(self, workspaces: list[int] | None = None) -> DataFrame:
+        """All rows, or those of some workspaces."""
+        parts = self.store.state()[1].get(self.name, {})
+        paths = [f"{self.store.root}/{path}" for w, path in sorted(parts.items()) if workspaces is None or w in workspaces]
+        spark = self.store.spark
+        return spark.read.schema(self.schema).parquet(*paths) if paths else spark.createDataFrame([], self.schema)
 
     def publish(self, rows: DataFrame) -> None:
         """rows become the table; a failure before the end leaves the old version in place."""
-        version = uuid.uuid4().hex
-        rows.write.partitionBy("workspace_id").parquet(f"{self.path}/{version}")
-        self.spark.range(1).select(F.lit(version).alias("version"), F.current_timestamp().alias("at")).coalesce(1).write.mode("append").json(f"{self.path}/versions")
+        self.store.commit({self.name: rows.select(self.schema.names)}, replace=True)
+
+    def merged(self, rows: DataFrame, key: str) -> DataFrame:
+        """The touched workspaces' rows with those of equal keys replaced; a replaced row keeps its created_at, and rows get the time of now."""
+        touched = [-1 if r[0] is None else r[0] for r in rows.select("workspace_id").distinct().collect()]
+        old = self.read(touched)
+        for name in (CREATED, UPDATED):
+            if name in self.schema.names:
+                rows = rows.drop(name).withColumn(name, F.current_timestamp())
+        if CREATED in self.schema.names:
+            rows = rows.join(old.select(key, F.col(CREATED).alias("first time")), key, "left").withColumn(CREATED, F.coalesce("first time", CREATED)).drop("first time")
+        return old.join(rows.select(key), key, "left_anti").unionByName(rows.select(old.columns))
 
     def upsert(self, rows: DataFrame, key: str) -> None:
         """rows replace those with equal keys; without rows nothing happens."""
-        if rows.isEmpty():
-            return
-        old = self.read()
-        self.publish(old.join(rows.select(key), key, "left_anti").unionByName(rows.select(old.columns)))
+        if not rows.isEmpty():
+            self.store.commit({self.name: self.merged(rows, key)})
+
+
+def upsert_together(changes: list[tuple[Table, DataFrame, str]]) -> None:
+    """Upserts into several tables of one store that readers see all at once or not at all."""
+    held = [(table, rows, key) for table, rows, key in changes if not rows.isEmpty()]
+    if held:
+        held[0][0].store.commit({table.name: table.merged(rows, key) for table, rows, key in held})

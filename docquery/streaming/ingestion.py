@@ -2,23 +2,63 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from docquery.operators.ingest import chunk_rows, parsed
-from docquery.operators.routing import with_file_type
+from docquery.operators.indexing import embedded, indexed
+from docquery.operators.ingest import checked, chunk_rows, failed, parsed, pending
+from docquery.operators.vectors import EmbeddingProvider
 from docquery.sources.files import pdf_pages
-from docquery.sources.store import Table
+from docquery.sources.store import Table, upsert_together
 
 
-def ingest_stream(files: DataFrame, documents: Table, chunks: Table, checkpoint: str) -> StreamingQuery:
-    """Documents and chunks of arriving files; ids follow from content, so a repeated batch changes nothing."""
+def with_document_ids(files: DataFrame, documents: DataFrame) -> DataFrame:
+    """files (file_key, ...) with document_id: that of the stored document with the same key, or the next free ones in the order of keys.
+
+    A micro-batch's new keys are numbered in one task, which sees nothing but them.
+    """
+    known = documents.select("file_key", F.col("document_id").alias("stored"))
+    last = documents.agg(F.coalesce(F.max("document_id"), F.lit(0))).first()[0]
+    keys = files.select("file_key").distinct().join(known, "file_key", "left")
+    fresh = keys.where("stored is null").select("file_key", (F.row_number().over(Window.orderBy("file_key")) + last).alias("document_id"))
+    ids = keys.where("stored is not null").select("file_key", F.col("stored").alias("document_id")).unionByName(fresh)
+    return files.dropDuplicates(["file_key"]).join(ids, "file_key")
+
+
+def ingest_stream(
+    files: DataFrame, documents: Table, chunks: Table, checkpoint: str, workspaces: DataFrame | None = None, rejected: Table | None = None,
+    points: Table | None = None, embedder: EmbeddingProvider | None = None, dimension: int = 64,
+) -> StreamingQuery:
+    """Documents and chunks of arriving files, and their points where an embedder is given.
+
+    A file that is rejected goes to `rejected` and nowhere else. Others are stored
+    as PENDING, then with their final state and chunks in one commit; a document
+    that can't be indexed after that is FAILED and keeps its chunks. Ids hang on
+    path and content, so a repeated batch changes nothing.
+    """
 
     def batch(rows: DataFrame, _: int) -> None:
-        pages = pdf_pages(with_file_type(rows).where("file_type = 'pdf'"))
-        done = parsed(rows, pages).persist()
-        documents.upsert(done, "document_id")
-        chunks.upsert(chunk_rows(done), "id")
-        done.unpersist()
+        seen = checked(rows, workspaces)
+        if rejected is not None:
+            rejected.upsert(seen.where("error_code is not null").drop("content"), "file_key")
+        taken = with_document_ids(seen.where("error_code is null").select(rows.columns), documents.read()).persist()
+        try:
+            documents.upsert(pending(checked(taken)), "document_id")
+            pages = pdf_pages(checked(taken).where("file_type = 'pdf'"))
+            done = parsed(taken, pages).persist()
+            new = chunk_rows(done).persist()
+            upsert_together([(documents, done, "document_id"), (chunks, new, "id")])
+            if embedder is not None and points is not None:
+                stored = done.where("status <> 'FAILED'")
+                vectors = embedded(new, embedder, dimension).persist()
+                found, errors = indexed(vectors, stored)
+                points.upsert(found.withColumn("workspace_id", F.col("payload.workspace_id")), "point_id")
+                documents.upsert(failed(documents.read().join(errors.select("document_id"), "document_id", "left_semi"), errors), "document_id")
+                vectors.unpersist()
+            done.unpersist()
+            new.unpersist()
+        finally:
+            taken.unpersist()
 
     return files.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
