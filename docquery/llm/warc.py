@@ -34,9 +34,9 @@ from pyspark.sql import functions as F
 from docquery.llm.batches import batches_of
 from docquery.llm.storage import fresh_path, written
 
-CHUNK, REVISIT = 1 << 20, 100
+CHUNK, REVISIT = 1 << 17, 100
 #: Shared digests that may be broadcast (under 64 bytes each); beyond, those that hold over 1/HOT of all pages, of which there are HOT at most; pieces handed to Python at a time.
-BROADCAST_DIGESTS, HOT, PIECES = 1 << 20, 4096, 64
+BROADCAST_DIGESTS, HOT, PIECES = 1 << 20, 4096, 1024
 DATE, END = "1970-01-01T00:00:00Z", "\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 CHUNKS = "archive string, record long, chunk int, page_id long, record_type string, refers_to long, header_digest string, header_bytes long, n_bytes long, running_digest string, data binary"
