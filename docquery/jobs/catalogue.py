@@ -73,7 +73,7 @@ class Engine:
         self.documents = _documents(spark, sf_dir)
         self.chunks = written(_chunks(spark, sf_dir), "chunks")
         self.points = written(indexed(embedded(self.chunks, HashEmbedder(HASHED), HASHED), self.documents)[0], "points")
-        self.questions = _questions(spark, sf_dir)
+        self.questions = written(_questions(spark, sf_dir), "questions")
         self.hits = written(top_k(searchable(self.points), self.questions, k, HASHED), "hits")
         self.stored = answering.stored_chunks(self.chunks, self.documents)
 
@@ -188,7 +188,8 @@ def hash_embed(spark, sf_dir):
 
 
 def hash_search(spark, sf_dir):
-    return _rounded(top_k(_embedded(spark, sf_dir), _questions(spark, sf_dir), K, HASHED)).select("query_id", "point_id", "rank", "score")
+    found, wanted = written(_embedded(spark, sf_dir), "embedded"), written(_questions(spark, sf_dir), "questions")
+    return _rounded(top_k(found, wanted, K, HASHED)).select("query_id", "point_id", "rank", "score")
 
 
 def index_points(spark, sf_dir):

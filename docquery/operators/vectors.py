@@ -15,6 +15,8 @@ from docquery.functions.text import let, strip
 TOP_K, SPLIT_POINTS, DIGITS = 5, 50_000, 12
 #: Parts of a workspace that is compared by several tasks although it is not large, and points of a part that are worth a task.
 PARTS, FEW_POINTS = 16, 256
+#: Groups of a query's points whose best scores bound its k-th best, per hit wanted.
+GROUPS = 5
 #: Components up to which an inner product is written out.
 UNROLLED = 128
 
@@ -106,19 +108,30 @@ def top_k(points: DataFrame, queries: DataFrame, k: int = TOP_K, dimension: int
 
     points (point_id, workspace_id, vector) and queries (query_id, workspace_id,
     vector) hold unit vectors. Scores equal to DIGITS digits tie, and ties go to
-    the smaller point_id. Each query meets its workspace in parts of at most
-    about split_points points, each of which keeps its own k.
+    the smaller point_id; a query without query_id has no hits. Each query meets
+    its workspace in parts of at most about split_points points, twice: the k-th
+    largest of the best scores of its points' groups is at most its k-th best
+    score, so that the second pass ranks the few points from there on instead of
+    sorting all pairs. Points and queries are read more than once: write them
+    first where they are dear.
     """
     if k <= 0:
         raise ValueError("limit must be positive")
     # one row per workspace that is asked about
     sizes = points.join(queries.select("workspace_id").distinct(), "workspace_id", "left_semi").groupBy("workspace_id").agg(F.greatest(F.ceil(F.count("*") / split_points), F.least(F.lit(PARTS), F.ceil(F.count("*") / FEW_POINTS))).cast("int").alias("parts"))
     largest = sizes.agg(F.max("parts")).first()[0] or 1
-    part = F.pmod(F.xxhash64("point_id"), F.lit(largest)).cast("int")
+    dealt = points.withColumn("part", F.pmod(F.xxhash64("point_id"), F.lit(largest)).cast("int"))
     asked = queries.select("query_id", "workspace_id", F.col("vector").alias("asked"), F.explode(F.sequence(F.lit(0), F.lit(largest - 1))).alias("part"))
-    scored = points.withColumn("part", part).join(asked, ["workspace_id", "part"]).select("query_id", "workspace_id", "point_id", dot(F.col("vector"), F.col("asked"), dimension).alias("score"))
+    score = dot(F.col("vector"), F.col("asked"), dimension).alias("score")
+
+    group = F.pmod(F.xxhash64("point_id", F.lit(1)), F.lit(GROUPS * k)).cast("int").alias("group")
+    best = dealt.join(asked, ["workspace_id", "part"]).select("query_id", group, score).groupBy("query_id", "group").agg(F.max("score").alias("score"))
+    bound = best.groupBy("query_id").agg(F.get(F.sort_array(F.collect_list("score"), asc=False), F.lit(k - 1)).alias("bound"))
+
+    scored = dealt.join(asked.join(bound, "query_id"), ["workspace_id", "part"]).select("query_id", "workspace_id", "point_id", score, "bound")
+    near = scored.where(F.col("bound").isNull() | (F.col("score") >= F.col("bound") - 2 * 10.0**-DIGITS)).drop("bound")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", DIGITS)), "point_id"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k)
+    return near.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 def checked_queries(queries: DataFrame) -> DataFrame:
