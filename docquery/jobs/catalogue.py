@@ -12,7 +12,7 @@ from docquery.operators.indexing import embedded, indexed, searchable, with_payl
 from docquery.operators.markdown import elements, titles
 from docquery.operators.routing import with_file_type
 from docquery.operators.vectors import HashEmbedder, norm, top_k, upserted
-from docquery.sources.scratch import written
+from docquery.sources.scratch import file_state, once, written
 
 #: Hits per query, where chunks are packed, and per golden case; every so many ids is a query; components of hashed and of supplied vectors.
 K, PACK_K, GOLDEN_K, EVERY, HASHED, SUPPLIED = 5, 12, 25, 20, 16, 64
@@ -67,14 +67,15 @@ def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 class Engine:
-    """What the answering queries share: the stored chunks, their points, and the hits of all questions, each made once."""
+    """What the answering queries share: the stored chunks, their points, and the hits of all questions, each made by the first query that asks."""
 
     def __init__(self, spark: SparkSession, sf_dir: str, k: int = PACK_K):
+        state = (sf_dir, file_state(_read(spark, sf_dir, "documents")))
         self.documents = _documents(spark, sf_dir)
-        self.chunks = written(_chunks(spark, sf_dir), "chunks")
-        self.points = written(indexed(embedded(self.chunks, HashEmbedder(HASHED), HASHED), self.documents)[0], "points")
-        self.questions = written(_questions(spark, sf_dir), "questions")
-        self.hits = written(top_k(searchable(self.points), self.questions, k, HASHED), "hits")
+        self.chunks = once(spark, "chunks", state, lambda: _chunks(spark, sf_dir))
+        self.points = once(spark, "points", state, lambda: indexed(embedded(self.chunks, HashEmbedder(HASHED), HASHED), self.documents)[0])
+        self.questions = once(spark, "questions", state, lambda: _questions(spark, sf_dir))
+        self.hits = once(spark, f"hits-{k}", state, lambda: top_k(searchable(self.points), self.questions, k, HASHED))
         self.stored = answering.stored_chunks(self.chunks, self.documents)
 
     def found(self) -> DataFrame:

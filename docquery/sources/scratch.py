@@ -4,8 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+#: Paths and schemas of the tables that once() has written.
+_KEPT: dict[tuple, tuple[str, StructType]] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -23,6 +29,23 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
+def file_state(rows: DataFrame) -> int:
+    """A hash of the paths and modification times of the files that rows are read from."""
+    files = rows.select("_metadata.file_path", "_metadata.file_modification_time").distinct()
+    return files.agg(F.coalesce(F.bit_xor(F.xxhash64("file_path", "file_modification_time")), F.lit(0))).first()[0]
+
+
+def _write(df: DataFrame, name: str) -> str:
+    path = fresh_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return path
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write as Parquet in the shared folder and read it again.
 
@@ -30,7 +53,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     cluster clears the folder; a lazy result may still read the table, so it
     is not deleted here.
     """
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(_write(df, name))
+
+
+def once(spark: SparkSession, name: str, state: tuple, make: Callable[[], DataFrame]) -> DataFrame:
+    """The table that make() gives, written at its first use in this application and read again from then on.
+
+    state stands for what it is made from: in another state, or where the folder
+    has been cleared, it is made anew.
+    """
+    key = (spark.sparkContext.applicationId, shared_folder(spark), name, *state)
+    if key not in _KEPT or not exists(spark, f"{_KEPT[key][0]}/_SUCCESS"):
+        df = make()
+        _KEPT[key] = _write(df, name), df.schema
+    path, schema = _KEPT[key]
+    return spark.read.schema(schema).parquet(path)

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import _parse_datatype_string
 
+from docquery.sources.scratch import exists
+
 #: Shared by all workspaces; times that a table may have.
 LOG, CREATED, UPDATED = "versions", "created_at", "updated_at"
 
@@ -25,13 +27,9 @@ class Store:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
-    def _exists(self, path: str) -> bool:
-        place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return place.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(place)
-
     def state(self) -> tuple[int, dict[str, dict[int, str]]]:
         """Number of the last commit (0: none) and, by table and workspace, the folder of the rows."""
-        if not self._exists(f"{self.root}/{LOG}"):
+        if not exists(self.spark, f"{self.root}/{LOG}"):
             return 0, {}
         row = self.spark.read.schema("n long, tables string").json(f"{self.root}/{LOG}/*").orderBy(F.desc("n")).first()
         return (row.n, {t: {int(w): path for w, path in parts.items()} for t, parts in json.loads(row.tables).items()}) if row else (0, {})

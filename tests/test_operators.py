@@ -1,5 +1,6 @@
 import json
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -384,3 +385,24 @@ def test_unreadable_pdfs_do_not_stop_the_others(spark, monkeypatch):
     rows = spark.createDataFrame([(1, b"broken"), (2, b"one\ftwo"), (3, b"locked")], "document_id long, content binary").coalesce(1)
     got = sorted(map(tuple, files.pdf_pages(rows).collect()), key=str)
     assert got == [(1, None, files.UNREADABLE, True, None), (2, 1, "one", False, "Named"), (2, 2, "two", False, "Named"), (3, None, files.ENCRYPTED, True, None)]
+
+
+def test_once_writes_a_table_again_only_in_another_state_or_without_it(spark, tmp_path):
+    from docquery.sources.scratch import file_state, once
+
+    made = []
+
+    def make():
+        made.append(1)
+        return spark.range(len(made))
+
+    rows = lambda state: once(spark, f"once-{tmp_path.name}", (state,), make)
+    assert [rows(1).count(), rows(1).count(), rows(2).count(), rows(1).count()] == [1, 1, 2, 1]
+    path = next(iter(rows(1).inputFiles())).removeprefix("file://").rsplit("/", 1)[0]
+    Path(path, "_SUCCESS").unlink()
+    assert rows(1).count() == 3
+    spark.range(3).write.parquet(f"{tmp_path}/t")
+    before = file_state(spark.read.parquet(f"{tmp_path}/t"))
+    assert before == file_state(spark.read.parquet(f"{tmp_path}/t"))
+    spark.range(3).write.mode("append").parquet(f"{tmp_path}/t")
+    assert before != file_state(spark.read.parquet(f"{tmp_path}/t"))
