@@ -119,16 +119,19 @@ def top_k(points: DataFrame, queries: DataFrame, k: int = TOP_K, dimension: int
         raise ValueError("limit must be positive")
     # one row per workspace that is asked about
     sizes = points.join(queries.select("workspace_id").distinct(), "workspace_id", "left_semi").groupBy("workspace_id").agg(F.greatest(F.ceil(F.count("*") / split_points), F.least(F.lit(PARTS), F.ceil(F.count("*") / FEW_POINTS))).cast("int").alias("parts"))
-    largest = sizes.agg(F.max("parts")).first()[0] or 1
-    dealt = points.withColumn("part", F.pmod(F.xxhash64("point_id"), F.lit(largest)).cast("int"))
+    largest, total = (x or 1 for x in sizes.agg(F.max("parts"), F.sum("parts").cast("int")).first())
+    keys = ["workspace_id", "part"]
+    # a part is a task's work, however few files and bytes the points are
+    dealt = points.withColumn("part", F.pmod(F.xxhash64("point_id"), F.lit(largest)).cast("int")).repartition(2 * total, *keys)
     asked = queries.select("query_id", "workspace_id", F.col("vector").alias("asked"), F.explode(F.sequence(F.lit(0), F.lit(largest - 1))).alias("part"))
+    meet = lambda wanted: dealt.join(wanted.repartition(2 * total, *keys).hint("merge"), keys)
     score = dot(F.col("vector"), F.col("asked"), dimension).alias("score")
 
     group = F.pmod(F.xxhash64("point_id", F.lit(1)), F.lit(GROUPS * k)).cast("int").alias("group")
-    best = dealt.join(asked, ["workspace_id", "part"]).select("query_id", group, score).groupBy("query_id", "group").agg(F.max("score").alias("score"))
+    best = meet(asked).select("query_id", group, score).groupBy("query_id", "group").agg(F.max("score").alias("score"))
     bound = best.groupBy("query_id").agg(F.get(F.sort_array(F.collect_list("score"), asc=False), F.lit(k - 1)).alias("bound"))
 
-    scored = dealt.join(asked.join(bound, "query_id"), ["workspace_id", "part"]).select("query_id", "workspace_id", "point_id", score, "bound")
+    scored = meet(asked.join(bound, "query_id")).select("query_id", "workspace_id", "point_id", score, "bound")
     near = scored.where(F.col("bound").isNull() | (F.col("score") >= F.col("bound") - 2 * 10.0**-DIGITS)).drop("bound")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", DIGITS)), "point_id"))
     return near.withColumn("rank", rank).where(F.col("rank") <= k)
