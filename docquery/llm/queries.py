@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from docquery.llm.clustering import op12_clustering
 from docquery.llm.decontamination import op1_decontamination
 from docquery.llm.mixing import op8_mixing
 from docquery.llm.near_dedup import op10_near_dedup
@@ -15,11 +16,23 @@ from docquery.llm.warc import op4_warc
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_decontamination, op2_sharding, op3_toxicity, op4_warc, op5_neighbours, op6_suffix_dedup, op7_substring_dedup, op8_mixing, op9_url_filters, op10_near_dedup)
+    for f in (op1_decontamination, op2_sharding, op3_toxicity, op4_warc, op5_neighbours, op6_suffix_dedup, op7_substring_dedup, op8_mixing, op9_url_filters, op10_near_dedup, op12_clustering)
 }
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
+
+def _centroid_rounds(rounds: int) -> str:
+    """n<r>: each vector's centroid in round r; c<r>: components of the centroids that round r starts with."""
+    out = []
+    for r in range(rounds + 1):
+        out.append(f"""d{r} as (select v.vec_id, c, sum((v.x - c{r}.x) * (v.x - c{r}.x)) as far from v join c{r} using (i) group by all),
+        n{r} as (select vec_id, arg_min(c, (far, c)) as c, min(far) as far from d{r} group by vec_id)""")
+        out.append(f"""c{r + 1} as (select c{r}.c, c{r}.i, case when n is null then c{r}.x else (s - ((s % n) + n) % n) // n end as x
+             from c{r} left join (select c, i, sum(x) as s, count(*) as n from v join n{r} using (vec_id) group by all) m on m.c = c{r}.c and m.i = c{r}.i)""")
+    return ",\n        ".join(out[:-1])
+
+
 #: A search is exact where a table has fewer vectors than it verifies at least (op5 below 512).
 #: Classifiers (op3), tilings (op1) and trees (op2) are held against brute force and invariants in tests/llm instead.
 ORACLES = {
@@ -101,4 +114,14 @@ ORACLES = {
         select w.doc_id, coalesce(n.n, 0)::bigint as n_shingles, coalesce(c.c, w.doc_id) as component_id, coalesce(c.c, w.doc_id) = w.doc_id as kept
         from w left join n using (doc_id) left join c using (doc_id)
     """,
+    "op12_clustering": f"""
+        with kept as (select vec_id, embedding as e from embeddings where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+        v as (select vec_id, generate_subscripts(e, 1) as i, floor(256 * unnest(e)::double)::bigint as x from kept),
+        start as (select vec_id, row_number() over (order by sha256('2:' || vec_id)) - 1 as c from kept qualify c < 40),
+        c0 as (select c, i, x from v join start using (vec_id)),
+        {_centroid_rounds(5)},
+        each as (select c, sum(far)::bigint as cluster_inertia from n5 group by c),
+        digest as (select c, sha256(string_agg(x::bigint::varchar, ',' order by i)) as centroid_sha256 from c5 group by c)
+        select vec_id, c::int as cluster, far::bigint as distance, cluster_inertia, (sum(far) over ())::bigint as inertia, centroid_sha256 from n5 join each using (c) join digest using (c)
+    """,
 }
