@@ -8,6 +8,7 @@ from docquery.llm.mixing import op8_mixing
 from docquery.llm.near_dedup import op10_near_dedup
 from docquery.llm.neighbours import op5_neighbours
 from docquery.llm.sharding import op2_sharding
+from docquery.llm.spelling import op11_spelling_variants
 from docquery.llm.substring_dedup import op7_substring_dedup
 from docquery.llm.suffix_dedup import op6_suffix_dedup
 from docquery.llm.toxicity import op3_toxicity
@@ -16,7 +17,7 @@ from docquery.llm.warc import op4_warc
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_decontamination, op2_sharding, op3_toxicity, op4_warc, op5_neighbours, op6_suffix_dedup, op7_substring_dedup, op8_mixing, op9_url_filters, op10_near_dedup, op12_clustering)
+    for f in (op1_decontamination, op2_sharding, op3_toxicity, op4_warc, op5_neighbours, op6_suffix_dedup, op7_substring_dedup, op8_mixing, op9_url_filters, op10_near_dedup, op11_spelling_variants, op12_clustering)
 }
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -114,6 +115,28 @@ ORACLES = {
         select w.doc_id, coalesce(n.n, 0)::bigint as n_shingles, coalesce(c.c, w.doc_id) as component_id, coalesce(c.c, w.doc_id) = w.doc_id as kept
         from w left join n using (doc_id) left join c using (doc_id)
     """,
+    # crc32 is linear: that of as many zero bytes, and what each byte adds by its distance from the end
+    "op11_spelling_variants": r"""
+        with recursive bit(b, x, i) as (select b, b, 0 from range(256) t(b) union all select b, xor(x >> 1, case when x & 1 = 1 then 3988292384 else 0 end), i + 1 from bit where i < 8),
+        tab as (select b, x as t from bit where i = 8),
+        run as (select coalesce(doc_id::varchar, '') || ':' || x as key, x, count(*) as n
+                from (select doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{C0}-\x{FF}]+')) as x from documents) group by all),
+        size as (select max(octet_length(encode(key))) as most from run),
+        far(b, x, k) as (select b, t, 0 from tab union all select far.b, xor(far.x >> 8, tab.t), k + 1 from far join tab on tab.b = far.x & 255, size where k < most),
+        zero(x, k) as (select 4294967295, 0 union all select xor(zero.x >> 8, tab.t), k + 1 from zero join tab on tab.b = zero.x & 255, size where k < most),
+        byte as (select key, octet_length(encode(key)) as len, unnest(range(octet_length(encode(key)))) as i from run),
+        part as (select key, len, bit_xor(far.x) as x from byte join far on far.k = len - 1 - i and far.b = ('0x' || substr(hex(encode(key)), 2 * i + 1, 2))::bigint group by key, len),
+        crc as (select key, xor(xor(part.x, zero.x), 4294967295) as h from part join zero on zero.k = len),
+        spelt as (select case when h % 97 = 0 then substr(x, 1, h % length(x)) || substr(x, h % length(x) + 2) else x end as word, n from run join crc using (key)),
+        w as (select word, sum(n)::bigint as n from spelt where length(word) >= 5 group by word having sum(n) >= 3),
+        cut as (select word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) as k from (select word, n, unnest(range(1, length(word) + 1)) as i from w)),
+        near as (select a.word, b.word as other, b.n from cut a join cut b on a.k = b.k and a.i = b.i and a.word <> b.word
+                 union select cut.word, w.word, w.n from cut join w on w.word = cut.k union select w.word, cut.word, cut.n from cut join w on w.word = cut.k),
+        best as (select word, count(*) as n_near, arg_min(other, (-n, other)) as form, max(n) as form_n from near group by word),
+        f as (select w.word, case when form_n >= 2 * w.n then form end as form, w.n, coalesce(n_near, 0) as n_near, case when form_n >= 2 * w.n then form_n end as form_n from w left join best using (word)),
+        chain(word, root) as (select word, word from f union all select chain.word, form from chain join f on f.word = root where form is not null)
+        select f.word, f.form, root, f.n, f.n_near, f.form_n from f join chain using (word) join f final on final.word = root and final.form is null
+    """,
     "op12_clustering": f"""
         with kept as (select vec_id, embedding as e from embeddings where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
         v as (select vec_id, generate_subscripts(e, 1) as i, floor(256 * unnest(e)::double)::bigint as x from kept),
