@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from docquery.llm.clustering import op12_clustering
 from docquery.llm.decontamination import op1_decontamination
+from docquery.llm.extraction import op13_html_extraction
 from docquery.llm.mixing import op8_mixing
 from docquery.llm.near_dedup import op10_near_dedup
 from docquery.llm.neighbours import op5_neighbours
@@ -17,7 +18,7 @@ from docquery.llm.warc import op4_warc
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_decontamination, op2_sharding, op3_toxicity, op4_warc, op5_neighbours, op6_suffix_dedup, op7_substring_dedup, op8_mixing, op9_url_filters, op10_near_dedup, op11_spelling_variants, op12_clustering)
+    for f in (op1_decontamination, op2_sharding, op3_toxicity, op4_warc, op5_neighbours, op6_suffix_dedup, op7_substring_dedup, op8_mixing, op9_url_filters, op10_near_dedup, op11_spelling_variants, op12_clustering, op13_html_extraction)
 }
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -147,4 +148,12 @@ ORACLES = {
         digest as (select c, sha256(string_agg(x::bigint::varchar, ',' order by i)) as centroid_sha256 from c5 group by c)
         select vec_id, c::int as cluster, far::bigint as distance, cluster_inertia, (sum(far) over ())::bigint as inertia, centroid_sha256 from n5 join each using (c) join digest using (c)
     """,
+    # every page of these tables has one article of headings, paragraphs and inline marks
+    "op13_html_extraction": r"""
+        with b as (select page_id, url, string_split_regex(regexp_extract(html, '(?s)<article>(.*?)(</article>|$)', 1), '</?(p|h1)>') as parts from pages),
+        x as (select page_id, url, parts, unnest(parts) as part, generate_subscripts(parts, 1) as i from b),
+        t as (select page_id, url, i, trim(regexp_replace(regexp_replace(replace(replace(replace(regexp_replace(part, '<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;?', '&', 'g'), '[\s\x{85}\x{a0}\x{2000}-\x{200a}\x{3000}]+', ' ', 'g')) as block from x),
+        j as (select page_id, string_agg(block, chr(10) order by i) as text from t where block <> '' group by page_id)
+        select page_id, url, coalesce(text, '') as text, length(coalesce(text, ''))::bigint as n_chars from pages left join j using (page_id)
+    """,
 }
