@@ -12,10 +12,11 @@ from docquery.operators.indexing import embedded, indexed, searchable, with_payl
 from docquery.operators.markdown import elements, titles
 from docquery.operators.routing import with_file_type
 from docquery.operators.vectors import HashEmbedder, norm, top_k, upserted
-from docquery.sources.scratch import file_state, once, written
+from docquery.sources.repository import VectorRepository
+from docquery.sources.scratch import file_state, fresh_path, once, written
 
-#: Hits per query, where chunks are packed, and per golden case; every so many ids is a query; components of hashed and of supplied vectors.
-K, PACK_K, GOLDEN_K, EVERY, HASHED, SUPPLIED = 5, 12, 25, 20, 16, 64
+#: Hits per query, where chunks are packed, and per golden case; every so many ids is a query; components of hashed vectors.
+K, PACK_K, GOLDEN_K, EVERY, HASHED = 5, 12, 25, 20, 16
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,9 +76,21 @@ class Engine:
         self.chunks = once(spark, "chunks", state, lambda: _chunks(spark, sf_dir))
         self.points = once(spark, "points", state, lambda: indexed(embedded(self.chunks, HashEmbedder(HASHED), HASHED), self.documents)[0])
         self.questions = once(spark, "questions", state, lambda: _questions(spark, sf_dir))
-        self.hits = once(spark, f"hits-{k}", state, lambda: top_k(searchable(self.points), self.questions, k, HASHED))
+        self.hits = once(spark, f"hits-{k}", state, lambda: top_k(searchable(self.points), self.questions, k))
+        self.root = lambda: once(spark, "repository", state, self._stored_root).first().root
         self.stored = answering.stored_chunks(self.chunks, self.documents)
 
+    def _stored_root(self) -> DataFrame:
+        spark = self.points.sparkSession
+        repository = VectorRepository(spark, fresh_path(spark, "repository"), HASHED)
+        repository.ensure()
+        repository.upsert(self.points)
+        return spark.createDataFrame([(repository.root,)], "root string")
+
+    def repository(self) -> VectorRepository:
+        """The points as a stored collection."""
+        return VectorRepository(self.points.sparkSession, self.root(), HASHED)
+
     def found(self) -> DataFrame:
         return answering.sources(answering.hydrated(self.hits, self.stored))
 
@@ -169,13 +182,15 @@ def _rounded(hits: DataFrame) -> DataFrame:
 
 
 def vector_topk(spark, sf_dir):
-    return _rounded(top_k(points(spark, sf_dir), asked(spark, sf_dir), K, SUPPLIED))
+    return _rounded(top_k(points(spark, sf_dir), asked(spark, sf_dir), K))
 
 
 def vector_upsert(spark, sf_dir):
+    """Every fourth point comes again, half of them under new ids, each id twice; the second is turned around."""
     old = points(spark, sf_dir)
-    new = old.where("point_id % 4 = 0").withColumns({"point_id": F.when(F.col("point_id") % 8 == 0, F.col("point_id")).otherwise(F.col("point_id") + 1_000_000), "vector": F.transform("vector", lambda x: -x)})
-    return upserted(old, new).select("point_id", "workspace_id", F.round(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double")), 6).alias("total"))
+    new = old.where("point_id % 4 = 0").withColumn("point_id", F.when(F.col("point_id") % 8 == 0, F.col("point_id")).otherwise(F.col("point_id") + 1_000_000)).withColumn("turn", F.explode(F.array(F.lit(2), F.lit(1))))
+    new = new.withColumn("vector", F.transform("vector", lambda x: F.when(F.col("turn") == 2, -x).otherwise(x * 3)))
+    return upserted(old, new, "turn").select("point_id", "workspace_id", F.round(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double")), 6).alias("total"))
 
 
 def _embedded(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -190,7 +205,7 @@ def hash_embed(spark, sf_dir):
 
 def hash_search(spark, sf_dir):
     found, wanted = written(_embedded(spark, sf_dir), "embedded"), written(_questions(spark, sf_dir), "questions")
-    return _rounded(top_k(found, wanted, K, HASHED)).select("query_id", "point_id", "rank", "score")
+    return _rounded(top_k(found, wanted, K)).select("query_id", "point_id", "rank", "score")
 
 
 def index_points(spark, sf_dir):
@@ -214,6 +229,24 @@ def chunk_search(spark, sf_dir):
     return with_payload(engine.hits, engine.points).select("query_id", "rank", "point_id", F.round("score", 6).alias("score"), "payload.chunk_id", "payload.document_name", "error_message")
 
 
+def stored_search(spark, sf_dir):
+    engine = Engine(spark, sf_dir, K)
+    return engine.repository().search(engine.questions, K).select("query_id", "rank", "point_id", F.round("score", 6).alias("score"), "payload.chunk_id", "payload.document_name", "error_message")
+
+
+def repository_upsert(spark, sf_dir):
+    """Points of a collection after an upsert that turns every fourth point around and brings its id twice, and one that moves every ninth into another workspace."""
+    points = Engine(spark, sf_dir, K).points
+    repository = VectorRepository(spark, fresh_path(spark, "upserted"), HASHED)
+    repository.ensure()
+    repository.upsert(points)
+    fourth = points.where("point_id % 4 = 0").withColumn("turn", F.explode(F.array(F.lit(1), F.lit(2))))
+    repository.upsert(fourth.withColumn("vector", F.transform("vector", lambda x: F.when(F.col("turn") == 2, -x).otherwise(x))), "turn")
+    repository.upsert(points.where("point_id % 9 = 0").withColumn("payload", F.col("payload").withField("workspace_id", F.lit(9).cast("long"))))
+    weighted = F.aggregate(F.transform("vector", lambda x, i: x * (i + 1)), F.lit(0.0), lambda s, x: s + x)
+    return repository.read().select("point_id", "payload.workspace_id", F.round(weighted, 6).alias("weighted"))
+
+
 def hydrate(spark, sf_dir):
     engine = Engine(spark, sf_dir)
     return answering.hydrated(engine.hits, engine.stored).select("query_id", "chunk_db_id", "document_id", "document_name", "section", "page_start", "page_end", F.length("text").alias("chars"))
@@ -301,6 +334,6 @@ def health(spark, sf_dir):
 QUERIES = {
     f.__name__.removesuffix("_query"): f
     for f in (route_files, doc_checksum, md_elements, md_title, split_text, md_chunks, md_chunk_ids, page_chunks_query, chunk_stats, ingest_status, dup_documents, shared_chunk_ids,
-              vector_topk, vector_upsert, hash_embed, hash_search, index_points, index_status, chunk_search, hydrate, enrich_rank, missing_hits, context_blocks, context_pack, prompts, llm_parse, citations, answers,
+              vector_topk, vector_upsert, hash_embed, hash_search, index_points, index_status, chunk_search, stored_search, repository_upsert, hydrate, enrich_rank, missing_hits, context_blocks, context_pack, prompts, llm_parse, citations, answers,
               eval_cases, eval_metrics, eval_failures, public_citations, integrity, workspace_check, health)
 }

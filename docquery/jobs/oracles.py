@@ -123,7 +123,8 @@ ORACLES = {
     "vector_topk": f"with {VECTOR_HITS} select query_id, workspace_id, point_id, round(score, 6) as score, rank from hit",
     "vector_upsert": """
         with old as (select vec_id + 1 as point_id, label::bigint + 1 as workspace_id, list_sum(embedding::double[]) as total from embeddings),
-        new as (select case when point_id % 8 = 0 then point_id else point_id + 1000000 end as point_id, workspace_id, -total as total from old where point_id % 4 = 0)
+        come as (select case when point_id % 8 = 0 then point_id else point_id + 1000000 end as point_id, workspace_id, case turn when 2 then -total else 3 * total end as total, turn from old, (values (1), (2)) t(turn) where point_id % 4 = 0),
+        new as (select point_id, workspace_id, total from come qualify row_number() over (partition by point_id order by turn desc) = 1)
         select point_id, workspace_id, round(total, 6) as total from (select * from old anti join new using (point_id) union all select * from new)""",
     "hash_embed": f"with {DOCS16}, {embed('v', 'd16', 'point_id', 'passage')}, n as (select point_id, round(sqrt(sum(x * x)), 6) as norm from v group by 1) select point_id, norm, bucket::int as bucket, round(x, 6) as x from v join n using (point_id)",
     "hash_search": f"""with {DOCS16}, ask as (select doc_id as query_id, doc_id % 3 + 1 as workspace_id, text as t from documents where doc_id % 20 = 0),
@@ -137,6 +138,9 @@ ORACLES = {
                case when (doc_id + 1) % 13 = 0 then 'document workspace_id must not be empty' when n is null then 'document must contain at least one chunk' end as message
         from documents left join n on n.document_id = doc_id + 1""",
     "chunk_search": f"""with recursive {hits(5)} select query_id, rank, point_id, round(score, 6) as score, chunk_id, document_name, null::varchar as error_message from hit join stored on chunk_db_id = point_id""",
+    "stored_search": f"""with recursive {hits(5)} select query_id, rank, point_id, round(score, 6) as score, chunk_id, document_name, null::varchar as error_message from hit join stored on chunk_db_id = point_id""",
+    "repository_upsert": f"""with recursive {STORE}, w as (select point_id, sum(x * (bucket + 1)) as weighted from v group by 1)
+        select point_id, case when point_id % 9 = 0 then 9 else workspace_id end as workspace_id, round(case when point_id % 4 = 0 and point_id % 9 > 0 then -weighted else weighted end, 6) as weighted from stored join w on point_id = chunk_db_id""",
     "hydrate": f"with recursive {STORED} select query_id, chunk_db_id, document_id, document_name, section, page_start, page_end, length(text)::int as chars from ctx",
     "enrich_rank": f"with recursive {STORED} select query_id, rank, chunk_db_id, chunk_id, round(score, 6) as score from ctx",
     "missing_hits": f"with recursive {STORED} select query_id, point_id, rank from hit where not exists (select 1 from stored where chunk_db_id = point_id and chunk_db_id % 3 > 0)",

@@ -2,23 +2,23 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from typing import Protocol
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docquery.functions.text import let, strip
 
-#: Hits per query; points of a workspace that a task compares with its queries; digits of a score in which ties are ties.
-TOP_K, SPLIT_POINTS, DIGITS = 5, 50_000, 12
-#: Parts of a workspace that is compared by several tasks although it is not large, and points of a part that are worth a task.
-PARTS, FEW_POINTS = 16, 256
-#: Groups of a query's points whose best scores bound its k-th best, per hit wanted.
-GROUPS = 5
-#: Components up to which an inner product is written out.
-UNROLLED = 128
+#: Hits per query; digits of a score in which ties are ties.
+TOP_K, DIGITS = 5, 12
+#: Points and queries that a task compares at most; parts of a workspace that is no larger, and points that are worth a part; scores held at once.
+SPLIT_POINTS, SPLIT_QUERIES, PARTS, FEW_POINTS, SCORES = 50_000, 4096, 16, 4096, 1 << 21
+BLOCK_HITS = "query_id long, workspace_id long, point_id long, score double, tied double"
 
 
 class EmbeddingProvider(Protocol):
@@ -38,11 +38,9 @@ def normalised(vector: Column) -> Column:
     return let(vector, lambda v: let(norm(v), lambda n: F.when(n > 0, F.transform(v, lambda x: x.cast("double") / n))))
 
 
-def dot(a: Column, b: Column, dimension: int | None = None) -> Column:
-    """Inner product; where the dimension is known and not large, as a sum that Spark compiles."""
-    if dimension and dimension <= UNROLLED:
-        return sum((F.get(a, F.lit(i)).cast("double") * F.get(b, F.lit(i)).cast("double") for i in range(1, dimension)), F.get(a, F.lit(0)).cast("double") * F.get(b, F.lit(0)).cast("double"))
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+def finite(vector: str) -> Column:
+    """Whether a vector is there and all its components are numbers."""
+    return F.col(vector).isNotNull() & ~F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
 
 
 class HashEmbedder:
@@ -53,10 +51,12 @@ class HashEmbedder:
 
     def _with(self, df: DataFrame, text: Column) -> DataFrame:
         words = F.filter(F.split(F.lower(text), " "), lambda w: w != "")
-        held = df.withColumn("words of it", F.transform(words, lambda w: (F.conv(F.substring(F.md5(w), 1, 7), 16, 10).cast("bigint") % self.dimension).cast("int")))
-        # how many are left out shows how often a bucket occurs
-        counts = F.array(*[(F.size("words of it") - F.size(F.array_remove("words of it", i))).cast("double") for i in range(self.dimension)])
-        return held.withColumn("vector", counts).drop("words of it").withColumn("vector", normalised(F.col("vector")))
+        buckets = F.transform(words, lambda w: (F.conv(F.substring(F.md5(w), 1, 7), 16, 10).cast("bigint") % self.dimension).cast("int"))
+        # one of each bucket more: runs of the sorted buckets are then the counts in order, at a cost that hangs on words alone
+        padded = F.sort_array(F.concat(buckets, F.sequence(F.lit(0), F.lit(self.dimension - 1))))
+        starts = lambda s: F.array_compact(F.transform(s, lambda x, i: F.when((i == 0) | (F.get(s, i - 1) != x), i)))
+        counts = let(padded, lambda s: let(starts(s), lambda a: F.transform(a, lambda x, j: (F.coalesce(F.get(a, j + 1), F.size(s)) - x - 1).cast("double"))))
+        return df.withColumn("vector", normalised(counts))
 
     def passages(self, df: DataFrame, text: str) -> DataFrame:
         return self._with(df, F.concat(F.lit("passage: "), strip(F.col(text))))
@@ -98,43 +98,81 @@ class ModelEmbedder:
         return self._with(df, text, "query: ")
 
 
-def upserted(points: DataFrame, incoming: DataFrame) -> DataFrame:
-    """points with those of incoming in place of equal point_ids."""
-    return points.join(incoming.select("point_id"), "point_id", "left_anti").unionByName(incoming.select(points.columns))
+def latest(rows: DataFrame, key: str, order: str | None = None) -> DataFrame:
+    """One row of each key: the last by `order`, where a null comes first; of equals, or without an order, the one with the largest hash. Rows without key all stay."""
+    by = F.struct(*([order] if order else []), F.xxhash64(*rows.columns))
+    keyed = rows.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("key of it")).agg(F.max_by(F.struct(*rows.columns), by).alias("row of it")).select("row of it.*")
+    return keyed.unionByName(rows.where(F.col(key).isNull()))
 
 
-def top_k(points: DataFrame, queries: DataFrame, k: int = TOP_K, dimension: int | None = None, split_points: int = SPLIT_POINTS) -> DataFrame:
-    """query_id, workspace_id, point_id, score, rank: the k points of the query's workspace with the largest cosine.
+def upserted(points: DataFrame, incoming: DataFrame, order: str | None = None) -> DataFrame:
+    """points with those of incoming in place of equal point_ids; of ids that incoming repeats the last one stays (see latest)."""
+    new = latest(incoming, "point_id", order)
+    return points.join(new.select("point_id"), "point_id", "left_anti").unionByName(new.select(points.columns))
+
+
+def matrix(vectors: pa.ChunkedArray) -> np.ndarray:
+    """Rows of equal length as one array."""
+    flat = pa.concat_arrays([c.flatten() for c in vectors.chunks]) if vectors.num_chunks else pa.array([], pa.float64())
+    return flat.to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(len(vectors), -1)
+
+
+def best_of_block(asked: np.ndarray, ids: np.ndarray, points: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(query, ids, scores, rounded scores) of the k best points, by matrix products of bounded size."""
+    step = max(1, SCORES // max(1, len(ids)))
+    for begin in range(0, len(asked), step):
+        scores = asked[begin : begin + step] @ points.T
+        tied = np.round(scores, DIGITS)
+        for q in range(len(scores)):
+            near = np.arange(len(ids)) if len(ids) <= k else np.flatnonzero(tied[q] >= -np.partition(-tied[q], k - 1)[k - 1])
+            near = near[np.lexsort((ids[near], -tied[q, near]))[:k]]
+            yield begin + q, ids[near], scores[q, near], tied[q, near]
+
+
+def _block_hits(points: pa.Table, asked: pa.Table, k: int) -> pa.Table:
+    columns: list[list[np.ndarray]] = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)], [np.zeros(0)]]
+    if len(points) and len(asked):
+        queries = asked["query_id"].to_numpy()
+        for q, ids, scores, tied in best_of_block(matrix(asked["asked"]), points["point_id"].to_numpy(), matrix(points["vector"]), k):
+            for column, part in zip(columns, (np.full(len(ids), queries[q]), ids, scores, tied), strict=True):
+                column.append(part)
+    query, ids, scores, tied = map(np.concatenate, columns)
+    space = asked["workspace_id"][0].as_py() if len(asked) else None
+    return pa.table({"query_id": query, "workspace_id": pa.array([space] * len(query), pa.int64()), "point_id": ids, "score": scores, "tied": tied})
+
+
+def ranked(found: DataFrame, k: int) -> DataFrame:
+    """The k best of the hits that blocks gave, with their rank."""
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("tied"), "point_id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).drop("tied")
+
+
+def top_k(points: DataFrame, queries: DataFrame, k: int = TOP_K, split_points: int = SPLIT_POINTS, split_queries: int = SPLIT_QUERIES) -> DataFrame:
+    """query_id, workspace_id, point_id, score, rank: the k points of the query's workspace with the largest inner product (unit vectors: cosine).
 
     points (point_id, workspace_id, vector) and queries (query_id, workspace_id,
-    vector) hold unit vectors. Scores equal to DIGITS digits tie, and ties go to
-    the smaller point_id; a query without query_id has no hits. Each query meets
-    its workspace in parts of at most about split_points points, twice: the k-th
-    largest of the best scores of its points' groups is at most its k-th best
-    score, so that the second pass ranks the few points from there on instead of
-    sorting all pairs. Points and queries are read more than once: write them
-    first where they are dear.
+    vector); query_ids must not repeat. Scores equal to DIGITS digits tie, and
+    ties go to the smaller point_id. Rows without id or workspace, and vectors
+    that are null or hold what is no finite number, take no part; vectors meet
+    those of their own length. A workspace's points are dealt into parts by its
+    own size, and so are its queries; a pair of parts is one task's matrix
+    product, which hands on k hits of each query. Points and queries are read
+    twice (once without vectors, for the sizes).
     """
     if k <= 0:
         raise ValueError("limit must be positive")
-    # one row per workspace that is asked about
-    sizes = points.join(queries.select("workspace_id").distinct(), "workspace_id", "left_semi").groupBy("workspace_id").agg(F.greatest(F.ceil(F.count("*") / split_points), F.least(F.lit(PARTS), F.ceil(F.count("*") / FEW_POINTS))).cast("int").alias("parts"))
-    largest, total = (x or 1 for x in sizes.agg(F.max("parts"), F.sum("parts").cast("int")).first())
-    keys = ["workspace_id", "part"]
-    # a part is a task's work, however few files and bytes the points are
-    dealt = points.withColumn("part", F.pmod(F.xxhash64("point_id"), F.lit(largest)).cast("int")).repartition(2 * total, *keys)
-    asked = queries.select("query_id", "workspace_id", F.col("vector").alias("asked"), F.explode(F.sequence(F.lit(0), F.lit(largest - 1))).alias("part"))
-    meet = lambda wanted: dealt.join(wanted.repartition(2 * total, *keys).hint("merge"), keys)
-    score = dot(F.col("vector"), F.col("asked"), dimension).alias("score")
-
-    group = F.pmod(F.xxhash64("point_id", F.lit(1)), F.lit(GROUPS * k)).cast("int").alias("group")
-    best = meet(asked).select("query_id", group, score).groupBy("query_id", "group").agg(F.max("score").alias("score"))
-    bound = best.groupBy("query_id").agg(F.get(F.sort_array(F.collect_list("score"), asc=False), F.lit(k - 1)).alias("bound"))
-
-    scored = meet(asked.join(bound, "query_id")).select("query_id", "workspace_id", "point_id", score, "bound")
-    near = scored.where(F.col("bound").isNull() | (F.col("score") >= F.col("bound") - 2 * 10.0**-DIGITS)).drop("bound")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", DIGITS)), "point_id"))
-    return near.withColumn("rank", rank).where(F.col("rank") <= k)
+    held, wanted = points.where("point_id is not null and workspace_id is not null").where(finite("vector")), queries.where("query_id is not null and workspace_id is not null").where(finite("vector"))
+    blocks = lambda n, size: F.ceil(n / size).cast("int")
+    asked_of = queries.where("workspace_id is not null").groupBy("workspace_id").agg(blocks(F.count("*"), split_queries).alias("asked_parts"))
+    parts = F.greatest(blocks(F.count("*"), split_points), F.least(F.lit(PARTS), blocks(F.count("*"), FEW_POINTS))).alias("parts")
+    sizes = points.join(asked_of, "workspace_id", "left_semi").groupBy("workspace_id").agg(parts).join(asked_of, "workspace_id")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    dealt = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
+    width = F.size("vector").alias("width")
+    left = held.join(sizes, "workspace_id").select("workspace_id", width, dealt("point_id", "parts").alias("part"), each("asked_parts").alias("asked_part"), "point_id", "vector")
+    right = wanted.join(sizes, "workspace_id").select("workspace_id", width, each("parts").alias("part"), dealt("query_id", "asked_parts").alias("asked_part"), "query_id", F.col("vector").alias("asked"))
+    keys = ["workspace_id", "width", "part", "asked_part"]
+    return ranked(left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(functools.partial(_block_hits, k=k), BLOCK_HITS), k)
 
 
 def checked_queries(queries: DataFrame) -> DataFrame:

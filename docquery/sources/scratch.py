@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -34,6 +35,30 @@ def exists(spark: SparkSession, path: str) -> bool:
     return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
 
 
+def claim(spark: SparkSession, path: str, text: str) -> bool:
+    """Whether this writer is the one that gives path its text: the file appears whole, or is another's already."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    place, draft = hadoop.Path(path), hadoop.Path(f"{path.rsplit('/', 1)[0]}/.{uuid.uuid4().hex}")
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = files.create(draft)
+    out.write(text.encode())
+    out.close()
+    try:
+        if files.getUri().getScheme() == "file":  # a rename on a local disk replaces what is there
+            local = lambda x: spark._jvm.java.io.File(x.toUri().getPath()).toPath()
+            spark._jvm.java.nio.file.Files.createLink(local(place), local(draft))
+        else:
+            none = spark._gateway.new_array(hadoop.Options.Rename, 0)
+            hadoop.FileContext.getFileContext(files.getUri(), spark._jsc.hadoopConfiguration()).rename(draft, place, none)
+    except Py4JJavaError as e:
+        if "FileAlreadyExists" in e.java_exception.getClass().getName():
+            return False
+        raise
+    finally:
+        files.delete(draft, False)
+    return True
+
+
 def file_state(rows: DataFrame) -> int:
     """A hash of the paths and modification times of the files that rows are read from."""
     files = rows.select("_metadata.file_path", "_metadata.file_modification_time").distinct()

@@ -9,19 +9,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import _parse_datatype_string
 
-from docquery.sources.scratch import exists
+from docquery.operators.vectors import latest
+from docquery.sources.scratch import claim, exists
 
 #: Shared by all workspaces; times that a table may have.
 LOG, CREATED, UPDATED = "versions", "created_at", "updated_at"
 
 
+class Conflict(RuntimeError):
+    """Another writer has committed since the commit that was read."""
+
+
 class Store:
     """Tables below `root`. A commit is one small file, numbered one above the last; it names the folders of every table's workspaces.
 
     A table's rows lie in a folder per commit and workspace, so that an upsert
-    rewrites the workspaces it touches and no others. Of two writers that start
-    from the same commit the second fails, since its number is taken, and has
-    to run again.
+    rewrites the workspaces it touches and no others. Of two writers that read
+    the same commit the second fails with Conflict, since the number after it is
+    taken, and has to run again; what it read is never committed over what the
+    first wrote.
     """
 
     def __init__(self, spark: SparkSession, root: str):
@@ -34,17 +40,21 @@ class Store:
         row = self.spark.read.schema("n long, tables string").json(f"{self.root}/{LOG}/*").orderBy(F.desc("n")).first()
         return (row.n, {t: {int(w): path for w, path in parts.items()} for t, parts in json.loads(row.tables).items()}) if row else (0, {})
 
-    def commit(self, changes: dict[str, DataFrame], replace: bool = False) -> None:
-        """The rows of changes become the rows of the workspaces that they hold, in all tables at once; replace: of all workspaces."""
-        n, tables = self.state()
+    def commit(self, changes: dict[str, DataFrame], replace: bool = False, base: tuple[int, dict] | None = None) -> None:
+        """The rows of changes become the rows of the workspaces that they hold, in all tables at once; replace: of all workspaces.
+
+        base is the state() that the changes were made from; without it, the present one.
+        """
+        n, tables = base or self.state()
+        tables = dict(tables)
         for name, rows in changes.items():
             version = f"{name}/{uuid.uuid4().hex}"
             rows.withColumn("part", F.coalesce("workspace_id", F.lit(-1))).write.partitionBy("part").parquet(f"{self.root}/{version}")
             held = self.spark.read.parquet(f"{self.root}/{version}") if self._parts(version) else None
             parts = {} if held is None else {r.part: f"{version}/part={r.part}" for r in held.select(F.col("part").cast("long")).distinct().collect()}
             tables[name] = parts if replace else tables.get(name, {}) | parts
-        line = self.spark.range(1).select(F.lit(n + 1).cast("long").alias("n"), F.lit(json.dumps(tables)).alias("tables"))
-        line.coalesce(1).write.mode("error").json(f"{self.root}/{LOG}/{n + 1:012d}")
+        if not claim(self.spark, f"{self.root}/{LOG}/{n + 1:012d}.json", json.dumps({"n": n + 1, "tables": json.dumps(tables)})):
+            raise Conflict(f"commit {n + 1} is taken")
 
     def _parts(self, version: str) -> bool:
         place = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{version}/part=*")
@@ -57,9 +67,9 @@ class Table:
     def __init__(self, store: Store, name: str, schema: str):
         self.store, self.name, self.schema = store, name, _parse_datatype_string(schema)
 
-    def read(self, workspaces: list[int] | None = None) -> DataFrame:
-        """All rows, or those of some workspaces."""
-        parts = self.store.state()[1].get(self.name, {})
+    def read(self, workspaces: list[int] | None = None, base: tuple[int, dict] | None = None) -> DataFrame:
+        """All rows, or those of some workspaces, as of the last commit or of base."""
+        parts = (base or self.store.state())[1].get(self.name, {})
         paths = [f"{self.store.root}/{path}" for w, path in sorted(parts.items()) if workspaces is None or w in workspaces]
         spark = self.store.spark
         return spark.read.schema(self.schema).parquet(*paths) if paths else spark.createDataFrame([], self.schema)
@@ -68,10 +78,11 @@ class Table:
         """rows become the table; a failure before the end leaves the old version in place."""
         self.store.commit({self.name: rows.select(self.schema.names)}, replace=True)
 
-    def merged(self, rows: DataFrame, key: str) -> DataFrame:
-        """The touched workspaces' rows with those of equal keys replaced; a replaced row keeps its created_at, and rows get the time of now."""
+    def merged(self, rows: DataFrame, key: str, base: tuple[int, dict], order: str | None = None) -> DataFrame:
+        """The touched workspaces' rows of base with those of equal keys replaced, by the last of the rows that share one (see latest); a replaced row keeps its created_at, and rows get the time of now."""
+        rows = latest(rows, key, order)
         touched = [-1 if r[0] is None else r[0] for r in rows.select("workspace_id").distinct().collect()]
-        old = self.read(touched)
+        old = self.read(touched, base)
         for name in (CREATED, UPDATED):
             if name in self.schema.names:
                 rows = rows.drop(name).withColumn(name, F.current_timestamp())
@@ -79,14 +90,16 @@ class Table:
             rows = rows.join(old.select(key, F.col(CREATED).alias("first time")), key, "left").withColumn(CREATED, F.coalesce("first time", CREATED)).drop("first time")
         return old.join(rows.select(key), key, "left_anti").unionByName(rows.select(old.columns))
 
-    def upsert(self, rows: DataFrame, key: str) -> None:
-        """rows replace those with equal keys; without rows nothing happens."""
-        if not rows.isEmpty():
-            self.store.commit({self.name: self.merged(rows, key)})
+    def upsert(self, rows: DataFrame, key: str, order: str | None = None) -> None:
+        """rows replace those with equal keys, the last by `order` of those that share one; without rows nothing happens."""
+        upsert_together([(self, rows, key)], order)
 
 
-def upsert_together(changes: list[tuple[Table, DataFrame, str]]) -> None:
+def upsert_together(changes: list[tuple[Table, DataFrame, str]], order: str | None = None) -> None:
     """Upserts into several tables of one store that readers see all at once or not at all."""
-    held = [(table, rows, key) for table, rows, key in changes if not rows.isEmpty()]
-    if held:
-        held[0][0].store.commit({table.name: table.merged(rows, key) for table, rows, key in held})
+    if changes:
+        store = changes[0][0].store
+        base = store.state()  # read once: what is merged is what the commit follows
+        held = [(table, rows, key) for table, rows, key in changes if not rows.isEmpty()]
+        if held:
+            store.commit({table.name: table.merged(rows, key, base, order) for table, rows, key in held}, base=base)
