@@ -5,19 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docquery.operators import numbering
+
 #: Columns of a case and of a hit in the report of misses, fixed values.
 CASE = ["query", "workspace_id", "expected_document_id", "expected_document_name", "expected_chunk_id", "expected_chunk_index", "expected_section"]
 HIT = ["rank", "score", "document_id", "document_name", "chunk_id", "chunk_index", "section"]
 
 
 def numbered(cases: DataFrame) -> DataFrame:
-    """Cases as read_cases() gives them with query_id, the line; fails on lines that are no case, and where there are none."""
-    wrong = cases.where("error_message is not null").orderBy("line").first()
+    """Cases as read_cases() gives them with query_id, from 1 in the order of files and lines; fails on lines that are no case, and where there are none."""
+    wrong = cases.where("error_message is not null").orderBy("file", "line").first()
     if wrong:
         raise ValueError(f"{wrong.error_message} on line {wrong.line}")
     if cases.isEmpty():
         raise ValueError("evaluation dataset contains no cases")
-    return cases.drop("error_message").withColumnRenamed("line", "query_id")
+    return numbering.numbered(cases.drop("error_message"), ["file", "line"], "query_id").drop("file", "line")
 
 
 def case_ranks(cases: DataFrame, hits: DataFrame) -> DataFrame:

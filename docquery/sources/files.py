@@ -9,13 +9,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 PAGES = "document_id long, page int, text string, failed boolean, title string"
+# Messages.
 UNREADABLE, ENCRYPTED = "Unable to read PDF file.", "Encrypted PDF files are not supported."
 BINARY = "path string, modificationTime timestamp, length long, content binary"
 
 
-def read_files(spark: SparkSession, path: str, workspace_id: int, streaming: bool = False) -> DataFrame:
-    """Files below a folder with the name they were given, and file_key, a 256-bit hash of path and content."""
-    reader = spark.readStream if streaming else spark.read
+#: Files of a micro-batch.
+FILES_PER_TRIGGER = 1000
+
+
+def read_files(spark: SparkSession, path: str, workspace_id: int, streaming: bool = False, files_per_trigger: int = FILES_PER_TRIGGER) -> DataFrame:
+    """Files below a folder with the name they were given, and file_key, a 256-bit hash of path and content; a stream takes so many at a time."""
+    reader = spark.readStream.option("maxFilesPerTrigger", files_per_trigger) if streaming else spark.read
     raw = reader.format("binaryFile").schema(BINARY).option("recursiveFileLookup", "true").load(path)
     name = F.regexp_extract("path", r"([^/]*)\z", 1)
     return raw.select(F.sha2(F.concat(F.encode("path", "UTF-8"), F.lit(b"\0"), F.col("content")), 256).alias("file_key"), F.lit(workspace_id).cast("long").alias("workspace_id"), F.url_decode(name).alias("filename"), F.lit("application/octet-stream").alias("content_type"), "content")

@@ -40,20 +40,29 @@ class Store:
         row = self.spark.read.schema("n long, tables string").json(f"{self.root}/{LOG}/*").orderBy(F.desc("n")).first()
         return (row.n, {t: {int(w): path for w, path in parts.items()} for t, parts in json.loads(row.tables).items()}) if row else (0, {})
 
-    def commit(self, changes: dict[str, DataFrame], replace: bool = False, base: tuple[int, dict] | None = None) -> None:
+    def mark(self, name: str, n: int | None = None) -> int:
+        """What the last commit, or commit n, notes under a name; -1 for nothing."""
+        return self._marks(self.state()[0] if n is None else n).get(name, -1)
+
+    def _marks(self, n: int) -> dict[str, int]:
+        row = self.spark.read.schema("n long, marks string").json(f"{self.root}/{LOG}/{n:012d}.json").first() if n else None
+        return json.loads(row.marks or "{}") if row else {}
+
+    def commit(self, changes: dict[str, DataFrame], replace: bool = False, base: tuple[int, dict] | None = None, marks: dict[str, int] | None = None) -> None:
         """The rows of changes become the rows of the workspaces that they hold, in all tables at once; replace: of all workspaces.
 
-        base is the state() that the changes were made from; without it, the present one.
+        base is the state() that the changes were made from; without it, the
+        present one. marks are numbers noted in the same commit, by name.
         """
         n, tables = base or self.state()
-        tables = dict(tables)
+        tables, noted = dict(tables), self._marks(n) | (marks or {})
         for name, rows in changes.items():
             version = f"{name}/{uuid.uuid4().hex}"
             rows.withColumn("part", F.coalesce("workspace_id", F.lit(-1))).write.partitionBy("part").parquet(f"{self.root}/{version}")
             held = self.spark.read.parquet(f"{self.root}/{version}") if self._parts(version) else None
             parts = {} if held is None else {r.part: f"{version}/part={r.part}" for r in held.select(F.col("part").cast("long")).distinct().collect()}
             tables[name] = parts if replace else tables.get(name, {}) | parts
-        if not claim(self.spark, f"{self.root}/{LOG}/{n + 1:012d}.json", json.dumps({"n": n + 1, "tables": json.dumps(tables)})):
+        if not claim(self.spark, f"{self.root}/{LOG}/{n + 1:012d}.json", json.dumps({"n": n + 1, "tables": json.dumps(tables), "marks": json.dumps(noted)})):
             raise Conflict(f"commit {n + 1} is taken")
 
     def _parts(self, version: str) -> bool:
@@ -95,11 +104,14 @@ class Table:
         upsert_together([(self, rows, key)], order)
 
 
-def upsert_together(changes: list[tuple[Table, DataFrame, str]], order: str | None = None) -> None:
-    """Upserts into several tables of one store that readers see all at once or not at all."""
-    if changes:
-        store = changes[0][0].store
-        base = store.state()  # read once: what is merged is what the commit follows
+def upsert_together(changes: list[tuple[Table, DataFrame, str]], order: str | None = None, marks: dict[str, int] | None = None, store: Store | None = None) -> None:
+    """Upserts into several tables of one store that readers see all at once or not at all, with the marks noted in the same commit."""
+    stores = [store] if store else []
+    stores += [table.store for table, _, _ in changes]
+    if len({s.root for s in stores}) > 1:
+        raise ValueError("tables of several stores have no commit in common")
+    if stores:
+        base = stores[0].state()  # read once: what is merged is what the commit follows
         held = [(table, rows, key) for table, rows, key in changes if not rows.isEmpty()]
-        if held:
-            store.commit({table.name: table.merged(rows, key, base, order) for table, rows, key in held}, base=base)
+        if held or marks:
+            stores[0].commit({table.name: table.merged(rows, key, base, order) for table, rows, key in held}, base=base, marks=marks)

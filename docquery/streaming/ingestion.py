@@ -2,63 +2,76 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from docquery.operators.indexing import embedded, indexed
 from docquery.operators.ingest import checked, chunk_rows, failed, parsed, pending
+from docquery.operators.numbering import numbered
 from docquery.operators.vectors import EmbeddingProvider
 from docquery.sources.files import pdf_pages
 from docquery.sources.store import Table, upsert_together
 
 
-def with_document_ids(files: DataFrame, documents: DataFrame) -> DataFrame:
-    """files (file_key, ...) with document_id: that of the stored document with the same key, or the next free ones in the order of keys.
+#: Commits of a micro-batch.
+STEPS = 3
 
-    A micro-batch's new keys are numbered in one task, which sees nothing but them.
-    """
+
+def with_document_ids(files: DataFrame, documents: DataFrame) -> DataFrame:
+    """files (file_key, ...) with document_id: that of the stored document with the same key, or the next free ones in the order of keys."""
     known = documents.select("file_key", F.col("document_id").alias("stored"))
     last = documents.agg(F.coalesce(F.max("document_id"), F.lit(0))).first()[0]
     keys = files.select("file_key").distinct().join(known, "file_key", "left")
-    fresh = keys.where("stored is null").select("file_key", (F.row_number().over(Window.orderBy("file_key")) + last).alias("document_id"))
+    fresh = numbered(keys.where("stored is null").select("file_key"), ["file_key"], "document_id", last + 1)
     ids = keys.where("stored is not null").select("file_key", F.col("stored").alias("document_id")).unionByName(fresh)
     return files.dropDuplicates(["file_key"]).join(ids, "file_key")
 
 
 def ingest_stream(
     files: DataFrame, documents: Table, chunks: Table, checkpoint: str, workspaces: DataFrame | None = None, rejected: Table | None = None,
-    points: Table | None = None, embedder: EmbeddingProvider | None = None, dimension: int = 64,
+    points: Table | None = None, embedder: EmbeddingProvider | None = None, dimension: int = 64, name: str = "ingest",
 ) -> StreamingQuery:
-    """Documents and chunks of arriving files, and their points where an embedder is given.
+    """Documents and chunks of arriving files, and their points where an embedder is given; all tables are of one store.
 
-    A file that is rejected goes to `rejected` and nowhere else. Others are stored
-    as PENDING, then with their final state and chunks in one commit; a document
-    that can't be indexed after that is FAILED and keeps its chunks. Ids hang on
-    path and content, so a repeated batch changes nothing.
+    A micro-batch is three commits: files that are rejected, to `rejected` and
+    nowhere else, with the others as PENDING; their final state and chunks; and
+    points with the documents that can't be indexed, which are FAILED and keep
+    their chunks. Each commit notes, with the rows, how far which batch of the
+    stream `name` has come: a batch that is run again after a failure goes on
+    after its last commit, and one that was finished changes nothing. A stream
+    that starts from a new checkpoint needs a new name.
     """
 
-    def batch(rows: DataFrame, _: int) -> None:
-        seen = checked(rows, workspaces)
-        if rejected is not None:
-            rejected.upsert(seen.where("error_code is not null").drop("content"), "file_key")
-        taken = with_document_ids(seen.where("error_code is null").select(rows.columns), documents.read()).persist()
+    def batch(rows: DataFrame, number: int) -> None:
+        done = documents.store.mark(name)
+        step = lambda i: STEPS * number + i
+        if done >= step(STEPS - 1):
+            return
+        seen = checked(rows, workspaces).persist()
+        good = seen.where("error_code is null").select(rows.columns)
+        taken = with_document_ids(good, documents.read()).persist()
         try:
-            documents.upsert(pending(checked(taken)), "document_id")
+            if done < step(0):
+                bad = [(rejected, seen.where("error_code is not null").drop("content"), "file_key")] if rejected is not None else []
+                upsert_together([*bad, (documents, pending(checked(taken)), "document_id")], marks={name: step(0)})
             pages = pdf_pages(checked(taken).where("file_type = 'pdf'"))
-            done = parsed(taken, pages).persist()
-            new = chunk_rows(done).persist()
-            upsert_together([(documents, done, "document_id"), (chunks, new, "id")])
+            read = parsed(taken, pages).persist()
+            new = chunk_rows(read).persist()
+            if done < step(1):
+                upsert_together([(documents, read, "document_id"), (chunks, new, "id")], marks={name: step(1)})
             if embedder is not None and points is not None:
-                stored = done.where("status <> 'FAILED'")
                 vectors = embedded(new, embedder, dimension).persist()
-                found, errors = indexed(vectors, stored)
-                points.upsert(found.withColumn("workspace_id", F.col("payload.workspace_id")), "point_id")
-                documents.upsert(failed(documents.read().join(errors.select("document_id"), "document_id", "left_semi"), errors), "document_id")
+                found, errors = indexed(vectors, read.where("status <> 'FAILED'"))
+                lost = failed(documents.read().join(errors.select("document_id"), "document_id", "left_semi"), errors)
+                upsert_together([(points, found.withColumn("workspace_id", F.col("payload.workspace_id")), "point_id"), (documents, lost, "document_id")], marks={name: step(2)})
                 vectors.unpersist()
-            done.unpersist()
+            else:
+                upsert_together([], marks={name: step(2)}, store=documents.store)
+            read.unpersist()
             new.unpersist()
         finally:
             taken.unpersist()
+            seen.unpersist()
 
     return files.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

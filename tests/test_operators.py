@@ -294,14 +294,14 @@ def test_streaming_ingestion_is_idempotent(spark, tmp_path):
     chunks = Table(store, "chunks", "id long, workspace_id long, chunk_id string, text string")
     known = spark.createDataFrame([(1,)], "id long")
     for run in range(2):
-        ingest_stream(read_files(spark, str(tmp_path / "in"), 1, streaming=True), documents, chunks, str(tmp_path / f"check{run}"), known, rejected).awaitTermination()
+        ingest_stream(read_files(spark, str(tmp_path / "in"), 1, streaming=True), documents, chunks, str(tmp_path / f"check{run}"), known, rejected, name=f"run {run}").awaitTermination()
         rows = documents.read().collect()
         assert {r.status for r in rows} == {"COMPLETED"} and sorted(r.document_id for r in rows) == [1, 2, 3] and all(r.created_at <= r.updated_at for r in rows)
         assert chunks.read().count() == 3
         first = {r.document_id: r.created_at for r in rows} if run == 0 else first
     assert first == {r.document_id: r.created_at for r in rows} and any(r.updated_at > r.created_at for r in rows)
     assert [(r.filename, r.error_code) for r in rejected.read().collect()] == [("x.doc", "UNSUPPORTED_TYPE")]
-    ingest_stream(read_files(spark, str(tmp_path / "in"), 9, streaming=True), documents, chunks, str(tmp_path / "check9"), known, rejected).awaitTermination()
+    ingest_stream(read_files(spark, str(tmp_path / "in"), 9, streaming=True), documents, chunks, str(tmp_path / "check9"), known, rejected, name="run 9").awaitTermination()
     assert documents.read().count() == 3 and {r.error_code for r in rejected.read([9]).collect()} == {"WORKSPACE_NOT_FOUND", "UNSUPPORTED_TYPE"}
 
 
