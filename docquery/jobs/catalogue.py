@@ -10,8 +10,11 @@ from docquery.operators import answering, evaluation, ingest
 from docquery.operators.chunking import identified, markdown_chunks, page_chunks
 from docquery.operators.indexing import embedded, indexed, searchable, with_payload
 from docquery.operators.markdown import elements, titles
+from docquery.operators.numbering import numbered
+from docquery.operators.reconcile import reconciled
 from docquery.operators.routing import with_file_type
 from docquery.operators.vectors import HashEmbedder, norm, top_k, upserted
+from docquery.sources.jsonl import read_cases
 from docquery.sources.repository import VectorRepository
 from docquery.sources.scratch import file_state, fresh_path, once, written
 
@@ -318,6 +321,38 @@ def integrity(spark, sf_dir):
     return per.agg(F.sum("n").alias("chunks"), F.sum(F.col("n") - F.col("ids")).alias("repeated_ids"), F.sum(F.col("n") - F.col("places")).alias("repeated_places"), F.sum("lengths").alias("wrong_lengths"), F.sum("long").alias("too_long"))
 
 
+def reconcile_stores(spark, sf_dir):
+    """Documents, chunks and the points of a stored collection against each other, after some of each have been lost, doubled, orphaned and changed."""
+    engine = Engine(spark, sf_dir, K)
+    counts = engine.chunks.groupBy("document_id").agg(F.count("*").alias("chunk_count"))
+    at = F.col("document_id")
+    documents = engine.documents.join(counts, "document_id", "left").where(at % 13 > 0).withColumn("copy", F.explode(F.sequence(F.lit(0), F.when(at % 17 == 0, 1).otherwise(0))))
+    chunks = engine.chunks.where((at % 7 > 0) | (F.col("chunk_index") > 0)).withColumn("copy", F.explode(F.sequence(F.lit(0), F.when((at % 5 == 0) & (F.col("chunk_index") == 1), 1).otherwise(0))))
+    place, of = F.col("payload.chunk_index"), F.col("payload.document_id")
+    changed = F.when((of % 19 == 0) & (place == 0), F.concat(F.lit("other "), F.col("payload.chunk_id"))).otherwise(F.col("payload.chunk_id"))
+    points = engine.repository().read().where((of % 11 > 0) | (place > 0)).withColumn("payload", F.col("payload").withField("chunk_id", changed))
+    return reconciled(documents, chunks, points.union(points.where((of % 23 == 0) & (place == 0))))
+
+
+def gapless_ids(spark, sf_dir):
+    """Documents numbered by the order of their texts' checksums."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", F.sha2(F.encode("text", "UTF-8"), 256).alias("checksum"))
+    return numbered(docs, ["checksum", "doc_id"], "number")
+
+
+def eval_file(spark, sf_dir):
+    """Golden cases from JSON lines, asked of the stored collection: rank of each case's chunk among GOLDEN_K hits, numbered by files and lines."""
+    engine = Engine(spark, sf_dir, GOLDEN_K)
+    text = _read(spark, sf_dir, "documents").where(F.col("doc_id") % EVERY == 0).select((F.col("doc_id") + 1).alias("expected_document_id"), (F.col("doc_id") % 3 + 1).alias("workspace_id"), F.col("text").alias("query"))
+    first = engine.chunks.where("chunk_index = 0").select(F.col("document_id").alias("expected_document_id"), F.concat(F.lit("doc-"), (F.col("document_id") - 1).cast("string"), F.lit(".md")).alias("expected_document_name"), F.col("chunk_id").alias("expected_chunk_id"), F.lit(0).alias("expected_chunk_index"), F.col("section").alias("expected_section"))
+    path = fresh_path(spark, "golden")
+    text.join(first, "expected_document_id").repartitionByRange(4, "expected_document_id").sortWithinPartitions("expected_document_id").write.json(path)
+    cases = evaluation.numbered(read_cases(spark, path))
+    hits = engine.repository().search(HashEmbedder(HASHED).queries(cases, "query"), GOLDEN_K)
+    ranks = evaluation.case_ranks(cases, hits.select("query_id", "rank", "payload.chunk_id"))
+    return ranks.select("query_id", "expected_document_id", "expected_chunk_id", "relevant_rank")
+
+
 def workspace_check(spark, sf_dir):
     known = _read(spark, sf_dir, "region").select((F.col("r_regionkey").cast("long") + 1).alias("id"))
     files = _read(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 8).alias("workspace_id"))
@@ -335,5 +370,5 @@ QUERIES = {
     f.__name__.removesuffix("_query"): f
     for f in (route_files, doc_checksum, md_elements, md_title, split_text, md_chunks, md_chunk_ids, page_chunks_query, chunk_stats, ingest_status, dup_documents, shared_chunk_ids,
               vector_topk, vector_upsert, hash_embed, hash_search, index_points, index_status, chunk_search, stored_search, repository_upsert, hydrate, enrich_rank, missing_hits, context_blocks, context_pack, prompts, llm_parse, citations, answers,
-              eval_cases, eval_metrics, eval_failures, public_citations, integrity, workspace_check, health)
+              eval_cases, eval_metrics, eval_failures, eval_file, public_citations, integrity, reconcile_stores, gapless_ids, workspace_check, health)
 }

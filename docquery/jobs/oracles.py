@@ -165,6 +165,21 @@ ORACLES = {
     "eval_failures": f"with recursive {GOLDEN} select query_id, expected_chunk_id, (select string_agg(chunk_id, ',' order by rank) from told where told.query_id = ranked.query_id) as retrieved from ranked where relevant_rank is null",
     "public_citations": f"with recursive {REPLIES} select query_id, position, source_id, document_name, source_type, section, page_start, page_end, text as quote from cit",
     "integrity": f"with recursive {CHUNKS} select count(*) as chunks, (count(*) - count(distinct (document_id, chunk_id)))::bigint as repeated_ids, (count(*) - count(distinct id))::bigint as repeated_places, 0::bigint as wrong_lengths, count(*) filter (where char_count > 1200) as too_long from c",
+    "reconcile_stores": f"""with recursive {CHUNKS}, n as (select document_id, count(*) as n from c group by 1),
+        d as (select document_id, case when document_id % 13 = 0 then 0 when document_id % 17 = 0 then 2 else 1 end as n_documents, coalesce(n, 0) as want from md left join n using (document_id)),
+        ch as (select document_id, chunk_index, case when document_id % 7 = 0 and chunk_index = 0 then 0 when document_id % 5 = 0 and chunk_index = 1 then 2 else 1 end as times from c),
+        pt as (select document_id, chunk_index, case when document_id % 11 = 0 and chunk_index = 0 then 0 when document_id % 23 = 0 and chunk_index = 0 then 2 else 1 end as times from c),
+        cs as (select document_id, sum(times)::bigint as n_chunks, count(*) filter (where times > 0) as ids from ch group by 1),
+        ps as (select document_id, sum(times)::bigint as n_points, count(*) filter (where times > 0) as ids from pt group by 1),
+        j as (select d.document_id, n_documents, want, coalesce(n_chunks, 0) as n_chunks, coalesce(cs.ids, 0) as c_ids, coalesce(n_points, 0) as n_points, coalesce(ps.ids, 0) as p_ids
+              from d left join cs using (document_id) left join ps using (document_id))
+        select document_id, n_documents::bigint as n_documents, n_chunks, n_points,
+               concat_ws(',', case when n_documents = 0 then 'NO_DOCUMENT' end, case when n_documents > 1 then 'REPEATED_DOCUMENT' end, case when n_documents > 0 and want <> c_ids then 'CHUNK_COUNT' end,
+                         case when n_chunks > c_ids then 'REPEATED_CHUNKS' end, case when p_ids < c_ids then 'MISSING_POINTS' end, case when p_ids > c_ids then 'ORPHAN_POINTS' end, case when n_points > p_ids then 'REPEATED_POINTS' end,
+                         case when p_ids = c_ids and p_ids > 0 and (document_id % 19 = 0 or document_id % 7 = 0) and not (document_id % 19 > 0 and document_id % 7 = 0 and document_id % 11 = 0) then 'OTHER_POINTS' end) as problems
+        from j where n_documents + n_chunks + n_points > 0""",
+    "gapless_ids": "select doc_id, sha256(text) as checksum, row_number() over (order by sha256(text), doc_id) as number from documents",
+    "eval_file": f"""with recursive {GOLDEN} select row_number() over (order by query_id) as query_id, query_id + 1 as expected_document_id, expected_chunk_id, relevant_rank from ranked""",
     "workspace_check": "select doc_id, doc_id % 8 as workspace_id, case when doc_id % 8 not in (select r_regionkey + 1 from region) then 'WORKSPACE_NOT_FOUND' end as error_code from documents",
     "health": """with p as (select 'documents' as store, count(*) > 0 and count(*) = count(doc_id) as ok from documents union all select 'embeddings', count(*) > 0 and count(*) = count(vec_id) from embeddings
         union all select 'conversations', count(*) > 0 and count(*) = count(conv_id) from conversations) select * from p union all select 'all', bool_and(ok) from p""",
