@@ -11,6 +11,7 @@ from docquery.operators.chunking import identified, markdown_chunks, page_chunks
 from docquery.operators.indexing import embedded, indexed, searchable, with_payload
 from docquery.operators.markdown import elements, titles
 from docquery.operators.numbering import numbered
+from docquery.operators.parsers import TEXT, registry
 from docquery.operators.reconcile import reconciled
 from docquery.operators.routing import with_file_type
 from docquery.operators.vectors import HashEmbedder, norm, top_k, upserted
@@ -172,6 +173,20 @@ def ingest_status(spark, sf_dir):
     return done.select("document_id", "status", "error_message", (F.col("chunk_count") > 0).alias("has_chunks"))
 
 
+def mixed_ingest(spark, sf_dir):
+    """One batch of Markdown, plain text, PDF and what nobody reads, of documents' texts and conversations' pages: type, state and letters of each file's chunks."""
+    turns = page_source(spark, sf_dir).withColumn("document_id", -F.col("document_id")).withColumns({"failed": F.col("page") % 5 == 0, "title": F.lit(None).cast("string")})
+    kind = F.col("doc_id") % 4
+    name = F.when(kind == 0, "a.md").when(kind == 1, "b.TXT").when(kind == 2, "c.bin").otherwise("d")
+    declared = F.when(kind == 2, "application/octet-stream").otherwise("text/plain; charset=utf-8").alias("content_type")
+    content = F.when(F.col("doc_id") % 25 == 5, F.unhex(F.lit("FF"))).otherwise(F.encode(F.replace("text", F.lit("\n"), F.lit("\n\n")), "UTF-8"))
+    texts = _read(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), F.lit(1).cast("long").alias("workspace_id"), name.alias("filename"), declared, content.alias("content"))
+    talks = turns.select("document_id").distinct().select("document_id", F.lit(1).cast("long").alias("workspace_id"), F.lit("t.pdf").alias("filename"), F.lit("application/pdf").alias("content_type"), F.encode(F.lit("x"), "UTF-8").alias("content"))
+    done = ingest.parsed(texts.unionByName(talks), parsers=registry(turns).plus(TEXT))
+    chars = F.aggregate(F.coalesce(F.transform("chunks", lambda c: F.length(F.translate(c["text"], "\n ", ""))), F.array().cast("array<int>")), F.lit(0), lambda n, c: n + c)
+    return done.select("document_id", "file_type", "error_code", "status", "error_message", chars.alias("chars"))
+
+
 def dup_documents(spark, sf_dir):
     return doc_checksum(spark, sf_dir).groupBy("checksum").agg(F.count("*").alias("copies"), F.min("document_id").alias("first")).where("copies > 1")
 
@@ -368,7 +383,7 @@ def health(spark, sf_dir):
 
 QUERIES = {
     f.__name__.removesuffix("_query"): f
-    for f in (route_files, doc_checksum, md_elements, md_title, split_text, md_chunks, md_chunk_ids, page_chunks_query, chunk_stats, ingest_status, dup_documents, shared_chunk_ids,
+    for f in (route_files, doc_checksum, md_elements, md_title, split_text, md_chunks, md_chunk_ids, page_chunks_query, chunk_stats, ingest_status, mixed_ingest, dup_documents, shared_chunk_ids,
               vector_topk, vector_upsert, hash_embed, hash_search, index_points, index_status, chunk_search, stored_search, repository_upsert, hydrate, enrich_rank, missing_hits, context_blocks, context_pack, prompts, llm_parse, citations, answers,
               eval_cases, eval_metrics, eval_failures, eval_file, public_citations, integrity, reconcile_stores, gapless_ids, workspace_check, health)
 }

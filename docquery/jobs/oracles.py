@@ -118,6 +118,17 @@ ORACLES = {
         g as (select d, string_agg(page::varchar, ', ' order by page) filter (where failed) as bad, bool_or(has and not failed) as ok from p group by d)
         select d as document_id, case when not ok then 'FAILED' when bad is not null then 'PARTIAL' else 'COMPLETED' end as status,
                case when not ok then 'Parsing produced no usable chunks.' when bad is not null then 'Text extraction failed for pages: ' || bad end as error_message, ok as has_chunks from g""",
+    "mixed_ingest": r"""
+        with t as (select doc_id, doc_id % 4 as kind, doc_id % 25 = 5 as bad, length(regexp_replace(text, '[ \n]', '', 'g')) as n from documents),
+        p as (select -(conv_id + 1) as d, turn + 1 as page, (turn + 1) % 5 = 0 as failed, length(regexp_replace(text, '[ \n]', '', 'g')) as n from conversations),
+        g as (select d, string_agg(page::varchar, ', ' order by page) filter (where failed) as lost, coalesce(sum(n) filter (where not failed), 0) as n from p group by d)
+        select doc_id as document_id, case kind when 1 then 'text' when 3 then 'text' end as file_type, case kind when 0 then 'TYPE_CONFLICT' when 2 then 'UNSUPPORTED_TYPE' end as error_code,
+               case when kind in (0, 2) then null when bad or n = 0 then 'FAILED' else 'COMPLETED' end as status,
+               case kind when 0 then 'Filename extension and content type identify different file formats.' when 2 then 'Unsupported file type: filename=''c.bin'', content_type=''application/octet-stream'''
+                         else case when bad then 'Text file must be valid UTF-8.' when n = 0 then 'Parsing produced no usable chunks.' end end as error_message,
+               case when kind in (0, 2) or bad then 0 else n end::int as chars from t
+        union all select d, 'pdf', null, case when n = 0 then 'FAILED' when lost is not null then 'PARTIAL' else 'COMPLETED' end,
+               case when n = 0 then 'Parsing produced no usable chunks.' when lost is not null then 'Text extraction failed for pages: ' || lost end, n::int from g""",
     "dup_documents": f"with {SOURCE} select sha256(body) as checksum, count(*) as copies, min(document_id) as first from md group by 1 having count(*) > 1",
     "shared_chunk_ids": f"with recursive {CHUNKS} select chunk_id, count(distinct document_id) as documents, min(id) as first from c group by chunk_id having count(distinct document_id) > 1",
     "vector_topk": f"with {VECTOR_HITS} select query_id, workspace_id, point_id, round(score, 6) as score, rank from hit",

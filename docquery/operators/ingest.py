@@ -5,24 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docquery.functions.text import stem, utf8
-from docquery.operators.chunking import FIELDS, MAX_CHARS, PREFIX_TOO_LONG, identified, markdown_chunks, page_chunks, prefix_too_long
-from docquery.operators.markdown import elements
+from docquery.functions.text import stem
+from docquery.operators.chunking import FIELDS, MAX_CHARS, identified
+from docquery.operators.parsers import Registry, registry
 from docquery.operators.routing import with_file_type
 
 # Messages, and limits of names and sections.
-BAD_UTF8, NO_CHUNKS, FAILED_PAGES = "Markdown file must be valid UTF-8.", "Parsing produced no usable chunks.", "Text extraction failed for pages: "
+NO_CHUNKS, FAILED_PAGES = "Parsing produced no usable chunks.", "Text extraction failed for pages: "
 NAME_CHARS, SECTION_CHARS, MESSAGE_CHARS = 255, 500, 2000
 #: Columns that parsed() adds; files must not bring their own.
 ADDED = {"file_size_bytes", "checksum", "file_type", "error_code", "error_message", "status", "chunks", "chunk_count", "title", "failed_pages"}
 
 
-def checked(files: DataFrame, workspaces: DataFrame | None = None) -> DataFrame:
-    """files with size, checksum, file_type, and error_code and error_message where they are rejected: nothing of those is stored."""
+def checked(files: DataFrame, workspaces: DataFrame | None = None, parsers: Registry | None = None) -> DataFrame:
+    """files with size, checksum, file_type as the parsers claim it, and error_code and error_message where they are rejected: nothing of those is stored."""
     clash = sorted(ADDED & set(files.columns))
     if clash:
         raise ValueError(f"files have columns that are added: {', '.join(clash)}")
-    routed = with_file_type(files.withColumns({"file_size_bytes": F.octet_length("content"), "checksum": F.sha2("content", 256)}))
+    known = parsers or registry()
+    routed = with_file_type(files.withColumns({"file_size_bytes": F.octet_length("content"), "checksum": F.sha2("content", 256)}), known.extensions, known.content_types)
     empty = F.coalesce(F.col("file_size_bytes"), F.lit(0)) == 0
     code = F.when(F.col("error_code") == "INVALID_INPUT", F.col("error_code")).when(F.length("filename") > NAME_CHARS, "INVALID_INPUT").when(empty, "EMPTY_DOCUMENT").otherwise(F.col("error_code"))
     message = F.col("error_message")
@@ -39,35 +40,23 @@ def pending(files: DataFrame) -> DataFrame:
     return files.where("error_code is null").drop("content", "error_code").withColumns({"status": F.lit("PENDING"), "error_message": F.lit(None).cast("string"), "chunk_count": F.lit(0)})
 
 
-def parsed(files: DataFrame, pages: DataFrame | None = None, max_chars: int = MAX_CHARS, workspaces: DataFrame | None = None) -> DataFrame:
-    """files (document_id, workspace_id, filename, content_type, content) without content, with state and chunks; pages (document_id, page, text, failed, title) of PDF files.
+def parsed(files: DataFrame, pages: DataFrame | None = None, max_chars: int = MAX_CHARS, workspaces: DataFrame | None = None, parsers: Registry | None = None) -> DataFrame:
+    """files (document_id, workspace_id, filename, content_type, content) without content, with state and chunks.
 
-    A failed row of pages without page is a file that can't be read, and its text the reason.
-    A row that can't be stored has an error_code and no status. A stored one is
-    COMPLETED, PARTIAL (pages failed) or FAILED, with an error_message. Ids must not repeat.
+    Each file is read by the parser of its type, all types in one job; pages
+    (document_id, page, text, failed, title) are those of PDF files where no
+    other parsers are given. A row that can't be stored has an error_code and no
+    status. A stored one is COMPLETED, PARTIAL (pages failed) or FAILED, with an
+    error_message. Ids must not repeat.
     """
-    routed = checked(files, workspaces)
-    markdown = routed.where("error_code is null and file_type = 'markdown'").select("document_id", utf8(F.col("content")).alias("body"))
-    found = elements(markdown.where("body is not null"))
-    rows = markdown_chunks(found, max_chars)
-    facts = found.groupBy("document_id").agg(F.bool_or(prefix_too_long(max_chars)).alias("cramped"), F.min_by(F.when(F.col("heading_level") == 1, F.col("text")), F.when(F.col("heading_level") == 1, F.col("at"))).alias("top"))
-    facts = markdown.select("document_id", F.col("body").isNull().alias("bad")).join(facts, "document_id", "left").withColumns({"failed_pages": F.array().cast("array<int>"), "unreadable": F.lit(None).cast("string")})
-    if pages is not None:
-        good = ~F.coalesce("failed", F.lit(False))
-        rows = rows.unionByName(page_chunks(pages.where(good), max_chars))
-        named = F.max("title") if "title" in pages.columns else F.lit(None).cast("string")
-        of_pages = pages.groupBy("document_id").agg(
-            F.sort_array(F.collect_list(F.when(~good, F.col("page").cast("int")))).alias("failed_pages"),
-            F.max(F.when(~good & F.col("page").isNull(), F.col("text"))).alias("unreadable"),
-            named.alias("top"),
-        )
-        facts = facts.unionByName(of_pages, allowMissingColumns=True)
+    parsers = parsers or registry(pages)
+    routed = checked(files, workspaces, parsers)
+    rows, facts = parsers.read(routed.where("error_code is null"), max_chars)
+    facts = facts.withColumnRenamed("title", "top")
     lists = rows.groupBy("document_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("chunk_index", *FIELDS))), lambda c: F.struct(*[c[x].alias(x) for x in FIELDS])).alias("chunks"))
     read = routed.drop("content").join(facts, "document_id", "left").join(lists, "document_id", "left")
     failure = (
-        F.when(F.col("bad"), BAD_UTF8)
-        .when(F.col("cramped"), PREFIX_TOO_LONG)
-        .when(F.col("unreadable").isNotNull(), F.col("unreadable"))
+        F.when(F.col("problem").isNotNull(), F.col("problem"))
         .when(F.coalesce(F.size("chunks"), F.lit(0)) <= 0, NO_CHUNKS)
         .when(F.exists("chunks", lambda c: F.length(c["section"]) > SECTION_CHARS), f"section is longer than {SECTION_CHARS} characters")
     )
@@ -76,7 +65,7 @@ def parsed(files: DataFrame, pages: DataFrame | None = None, max_chars: int = MA
     message = F.when(rejected, F.col("error_message")).when(failure.isNotNull(), failure).when(partial, F.concat(F.lit(FAILED_PAGES), F.array_join("failed_pages", ", ")))
     read = read.withColumns({"status": status, "error_message": F.substring(message, 1, MESSAGE_CHARS)})
     read = read.withColumns({"chunks": F.when(F.col("status").isin("COMPLETED", "PARTIAL"), F.col("chunks")), "title": F.coalesce("top", stem(F.col("filename")))})
-    return read.drop("bad", "cramped", "unreadable", "top").withColumn("chunk_count", F.coalesce(F.size("chunks"), F.lit(0)))
+    return read.drop("problem", "top").withColumn("chunk_count", F.coalesce(F.size("chunks"), F.lit(0)))
 
 
 def failed(documents: DataFrame, errors: DataFrame) -> DataFrame:

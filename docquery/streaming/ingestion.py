@@ -9,6 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from docquery.operators.indexing import embedded, indexed
 from docquery.operators.ingest import checked, chunk_rows, failed, parsed, pending
 from docquery.operators.numbering import numbered
+from docquery.operators.parsers import Registry, registry
 from docquery.operators.vectors import EmbeddingProvider
 from docquery.sources.files import pdf_pages
 from docquery.sources.store import Table, upsert_together
@@ -30,9 +31,9 @@ def with_document_ids(files: DataFrame, documents: DataFrame) -> DataFrame:
 
 def ingest_stream(
     files: DataFrame, documents: Table, chunks: Table, checkpoint: str, workspaces: DataFrame | None = None, rejected: Table | None = None,
-    points: Table | None = None, embedder: EmbeddingProvider | None = None, dimension: int = 64, name: str = "ingest",
+    points: Table | None = None, embedder: EmbeddingProvider | None = None, dimension: int = 64, name: str = "ingest", parsers: Registry | None = None,
 ) -> StreamingQuery:
-    """Documents and chunks of arriving files, and their points where an embedder is given; all tables are of one store.
+    """Documents and chunks of arriving files, and their points where an embedder is given; all tables are of one store. Files are read by Markdown and PDF parsers, or by those given.
 
     A micro-batch is three commits: files that are rejected, to `rejected` and
     nowhere else, with the others as PENDING; their final state and chunks; and
@@ -43,20 +44,21 @@ def ingest_stream(
     that starts from a new checkpoint needs a new name.
     """
 
+    known = parsers or registry(pdf_pages)
+
     def batch(rows: DataFrame, number: int) -> None:
         done = documents.store.mark(name)
         step = lambda i: STEPS * number + i
         if done >= step(STEPS - 1):
             return
-        seen = checked(rows, workspaces).persist()
+        seen = checked(rows, workspaces, known).persist()
         good = seen.where("error_code is null").select(rows.columns)
         taken = with_document_ids(good, documents.read()).persist()
         try:
             if done < step(0):
                 bad = [(rejected, seen.where("error_code is not null").drop("content"), "file_key")] if rejected is not None else []
-                upsert_together([*bad, (documents, pending(checked(taken)), "document_id")], marks={name: step(0)})
-            pages = pdf_pages(checked(taken).where("file_type = 'pdf'"))
-            read = parsed(taken, pages).persist()
+                upsert_together([*bad, (documents, pending(checked(taken, parsers=known)), "document_id")], marks={name: step(0)})
+            read = parsed(taken, parsers=known).persist()
             new = chunk_rows(read).persist()
             if done < step(1):
                 upsert_together([(documents, read, "document_id"), (chunks, new, "id")], marks={name: step(1)})

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docquery.functions import text
-from docquery.operators import answering, evaluation, ingest
+from docquery.operators import answering, evaluation, ingest, parsers
 from docquery.operators.chunking import identified, markdown_chunks, page_chunks
 from docquery.operators.indexing import BLANK, NO_CHUNKS, NO_WORKSPACE, NOT_STORED, embedded, indexed, searchable, with_payload
 from docquery.operators.markdown import elements, titles
@@ -141,7 +141,7 @@ def test_ingest_states(spark):
     done = ingest.parsed(spark.createDataFrame(rows, "document_id long, workspace_id long, filename string, content_type string, content binary"), spark.createDataFrame(pages, "document_id long, page int, text string, failed boolean"))
     got = {r.document_id: (r.status, r.error_code, r.error_message, r.chunk_count) for r in done.collect()}
     assert got[1][:2] == ("COMPLETED", None) and got[1][3] == 1
-    assert got[2] == ("FAILED", None, ingest.BAD_UTF8, 0)
+    assert got[2] == ("FAILED", None, parsers.BAD_UTF8, 0)
     assert got[3][:2] == (None, "EMPTY_DOCUMENT") and got[7][:2] == (None, "UNSUPPORTED_TYPE") and got[8][:2] == (None, "INVALID_INPUT")
     assert got[4] == ("PARTIAL", None, "Text extraction failed for pages: 2", 1)
     assert got[5] == ("FAILED", None, ingest.NO_CHUNKS, 0) and got[6] == ("FAILED", None, ingest.NO_CHUNKS, 0)
