@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 from docquery.functions.text import hard_split
 from docquery.operators import answering, evaluation, ingest
 from docquery.operators.chunking import identified, markdown_chunks, page_chunks
+from docquery.operators.generation import FirstSentence
 from docquery.operators.indexing import embedded, indexed, searchable, with_payload
 from docquery.operators.markdown import elements, titles
 from docquery.operators.numbering import numbered
 from docquery.operators.parsers import TEXT, registry
 from docquery.operators.reconcile import reconciled
 from docquery.operators.routing import with_file_type
+from docquery.operators.service import Service
 from docquery.operators.vectors import HashEmbedder, norm, top_k, upserted
 from docquery.sources.jsonl import read_cases
 from docquery.sources.repository import VectorRepository
@@ -313,6 +315,33 @@ def answers(spark, sf_dir):
     return answering.answers(engine.questions, engine.hits, found, _replies(found).where(F.col("query_id") / EVERY % 9 > 0))
 
 
+class Moody(FirstSentence):
+    """A model that needs none and fails by the length of the question."""
+
+    def generate(self, system_prompt: str, user_prompt: str) -> str:
+        size = len(user_prompt.split("\n\nSources:\n\n", 1)[0]) - len("Question:\n\n")
+        if size % 7 == 0:
+            raise OSError("unreachable")
+        return "no JSON" if size % 5 == 0 else super().generate(system_prompt, user_prompt)
+
+
+def _served(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Every twentieth document's text as a question to its workspace, of which the third does not exist; texts over 1000 characters are refused."""
+    engine = Engine(spark, sf_dir)
+    docs = _read(spark, sf_dir, "documents").where(F.col("doc_id") % EVERY == 0)
+    asked_for = docs.select(F.col("doc_id").alias("query_id"), (F.col("doc_id") % 3 + 1).alias("workspace_id"), F.col("text").alias("question"))
+    known = _read(spark, sf_dir, "region").where("r_regionkey < 2").select((F.col("r_regionkey").cast("long") + 1).alias("id"))
+    return Service(engine.repository(), engine.stored, known, HashEmbedder(HASHED), Moody(), PACK_K).answer(asked_for)
+
+
+def served_answers(spark, sf_dir):
+    return _served(spark, sf_dir)[0]
+
+
+def served_citations(spark, sf_dir):
+    return _served(spark, sf_dir)[1].select("query_id", "position", "source_id", "document_name", "section", "quote")
+
+
 def eval_cases(spark, sf_dir):
     return Engine(spark, sf_dir, GOLDEN_K).ranked()[0]
 
@@ -384,6 +413,6 @@ def health(spark, sf_dir):
 QUERIES = {
     f.__name__.removesuffix("_query"): f
     for f in (route_files, doc_checksum, md_elements, md_title, split_text, md_chunks, md_chunk_ids, page_chunks_query, chunk_stats, ingest_status, mixed_ingest, dup_documents, shared_chunk_ids,
-              vector_topk, vector_upsert, hash_embed, hash_search, index_points, index_status, chunk_search, stored_search, repository_upsert, hydrate, enrich_rank, missing_hits, context_blocks, context_pack, prompts, llm_parse, citations, answers,
+              vector_topk, vector_upsert, hash_embed, hash_search, index_points, index_status, chunk_search, stored_search, repository_upsert, hydrate, enrich_rank, missing_hits, context_blocks, context_pack, prompts, llm_parse, citations, answers, served_answers, served_citations,
               eval_cases, eval_metrics, eval_failures, eval_file, public_citations, integrity, reconcile_stores, gapless_ids, workspace_check, health)
 }

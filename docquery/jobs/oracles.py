@@ -91,6 +91,10 @@ GOLDEN = f"""{hits(25)},
     ranked as (select gold.query_id, expected_chunk_id, min(rank) as relevant_rank from gold left join told on told.query_id = gold.query_id and told.chunk_id = expected_chunk_id group by all)"""
 
 
+SERVED = f"""{BLOCKS},
+    ask as (select query_id, workspace_id, length(trim(t, ' ' || chr(10))) as size, workspace_id = 3 as lost from q),
+    fine as (select *, size % 7 = 0 as down, size % 5 = 0 as garbled from ask where size between 1 and 1000 and not lost),
+    inn as (select query_id, count(*) as n, max(case when n = 1 then text end) as text from src where included group by query_id)"""
 DOCS16 = "d16 as (select doc_id + 1 as point_id, doc_id % 3 + 1 as workspace_id, text as t from documents)"
 PAGES = f"""pg as (select conv_id + 1 as document_id, (turn + 1)::int as page, trim(text, ' ' || chr(10)) as rest, 1200 as lim from conversations),
     {split_cte("piece", "pg", "document_id, page")},
@@ -171,6 +175,14 @@ ORACLES = {
                case what when 'lost' then 'all retrieved chunks are missing from the chunk table' when 'silent' then 'the model returned an invalid response' when 'bad' then error_message
                          when 'unknown' then case when kind = 2 then 'LLM cited unknown sources: SOURCE_99, SOURCE_99' else 'LLM cited unknown sources: SOURCE_2' end end as error_message
         from v1""",
+    "served_answers": f"""with recursive {SERVED},
+        v1 as (select fine.*, coalesce(inn.n, 0) as n, text, coalesce(inn.n, 0) = 0 as none from fine left join inn using (query_id))
+        select query_id, case when none then '{REFUSAL}' when down or garbled then null else trim(regexp_extract(text, '^[^.]*'), ' ' || chr(10)) end as answer, case when none then true when not down and not garbled then false end as refused,
+               case when none then '' when down or garbled then null when n > 1 then 'SOURCE_1,SOURCE_2' else 'SOURCE_1' end as cited, case when not none and (down or garbled) then 'LLM_INVALID' end as error_code,
+               case when none then null when down then 'the model request failed: OSError' when garbled then 'the model returned an invalid response' end as error_message from v1
+        union all select query_id, null, null, null, case when size between 1 and 1000 then 'WORKSPACE_NOT_FOUND' else 'INVALID_INPUT' end,
+               case when size between 1 and 1000 then 'Workspace ' || workspace_id || ' does not exist.' else 'question must have 1 to 1000 characters and a positive workspace_id' end from ask where lost or size not between 1 and 1000""",
+    "served_citations": f"""with recursive {SERVED} select query_id, (src.n - 1)::int as position, source_id, document_name, section, text as quote from src join fine using (query_id) where included and src.n <= 2 and not down and not garbled""",
     "eval_cases": f"with recursive {GOLDEN} select query_id, expected_chunk_id, relevant_rank from ranked",
     "eval_metrics": f"with recursive {GOLDEN} select count(*) as cases, count(relevant_rank) as recalled, round(avg((relevant_rank is not null)::int), 6) as recall, round(avg(coalesce(1.0::double / relevant_rank, 0)), 6) as mrr from ranked",
     "eval_failures": f"with recursive {GOLDEN} select query_id, expected_chunk_id, (select string_agg(chunk_id, ',' order by rank) from told where told.query_id = ranked.query_id) as retrieved from ranked where relevant_rank is null",
