@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docquery.functions.text import hard_split
+from docquery.jobs import sql
 from docquery.operators import answering, evaluation, ingest
 from docquery.operators.chunking import identified, markdown_chunks, page_chunks
 from docquery.operators.generation import FirstSentence
@@ -17,6 +18,7 @@ from docquery.operators.reconcile import reconciled
 from docquery.operators.routing import with_file_type
 from docquery.operators.service import Service
 from docquery.operators.vectors import HashEmbedder, norm, top_k, upserted
+from docquery.sources.buckets import Buckets
 from docquery.sources.jsonl import read_cases
 from docquery.sources.repository import VectorRepository
 from docquery.sources.scratch import file_state, fresh_path, once, written
@@ -84,6 +86,7 @@ class Engine:
         self.questions = once(spark, "questions", state, lambda: _questions(spark, sf_dir))
         self.hits = once(spark, f"hits-{k}", state, lambda: top_k(searchable(self.points), self.questions, k))
         self.root = lambda: once(spark, "repository", state, self._stored_root).first().root
+        self.bucketed_name = lambda: once(spark, "bucketed", state, self._bucketed_names).first().name
         self.stored = answering.stored_chunks(self.chunks, self.documents)
 
     def _stored_root(self) -> DataFrame:
@@ -97,6 +100,20 @@ class Engine:
         """The points as a stored collection."""
         return VectorRepository(self.points.sparkSession, self.root(), HASHED)
 
+    def _bucketed_names(self) -> DataFrame:
+        spark = self.points.sparkSession
+        table = Buckets.fresh(spark, "stored_chunks", "chunk_db_id").write(self.stored)
+        return spark.createDataFrame([(table.name,)], "name string")
+
+    def bucketed(self) -> DataFrame:
+        """The stored chunks as a table bucketed by their id."""
+        return self.points.sparkSession.table(self.bucketed_name())
+
+    def views(self) -> None:
+        """SQL functions, and views of the stored tables and hits."""
+        sql.register(self.points.sparkSession)
+        sql.views({"documents": self.documents, "chunks": self.chunks, "stored": self.stored, "points": searchable(self.points), "questions": self.questions, "hits": self.hits})
+
     def found(self) -> DataFrame:
         return answering.sources(answering.hydrated(self.hits, self.stored))
 
@@ -123,12 +140,15 @@ def _replies(found: DataFrame) -> DataFrame:
     return answering.parsed_reply(base.select("query_id", reply.alias("reply")))
 
 
-def route_files(spark, sf_dir):
+def _routed(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.col("doc_id") % 7
     name = F.concat(F.lit("f."), F.element_at(F.array(*map(F.lit, ["md", "PDF", "docx", "markdown", "md", "tar.pdf", "txt"])), (kind + 1).cast("int")))
     declared = F.element_at(F.array(*map(F.lit, ["application/octet-stream", "application/pdf", "application/msword", " Text/Markdown ; charset=utf-8", "application/pdf", "text/plain", "text/x-markdown"])), (kind + 1).cast("int"))
-    files = _read(spark, sf_dir, "documents").select("doc_id", name.alias("filename"), declared.alias("content_type"))
-    return with_file_type(files).select("doc_id", "file_type", "error_code")
+    return _read(spark, sf_dir, "documents").select("doc_id", name.alias("filename"), declared.alias("content_type"))
+
+
+def route_files(spark, sf_dir):
+    return with_file_type(_routed(spark, sf_dir)).select("doc_id", "file_type", "error_code")
 
 
 def doc_checksum(spark, sf_dir):
@@ -272,6 +292,59 @@ def hydrate(spark, sf_dir):
     return answering.hydrated(engine.hits, engine.stored).select("query_id", "chunk_db_id", "document_id", "document_name", "section", "page_start", "page_end", F.length("text").alias("chars"))
 
 
+def hydrate_bucketed(spark, sf_dir):
+    engine = Engine(spark, sf_dir)
+    return answering.hydrated_by_id(engine.hits, engine.bucketed()).select("query_id", "chunk_db_id", "document_id", "document_name", "section", "page_start", "page_end", F.length("text").alias("chars"))
+
+
+def sql_text(spark, sf_dir):
+    """Text functions in SQL: each text's lines, and the words and letters of its collapsed form."""
+    sql.register(spark)
+    _read(spark, sf_dir, "documents").createOrReplaceTempView("dq_texts")
+    return spark.sql("SELECT doc_id, size(dq_lines(text)) AS lines, size(split(dq_collapse(text), ' ')) AS words, length(dq_strip(text)) AS chars FROM dq_texts")
+
+
+def sql_routing(spark, sf_dir):
+    """File types in SQL, of the names and content types that route_files has."""
+    sql.register(spark)
+    _routed(spark, sf_dir).createOrReplaceTempView("dq_files")
+    return spark.sql("SELECT doc_id, dq_file_type(filename, content_type) AS file_type, dq_type_error(filename, content_type) AS error_code FROM dq_files")
+
+
+def sql_split(spark, sf_dir):
+    sql.register(spark)
+    _read(spark, sf_dir, "documents").createOrReplaceTempView("dq_texts")
+    return spark.sql("SELECT doc_id, posexplode(pieces) AS (part_index, piece) FROM (SELECT doc_id, dq_hard_split(replace(text, '\n', ' '), 300) AS pieces FROM dq_texts)")
+
+
+def sql_chunk_ids(spark, sf_dir):
+    """Chunk ids computed again from what is stored."""
+    Engine(spark, sf_dir).views()
+    return spark.sql("""
+        WITH told AS (SELECT id, document_id, chunk_index, dq_identity(section, page_start, page_end, text) AS identity FROM dq_chunks),
+        placed AS (SELECT *, row_number() OVER (PARTITION BY document_id, sha2(identity, 256) ORDER BY chunk_index) - 1 AS occurrence FROM told)
+        SELECT id, document_id, chunk_index, dq_chunk_id(identity, occurrence) AS chunk_id FROM placed""")
+
+
+def sql_blocks(spark, sf_dir):
+    """Source blocks of the hits in SQL."""
+    Engine(spark, sf_dir).views()
+    return spark.sql("""
+        WITH ctx AS (SELECT h.query_id, h.rank, s.* FROM dq_hits h JOIN dq_stored s ON s.chunk_db_id = h.point_id AND s.workspace_id = h.workspace_id),
+        named AS (SELECT *, concat('SOURCE_', row_number() OVER (PARTITION BY query_id ORDER BY rank)) AS source_id FROM ctx),
+        block AS (SELECT query_id, source_id, rank, dq_source_block(source_id, document_name, dq_page_label(page_start, page_end), section, chunk_id, text) AS block FROM named)
+        SELECT query_id, source_id, block, sum(length(block) + 2) OVER (PARTITION BY query_id ORDER BY rank) - 2 <= 12000 AS included FROM block""")
+
+
+def sql_search(spark, sf_dir):
+    """Each question's five nearest points of its workspace in SQL."""
+    Engine(spark, sf_dir, K).views()
+    return spark.sql("""
+        WITH scored AS (SELECT q.query_id, p.point_id, dq_cosine(p.vector, q.vector) AS score FROM dq_questions q JOIN dq_points p ON p.workspace_id = q.workspace_id),
+        placed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, point_id) AS rank FROM scored)
+        SELECT query_id, rank, point_id, round(score, 6) AS score FROM placed WHERE rank <= 5""")
+
+
 def enrich_rank(spark, sf_dir):
     engine = Engine(spark, sf_dir)
     return answering.hydrated(engine.hits, engine.stored).select("query_id", "rank", "chunk_db_id", "chunk_id", F.round("retrieval_score", 6).alias("score"))
@@ -413,6 +486,7 @@ def health(spark, sf_dir):
 QUERIES = {
     f.__name__.removesuffix("_query"): f
     for f in (route_files, doc_checksum, md_elements, md_title, split_text, md_chunks, md_chunk_ids, page_chunks_query, chunk_stats, ingest_status, mixed_ingest, dup_documents, shared_chunk_ids,
-              vector_topk, vector_upsert, hash_embed, hash_search, index_points, index_status, chunk_search, stored_search, repository_upsert, hydrate, enrich_rank, missing_hits, context_blocks, context_pack, prompts, llm_parse, citations, answers, served_answers, served_citations,
-              eval_cases, eval_metrics, eval_failures, eval_file, public_citations, integrity, reconcile_stores, gapless_ids, workspace_check, health)
+              vector_topk, vector_upsert, hash_embed, hash_search, index_points, index_status, chunk_search, stored_search, repository_upsert, hydrate, hydrate_bucketed, enrich_rank, missing_hits, context_blocks, context_pack, prompts, llm_parse, citations, answers, served_answers, served_citations,
+              eval_cases, eval_metrics, eval_failures, eval_file, public_citations, integrity, reconcile_stores, gapless_ids, workspace_check, health,
+              sql_text, sql_routing, sql_split, sql_chunk_ids, sql_blocks, sql_search)
 }

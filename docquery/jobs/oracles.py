@@ -207,3 +207,12 @@ ORACLES = {
     "health": """with p as (select 'documents' as store, count(*) > 0 and count(*) = count(doc_id) as ok from documents union all select 'embeddings', count(*) > 0 and count(*) = count(vec_id) from embeddings
         union all select 'conversations', count(*) > 0 and count(*) = count(conv_id) from conversations) select * from p union all select 'all', bool_and(ok) from p""",
 }
+ORACLES |= {
+    "hydrate_bucketed": ORACLES["hydrate"],
+    "sql_text": r"""select doc_id, len(string_split(text, chr(10)))::int as lines, len(string_split(trim(regexp_replace(text, '[ \n]+', ' ', 'g')), ' '))::int as words, length(trim(text, ' ' || chr(10)))::int as chars from documents""",
+    "sql_routing": ORACLES["route_files"],
+    "sql_split": ORACLES["split_text"],
+    "sql_chunk_ids": ORACLES["md_chunk_ids"],
+    "sql_blocks": ORACLES["context_blocks"],
+    "sql_search": f"""with recursive {hits(5)} select query_id, rank, point_id, round(score, 6) as score from hit""",
+}

@@ -28,6 +28,13 @@ def hydrated(hits: DataFrame, stored: DataFrame) -> DataFrame:
     return ids.join(stored, ["workspace_id", "chunk_db_id"])
 
 
+def hydrated_by_id(hits: DataFrame, stored: DataFrame) -> DataFrame:
+    """The same from a table that is bucketed by chunk_db_id: it is joined on that alone, and the workspace compared after, so that the stored side stays where it is."""
+    ids = hits.select("query_id", F.col("workspace_id").alias("asked_in"), F.col("point_id").alias("chunk_db_id"), F.col("score").alias("retrieval_score"), "rank")
+    # as a difference, since an equality would become a key of the join that the buckets lack
+    return ids.join(stored, "chunk_db_id").where(F.col("asked_in") - F.col("workspace_id") == 0).drop("asked_in")
+
+
 def missing(hits: DataFrame, stored: DataFrame) -> DataFrame:
     """Hits without a stored chunk."""
     held = stored.select(F.col("chunk_db_id").alias("point_id"), "workspace_id")
