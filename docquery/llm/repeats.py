@@ -44,8 +44,8 @@ from docquery.llm.storage import written
 #: Symbols of one long document that are worked on at a time, and its share of a 64-bit rank that holds a position.
 PIECE, POSITION_BITS = 1 << 22, 23
 BATCH_BYTES = 8 << 20
-RUNS = "anchor long, class long, doc_id long, at long, n int, copies int, sure boolean"
-RANKED = "left long, right long, doc_id long, at long, sure boolean"
+RUNS = "anchor long, class long, doc_id long, row long, at long, n int, copies int, sure boolean"
+RANKED = "left long, right long, doc_id long, row long, at long, sure boolean"
 
 
 @dataclasses.dataclass(frozen=True)
@@ -81,17 +81,17 @@ def document_runs(ranks: np.ndarray, rule: Rule) -> list[tuple[np.ndarray, ...]]
 
 def combined(parts: list[tuple[np.ndarray, ...]], rule: Rule) -> pd.DataFrame:
     """Runs of some documents: a row per class with its copies here, and rows that surely repeat."""
-    anchor, kind, doc, at, n = (np.concatenate(x) for x in zip(*parts, strict=True))
-    order = np.lexsort((at, doc, kind, anchor))
-    anchor, kind, doc, at, n = (x[order] for x in (anchor, kind, doc, at, n))
+    anchor, kind, doc, row, at, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.lexsort((at, row, doc, kind, anchor))
+    anchor, kind, doc, row, at, n = (x[order] for x in (anchor, kind, doc, row, at, n))
     new = np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (kind[1:] != kind[:-1])))
     group = np.cumsum(new) - 1
     head = np.flatnonzero(new)
     copies = np.diff(np.concatenate((head, [len(new)])))[group]
-    later = ~new & ((doc != doc[head][group]) | (at != at[head][group]))
+    later = ~new & ((doc != doc[head][group]) | (row != row[head][group]) | (at != at[head][group]))
     later |= ~new & (not rule.keep_first)
     keep = new | later
-    frame = pd.DataFrame({"anchor": anchor.view(np.int64), "class": kind.view(np.int64), "doc_id": doc, "at": at, "n": n.astype(np.int32), "copies": copies.astype(np.int32), "sure": later})[keep]
+    frame = pd.DataFrame({"anchor": anchor.view(np.int64), "class": kind.view(np.int64), "doc_id": doc, "row": row, "at": at, "n": n.astype(np.int32), "copies": copies.astype(np.int32), "sure": later})[keep]
     # what surely repeats needs no group any more: spread it
     sure = frame["sure"].to_numpy()
     frame.loc[sure, "anchor"] = mix((frame["doc_id"].to_numpy()[sure] * 1_000_003 + frame["at"].to_numpy()[sure]).view(np.uint64)).view(np.int64)
@@ -102,9 +102,9 @@ def find_runs(batches: Iterator[pd.DataFrame], rule: Rule) -> Iterator[pd.DataFr
     for batch in batches:
         for i, j in slices([len(t) if t else 1 for t in batch["text"]], BATCH_BYTES):
             parts = []
-            for doc, text in zip(batch["doc_id"][i:j], batch["text"][i:j], strict=True):
+            for doc, row, text in zip(batch["doc_id"][i:j], batch["row"][i:j], batch["text"][i:j], strict=True):
                 for anchor, kind, at, n in document_runs(rule.ranks(text), rule):
-                    parts.append((anchor, kind, np.full(len(at), doc, np.int64), at, n))
+                    parts.append((anchor, kind, np.full(len(at), doc, np.int64), np.full(len(at), row, np.int64), at, n))
             if parts:
                 yield combined(parts, rule)
 
@@ -114,16 +114,16 @@ def rank_windows(batches: Iterator[pd.DataFrame], rule: Rule) -> Iterator[pd.Dat
     for batch in batches:
         for i, j in slices([len(t) if t else 1 for t in batch["text"]], BATCH_BYTES):
             parts = []
-            for doc, text, asked in zip(batch["doc_id"][i:j], batch["text"][i:j], batch["asked"][i:j], strict=True):
+            for doc, row, text, asked in zip(batch["doc_id"][i:j], batch["row"][i:j], batch["text"][i:j], batch["asked"][i:j], strict=True):
                 ranks = rule.ranks(text)
                 for run in asked:
                     at, n = run["at"], run["n"]
                     if at + n + rule.length - rule.unit <= len(ranks):
                         own = windows(ranks[at : at + n + rule.length - rule.unit], rule.half, rule.unit)
-                        parts.append((own[:n], own[rule.length - rule.half :], np.full(n, doc, np.int64), np.arange(at, at + n), np.full(n, run["sure"])))
+                        parts.append((own[:n], own[rule.length - rule.half :], np.full(n, doc, np.int64), np.full(n, row, np.int64), np.arange(at, at + n), np.full(n, run["sure"])))
             if parts:
-                left, right, doc, at, sure = (np.concatenate(x) for x in zip(*parts, strict=True))
-                yield pd.DataFrame({"left": left.view(np.int64), "right": right.view(np.int64), "doc_id": doc, "at": at, "sure": sure})
+                left, right, doc, row, at, sure = (np.concatenate(x) for x in zip(*parts, strict=True))
+                yield pd.DataFrame({"left": left.view(np.int64), "right": right.view(np.int64), "doc_id": doc, "row": row, "at": at, "sure": sure})
 
 
 def merged(at: np.ndarray, n: np.ndarray, rule: Rule, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -136,11 +136,12 @@ def merged(at: np.ndarray, n: np.ndarray, rule: Rule, size: int) -> tuple[np.nda
 
 
 def repeated_windows(docs: DataFrame, rule: Rule, name: str) -> DataFrame:
-    """doc_id and an array of (at, n): n windows from at that the rule removes."""
-    runs = docs.select("doc_id", "text").where("doc_id is not null and text is not null").mapInPandas(functools.partial(find_runs, rule=rule), RUNS)
+    """doc_id, row and an array of (at, n): n windows from at that the rule removes; docs have doc_id, row (see identity.py) and text."""
+    own = ["doc_id", "row"]
+    runs = docs.select(*own, "text").where("doc_id is not null and text is not null").mapInPandas(functools.partial(find_runs, rule=rule), RUNS)
     of_class = Window.partitionBy("anchor", "class")
     of_anchor = Window.partitionBy("anchor")
-    place = F.struct("doc_id", "at")
+    place = F.struct(*own, "at")
     ranked = (
         runs.withColumn("first", F.min(place).over(of_class))
         .withColumn("copies", F.sum("copies").over(of_class))
@@ -149,21 +150,23 @@ def repeated_windows(docs: DataFrame, rule: Rule, name: str) -> DataFrame:
     )
     goes = F.col("sure") | (~F.col("head") if rule.keep_first else F.col("copies") > 1)
     asks = ~F.col("sure") & F.col("several") & F.col("head")
-    found = written(ranked.select("doc_id", "at", "n", goes.alias("goes"), asks.alias("asks")).where("goes or asks"), f"{name}-runs")
+    found = written(ranked.select(*own, "at", "n", goes.alias("goes"), asks.alias("asks")).where("goes or asks"), f"{name}-runs")
 
-    asked = found.where("asks").groupBy("doc_id").agg(F.collect_set(F.struct("at", "n", F.col("goes").alias("sure"))).alias("asked"))
-    pairs = docs.select("doc_id", "text").join(asked, "doc_id").mapInPandas(functools.partial(rank_windows, rule=rule), RANKED)
+    asked = found.where("asks").groupBy(*own).agg(F.collect_set(F.struct("at", "n", F.col("goes").alias("sure"))).alias("asked"))
+    pairs = docs.select(*own, "text").join(asked, own).mapInPandas(functools.partial(rank_windows, rule=rule), RANKED)
     equal = Window.partitionBy("left", "right")
     if rule.keep_first:
         again = pairs.withColumn("first", F.min(place).over(equal)).where(place != F.col("first"))
     else:
         again = pairs.withColumn("copies", F.count("*").over(equal)).where("copies > 1 and not sure")
-    single = again.groupBy("doc_id").agg(F.collect_set("at").alias("at")).select("doc_id", F.explode("at").alias("at"), F.lit(1).alias("n"))
-    return found.where("goes").select("doc_id", "at", "n").unionByName(single).groupBy("doc_id").agg(F.collect_list(F.struct("at", "n")).alias("gone"))
+    single = again.groupBy(*own).agg(F.collect_set("at").alias("at")).select(*own, F.explode("at").alias("at"), F.lit(1).alias("n"))
+    return found.where("goes").select(*own, "at", "n").unionByName(single).groupBy(*own).agg(F.collect_list(F.struct("at", "n")).alias("gone"))
 
 
 def applied(docs: DataFrame, gone: DataFrame, cut: Callable, schema: str, key: Column | None = None) -> DataFrame:
-    """Every document once more, with its windows to remove, through `cut` (batches of doc_id, text, gone)."""
+    """Every document (doc_id, row, text) once more, with its windows to remove, through `cut` (batches of doc_id, text, gone); rows without key lose nothing."""
     key = F.col("doc_id") if key is None else key
-    rows = docs.select("doc_id", "text", key.alias("key")).join(gone.withColumnRenamed("doc_id", "key"), "key", "left").drop("key")
-    return map_rows(rows, cut, schema)
+    rows = docs.select("doc_id", "text", key.alias("key"), "row")
+    held = rows.where("key is not null").join(gone.withColumnRenamed("doc_id", "key"), ["key", "row"], "left").drop("key", "row")
+    # rows without key would all meet in one task of the join
+    return map_rows(held.unionByName(rows.where("key is null").drop("key", "row"), allowMissingColumns=True), cut, schema)

@@ -6,9 +6,10 @@ anchor; matches equal in that whole extent are decided at once, others window
 by window, and adjoining windows merge into maximal repeats.
 
 The earliest occurrence, by doc_id and then place, stays. Null and empty
-texts have no words; texts shorter than a window lose nothing. Rows that
-share a doc_id are the same document, so neither is earlier than the other;
-rows without doc_id lose nothing.
+texts have no words; texts shorter than a window lose nothing. Equal rows are
+the same document, so neither is earlier than the other; of different texts
+that share a doc_id, the one with the smaller hash is earlier. Rows without
+doc_id lose nothing.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 from docquery.llm.hashing import words
+from docquery.llm.identity import with_row
 from docquery.llm.repeats import Rule, applied, merged, repeated_windows
 
 LENGTH, SEED = 20, 8
@@ -61,19 +63,19 @@ def _texts(batches: Iterator[pd.DataFrame], rule: Rule) -> Iterator[pd.DataFrame
 
 
 def repeated_passages(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
-    """doc_id and the windows of `length` words that start earlier too, as (at, n)."""
+    """doc_id, row and the windows of `length` words that start earlier too, as (at, n); docs as with_row() gives them."""
     return repeated_windows(docs, word_rule(length, seed), "substring")
 
 
 def dedup_texts(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
     """doc_id and the kept words joined by spaces; null stays null."""
-    rule = word_rule(length, seed)
+    rule, docs = word_rule(length, seed), with_row(docs.select("doc_id", "text"))
     return applied(docs, repeated_passages(docs, length, seed), functools.partial(_texts, rule=rule), "doc_id long, text string")
 
 
 def dedup_digests(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
     """Per document: words, words removed, SHA-256 of the kept words joined by spaces."""
-    rule = word_rule(length, seed)
+    rule, docs = word_rule(length, seed), with_row(docs.select("doc_id", "text"))
     return applied(docs, repeated_passages(docs, length, seed), functools.partial(_digests, rule=rule), DIGEST)
 
 

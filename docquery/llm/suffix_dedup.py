@@ -12,8 +12,8 @@ then sorts and reranks, at growing offsets:
 Ranks are 64-bit hashes rather than ordinals, pairs of them identify a string.
 
 Null and empty texts have no bytes. Texts shorter than the threshold lose
-nothing. Repeated rows count as copies of each other. Rows that share a
-doc_id share what is removed; rows without doc_id are documents like others.
+nothing. Repeated rows count as copies of each other. Texts that share a
+doc_id are documents of their own, and so are those without doc_id.
 """
 
 from __future__ import annotations
@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docquery.llm.hashing import LOAD, byte_ranks
+from docquery.llm.identity import with_row
 from docquery.llm.repeats import Rule, applied, merged, repeated_windows
 
 LENGTH, ANCHOR = 400, 256
@@ -78,19 +79,19 @@ def _key() -> Column:
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
-    """doc_id (or what stands for it) and the windows of `length` bytes that start anywhere else too, as (at, n)."""
-    return repeated_windows(docs.select(_key().alias("doc_id"), "text"), byte_rule(length, anchor), "suffix")
+    """doc_id (or what stands for it), row and the windows of `length` bytes that start anywhere else too, as (at, n); docs as with_row() gives them."""
+    return repeated_windows(docs.select(_key().alias("doc_id"), "row", "text"), byte_rule(length, anchor), "suffix")
 
 
 def dedup_texts(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
     """doc_id and the text without its repeated strings; a character cut in two becomes U+FFFD."""
-    rule = byte_rule(length, anchor)
+    rule, docs = byte_rule(length, anchor), with_row(docs.select("doc_id", "text"))
     return applied(docs, repeated_spans(docs, length, anchor), functools.partial(_texts, rule=rule), "doc_id long, text string", _key())
 
 
 def dedup_digests(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
     """Per document: bytes, bytes removed, maximal removed runs, SHA-256 of what is kept."""
-    rule = byte_rule(length, anchor)
+    rule, docs = byte_rule(length, anchor), with_row(docs.select("doc_id", "text"))
     return applied(docs, repeated_spans(docs, length, anchor), functools.partial(_digests, rule=rule), DIGEST, _key())
 
 

@@ -42,6 +42,23 @@ def test_toxicity_stage(spark, tmp_path):
     assert {r.doc_id for r in left.collect()} == {d for d, *_ in rows if d is None or not (d % 4 == 0 and d < 600 or d == 1000)}
 
 
+def test_texts_under_one_id_have_verdicts_of_their_own(spark, tmp_path):
+    item = " ".join(f"q{i}" for i in range(20))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(1, "x " + item, "s"), (1, "clean text of its own", "s"), (1, "clean text of its own", "t"), (2, None, "s"), (2, item, "s")]
+    left = corpus_pipeline.decontamination(spark, frame(spark, rows), str(tmp_path))
+    assert sorted(((r.doc_id, r.text, r.source, r.row) for r in left.collect()), key=str) == [(1, "clean text of its own", "s", "r"), (1, "clean text of its own", "t", "r"), (2, None, "s", "r")]
+
+
+def test_stages_of_empty_tables(spark, tmp_path):
+    spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.createDataFrame([], DOCS)
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.collect() == []
+
+
 def test_near_dedup_stage(spark):
     a, b = (" ".join(f"{x}{i}" for i in range(40)) for x in "ab")
     rows = [(1, a, "s"), (2, a, "s"), (2, b, "s"), (3, a + " more", "s"), (4, None, "s"), (5, None, "s"), (None, a, "s"), (6, "", "s"), (7, b, "s")]

@@ -96,6 +96,22 @@ def test_repeated_rows_and_texts(spark):
     assert {r.text for r in suffix_dedup.dedup_texts(df.where("doc_id = 2"), 100, 64).collect()} == {text}
 
 
+def test_texts_under_one_id_are_told_apart(spark):
+    """A text that occurs once stays, whatever happens to another text under its id."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(200)) for x in "abc")
+    rows = [(1, a), (1, b), (2, a), (2, b + " " + c), (3, c)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    once = spark.createDataFrame([(1, a), (1, b), (2, a)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.text) for r in suffix_dedup.dedup_texts(once).collect()) == [(1, ""), (1, b), (2, "")]
+    assert sorted((r.doc_id, r.text) for r in suffix_dedup.dedup_texts(df).collect()) == [(1, ""), (1, ""), (2, ""), (2, " "), (3, "")]
+    first = spark.createDataFrame([(2, a), (2, b), (1, a)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.text) for r in substring_dedup.dedup_texts(first).collect()) == [(1, a), (2, ""), (2, b)]
+    assert sorted((r.doc_id, r.text) for r in substring_dedup.dedup_texts(df).collect()) == [(1, a), (1, b), (2, ""), (2, c), (3, "")]
+    inside = spark.createDataFrame([(1, a), (1, a + " " + b)], "doc_id long, text string")
+    kept = sorted(r.text for r in substring_dedup.dedup_texts(inside).collect())
+    assert kept in ([a, b], ["", a + " " + b])
+
+
 def thue_morse(n, a, b):
     out = [a]
     while len(out) < n:
