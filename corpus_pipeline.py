@@ -1,18 +1,19 @@
 """A training corpus from raw documents: five stages, each written and read again.
 
 A stage takes (spark, docs, sf_dir) and returns the columns of documents; the
-last returns where each document is stored. Rows without doc_id can't be told
-apart by a stage's verdict: they pass the filters. Rows that share a doc_id
-share its verdict on toxicity and contamination; near-dedup and mixing tell
-them apart by their other columns.
+last returns where each document is stored. Texts that share a doc_id have a
+verdict each. Rows without doc_id can't be named by one: they pass the filters.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docquery.llm.decontamination import contamination
+from docquery.llm.identity import with_own_id
 from docquery.llm.mixing import label_quality, mixed
 from docquery.llm.near_dedup import near_duplicates
 from docquery.llm.sharding import sharded
@@ -23,14 +24,16 @@ from docquery.llm.toxicity import flagged
 SHARD_BYTES = 128 << 20
 
 
-def _without(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """docs less those whose doc_id has a verdict."""
-    return docs.join(verdicts.select("doc_id").where("doc_id is not null").distinct(), "doc_id", "left_anti").select(docs.columns)
+def _without(docs: DataFrame, judge: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """docs less the texts that `judge` names by doc_id."""
+    own = with_own_id(docs.where("doc_id is not null"))
+    gone = judge(own.drop("doc_id").withColumnRenamed("own id", "doc_id")).select(F.col("doc_id").alias("own id")).distinct()
+    return own.join(gone, "own id", "left_anti").select(docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier chain finds toxic go."""
-    return _without(docs, flagged(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    return _without(docs, lambda own: flagged(own, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +46,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents tiled with a benchmark item go."""
-    return _without(docs, contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
+    return _without(docs, lambda own: contamination(own, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,7 +67,7 @@ def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", toxicity), ("near_dedup", near_dedup), ("decontamination", decontamination), ("mixing", mixing), ("sharding", sharding)]
 
-#: The classifier is not expressible in SQL; tests/llm/test_pipeline.py holds the stages against brute-force versions on planted rows.
+#: The classifier is not expressible in SQL; tests/llm/test_pipeline.py holds each stage's verdicts on planted rows.
 ORACLE_SQL = None
 
 
