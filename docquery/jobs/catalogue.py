@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,42 +79,61 @@ def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 class Engine:
-    """What the answering queries share: the stored chunks, their points, and the hits of all questions, each made by the first query that asks."""
+    """What the answering queries share: the stored chunks, their points as a table and as a collection, and the hits of all questions, each made by the first query that asks."""
 
     def __init__(self, spark: SparkSession, sf_dir: str, k: int = PACK_K):
-        state = (sf_dir, file_state(_read(spark, sf_dir, "documents")))
+        self.spark, self.sf_dir, self.k = spark, sf_dir, k
+        self.state = (sf_dir, file_state(_read(spark, sf_dir, "documents")))
         self.documents = _documents(spark, sf_dir)
-        self.chunks = once(spark, "chunks", state, lambda: _chunks(spark, sf_dir))
-        self.points = once(spark, "points", state, lambda: indexed(embedded(self.chunks, HashEmbedder(HASHED), HASHED), self.documents)[0])
-        self.questions = once(spark, "questions", state, lambda: _questions(spark, sf_dir))
-        self.hits = once(spark, f"hits-{k}", state, lambda: top_k(searchable(self.points), self.questions, k))
-        self.root = lambda: once(spark, "repository", state, self._stored_root).first().root
-        self.bucketed_name = lambda: once(spark, "bucketed", state, self._bucketed_names).first().name
-        self.stored = answering.stored_chunks(self.chunks, self.documents)
-
-    def _stored_root(self) -> DataFrame:
-        spark = self.points.sparkSession
-        repository = VectorRepository(spark, fresh_path(spark, "repository"), HASHED)
-        repository.ensure()
-        repository.upsert(self.points)
-        return spark.createDataFrame([(repository.root,)], "root string")
 
+    def _once(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        return once(self.spark, name, self.state, make)
+
+    @cached_property
+    def chunks(self) -> DataFrame:
+        return self._once("chunks", lambda: _chunks(self.spark, self.sf_dir))
+
+    @cached_property
+    def stored(self) -> DataFrame:
+        return answering.stored_chunks(self.chunks, self.documents)
+
+    @cached_property
+    def points(self) -> DataFrame:
+        return self._once("points", lambda: indexed(embedded(self.chunks, HashEmbedder(HASHED), HASHED), self.documents)[0])
+
+    @cached_property
+    def questions(self) -> DataFrame:
+        return self._once("questions", lambda: _questions(self.spark, self.sf_dir))
+
+    @cached_property
+    def hits(self) -> DataFrame:
+        return self._once(f"hits-{self.k}", lambda: top_k(searchable(self.points), self.questions, self.k))
+
+    @cached_property
     def repository(self) -> VectorRepository:
         """The points as a stored collection."""
-        return VectorRepository(self.points.sparkSession, self.root(), HASHED)
 
-    def _bucketed_names(self) -> DataFrame:
-        spark = self.points.sparkSession
-        table = Buckets.fresh(spark, "stored_chunks", "chunk_db_id").write(self.stored)
-        return spark.createDataFrame([(table.name,)], "name string")
+        def root() -> DataFrame:
+            made = VectorRepository(self.spark, fresh_path(self.spark, "repository"), HASHED)
+            made.ensure()
+            made.upsert(self.points)
+            return self.spark.createDataFrame([(made.root,)], "root string")
+
+        return VectorRepository(self.spark, self._once("repository", root).first().root, HASHED)
 
+    @cached_property
     def bucketed(self) -> DataFrame:
         """The stored chunks as a table bucketed by their id."""
-        return self.points.sparkSession.table(self.bucketed_name())
+
+        def name() -> DataFrame:
+            table = Buckets.fresh(self.spark, "stored_chunks", "chunk_db_id").write(self.stored)
+            return self.spark.createDataFrame([(table.name,)], "name string")
+
+        return self.spark.table(self._once("bucketed", name).first().name)
 
     def views(self) -> None:
         """SQL functions, and views of the stored tables and hits."""
-        sql.register(self.points.sparkSession)
+        sql.register(self.spark)
         sql.views({"documents": self.documents, "chunks": self.chunks, "stored": self.stored, "points": searchable(self.points), "questions": self.questions, "hits": self.hits})
 
     def found(self) -> DataFrame:
@@ -271,7 +293,7 @@ def chunk_search(spark, sf_dir):
 
 def stored_search(spark, sf_dir):
     engine = Engine(spark, sf_dir, K)
-    return engine.repository().search(engine.questions, K).select("query_id", "rank", "point_id", F.round("score", 6).alias("score"), "payload.chunk_id", "payload.document_name", "error_message")
+    return engine.repository.search(engine.questions, K).select("query_id", "rank", "point_id", F.round("score", 6).alias("score"), "payload.chunk_id", "payload.document_name", "error_message")
 
 
 def repository_upsert(spark, sf_dir):
@@ -294,7 +316,7 @@ def hydrate(spark, sf_dir):
 
 def hydrate_bucketed(spark, sf_dir):
     engine = Engine(spark, sf_dir)
-    return answering.hydrated_by_id(engine.hits, engine.bucketed()).select("query_id", "chunk_db_id", "document_id", "document_name", "section", "page_start", "page_end", F.length("text").alias("chars"))
+    return answering.hydrated_by_id(engine.hits, engine.bucketed).select("query_id", "chunk_db_id", "document_id", "document_name", "section", "page_start", "page_end", F.length("text").alias("chars"))
 
 
 def sql_text(spark, sf_dir):
@@ -404,7 +426,7 @@ def _served(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     docs = _read(spark, sf_dir, "documents").where(F.col("doc_id") % EVERY == 0)
     asked_for = docs.select(F.col("doc_id").alias("query_id"), (F.col("doc_id") % 3 + 1).alias("workspace_id"), F.col("text").alias("question"))
     known = _read(spark, sf_dir, "region").where("r_regionkey < 2").select((F.col("r_regionkey").cast("long") + 1).alias("id"))
-    return Service(engine.repository(), engine.stored, known, HashEmbedder(HASHED), Moody(), PACK_K).answer(asked_for)
+    return Service(engine.repository, engine.stored, known, HashEmbedder(HASHED), Moody(), PACK_K).answer(asked_for)
 
 
 def served_answers(spark, sf_dir):
@@ -447,7 +469,7 @@ def reconcile_stores(spark, sf_dir):
     chunks = engine.chunks.where((at % 7 > 0) | (F.col("chunk_index") > 0)).withColumn("copy", F.explode(F.sequence(F.lit(0), F.when((at % 5 == 0) & (F.col("chunk_index") == 1), 1).otherwise(0))))
     place, of = F.col("payload.chunk_index"), F.col("payload.document_id")
     changed = F.when((of % 19 == 0) & (place == 0), F.concat(F.lit("other "), F.col("payload.chunk_id"))).otherwise(F.col("payload.chunk_id"))
-    points = engine.repository().read().where((of % 11 > 0) | (place > 0)).withColumn("payload", F.col("payload").withField("chunk_id", changed))
+    points = engine.repository.read().where((of % 11 > 0) | (place > 0)).withColumn("payload", F.col("payload").withField("chunk_id", changed))
     return reconciled(documents, chunks, points.union(points.where((of % 23 == 0) & (place == 0))))
 
 
@@ -465,7 +487,7 @@ def eval_file(spark, sf_dir):
     path = fresh_path(spark, "golden")
     text.join(first, "expected_document_id").repartitionByRange(4, "expected_document_id").sortWithinPartitions("expected_document_id").write.json(path)
     cases = evaluation.numbered(read_cases(spark, path))
-    hits = engine.repository().search(HashEmbedder(HASHED).queries(cases, "query"), GOLDEN_K)
+    hits = engine.repository.search(HashEmbedder(HASHED).queries(cases, "query"), GOLDEN_K)
     ranks = evaluation.case_ranks(cases, hits.select("query_id", "rank", "payload.chunk_id"))
     return ranks.select("query_id", "expected_document_id", "expected_chunk_id", "relevant_rank")
 
@@ -483,6 +505,9 @@ def health(spark, sf_dir):
     return each.unionByName(each.agg(F.lit("all").alias("store"), F.bool_and("ok").alias("ok")))
 
 
+#: What several queries share, in the order in which it is made; a query that comes later reads it.
+SHARED = {"chunks": lambda e: e.chunks, "points": lambda e: e.points, "questions": lambda e: e.questions, "hits": lambda e: e.hits, "repository": lambda e: e.repository.cells()}
+
 QUERIES = {
     f.__name__.removesuffix("_query"): f
     for f in (route_files, doc_checksum, md_elements, md_title, split_text, md_chunks, md_chunk_ids, page_chunks_query, chunk_stats, ingest_status, mixed_ingest, dup_documents, shared_chunk_ids,
