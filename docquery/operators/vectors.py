@@ -16,8 +16,8 @@ from docquery.functions.text import let, strip
 
 #: Hits per query; digits of a score in which ties are ties.
 TOP_K, DIGITS = 5, 12
-#: Points and queries that a task compares at most; parts of a workspace that is no larger, and points that are worth a part; scores held at once.
-SPLIT_POINTS, SPLIT_QUERIES, PARTS, FEW_POINTS, SCORES = 50_000, 4096, 16, 4096, 1 << 21
+#: Bytes of points, and queries, that a task compares at most; points of a part where their bytes are not known; scores held at once.
+SPLIT_BYTES, SPLIT_QUERIES, SPLIT_POINTS, SCORES = 64 << 20, 4096, 50_000, 1 << 21
 BLOCK_HITS = "query_id long, workspace_id long, point_id long, score double, tied double"
 
 
@@ -147,25 +147,26 @@ def ranked(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", rank).where(F.col("rank") <= k).drop("tied")
 
 
-def top_k(points: DataFrame, queries: DataFrame, k: int = TOP_K, split_points: int = SPLIT_POINTS, split_queries: int = SPLIT_QUERIES) -> DataFrame:
+def top_k(points: DataFrame, queries: DataFrame, k: int = TOP_K, split_points: int | None = None, split_queries: int = SPLIT_QUERIES) -> DataFrame:
     """query_id, workspace_id, point_id, score, rank: the k points of the query's workspace with the largest inner product (unit vectors: cosine).
 
     points (point_id, workspace_id, vector) and queries (query_id, workspace_id,
     vector); query_ids must not repeat. Scores equal to DIGITS digits tie, and
     ties go to the smaller point_id. Rows without id or workspace, and vectors
     that are null or hold what is no finite number, take no part; vectors meet
-    those of their own length. A workspace's points are dealt into parts by its
-    own size, and so are its queries; a pair of parts is one task's matrix
-    product, which hands on k hits of each query. Points and queries are read
-    twice (once without vectors, for the sizes).
+    those of their own length. A workspace's points are dealt into parts of
+    SPLIT_BYTES (or of split_points points), and its queries into parts of
+    split_queries; a pair of parts is one task's matrix product, which hands on
+    k hits of each query. Points are read twice, once for the sizes.
     """
     if k <= 0:
         raise ValueError("limit must be positive")
     held, wanted = points.where("point_id is not null and workspace_id is not null").where(finite("vector")), queries.where("query_id is not null and workspace_id is not null").where(finite("vector"))
     blocks = lambda n, size: F.ceil(n / size).cast("int")
     asked_of = queries.where("workspace_id is not null").groupBy("workspace_id").agg(blocks(F.count("*"), split_queries).alias("asked_parts"))
-    parts = F.greatest(blocks(F.count("*"), split_points), F.least(F.lit(PARTS), blocks(F.count("*"), FEW_POINTS))).alias("parts")
-    sizes = points.join(asked_of, "workspace_id", "left_semi").groupBy("workspace_id").agg(parts).join(asked_of, "workspace_id")
+    load, limit = (F.count("*"), split_points) if split_points else (F.sum(F.size("vector").cast("long") * 8), SPLIT_BYTES)
+    parts = F.greatest(blocks(load, limit), F.lit(1)).alias("parts")
+    sizes = held.join(asked_of, "workspace_id", "left_semi").groupBy("workspace_id").agg(parts).join(asked_of, "workspace_id")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     dealt = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
     width = F.size("vector").alias("width")
