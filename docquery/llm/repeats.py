@@ -43,7 +43,8 @@ from docquery.llm.storage import written
 
 #: Symbols of one long document that are worked on at a time, and its share of a 64-bit rank that holds a position.
 PIECE, POSITION_BITS = 1 << 22, 23
-BATCH_BYTES = 8 << 20
+#: Bytes of text whose runs, and windows whose ranks, are handed on at once.
+BATCH_BYTES, TOGETHER = 8 << 20, 1 << 19
 RUNS = "anchor long, class long, doc_id long, row long, at long, n int, copies int, sure boolean"
 RANKED = "left long, right long, doc_id long, row long, at long, sure boolean"
 
@@ -111,19 +112,26 @@ def find_runs(batches: Iterator[pd.DataFrame], rule: Rule) -> Iterator[pd.DataFr
 
 def rank_windows(batches: Iterator[pd.DataFrame], rule: Rule) -> Iterator[pd.DataFrame]:
     """Rank pairs (at the window's start, and where a second prefix ends with it) of the windows asked for."""
+
+    def frame(parts: list[tuple[np.ndarray, ...]]) -> pd.DataFrame:
+        left, right, doc, row, at, sure = (np.concatenate(x) for x in zip(*parts, strict=True))
+        return pd.DataFrame({"left": left.view(np.int64), "right": right.view(np.int64), "doc_id": doc, "row": row, "at": at, "sure": sure})
+
+    parts, held = [], 0
     for batch in batches:
-        for i, j in slices([len(t) if t else 1 for t in batch["text"]], BATCH_BYTES):
-            parts = []
-            for doc, row, text, asked in zip(batch["doc_id"][i:j], batch["row"][i:j], batch["text"][i:j], batch["asked"][i:j], strict=True):
-                ranks = rule.ranks(text)
-                for run in asked:
-                    at, n = run["at"], run["n"]
-                    if at + n + rule.length - rule.unit <= len(ranks):
-                        own = windows(ranks[at : at + n + rule.length - rule.unit], rule.half, rule.unit)
-                        parts.append((own[:n], own[rule.length - rule.half :], np.full(n, doc, np.int64), np.full(n, row, np.int64), np.arange(at, at + n), np.full(n, run["sure"])))
-            if parts:
-                left, right, doc, row, at, sure = (np.concatenate(x) for x in zip(*parts, strict=True))
-                yield pd.DataFrame({"left": left.view(np.int64), "right": right.view(np.int64), "doc_id": doc, "row": row, "at": at, "sure": sure})
+        for doc, row, text, asked in zip(batch["doc_id"], batch["row"], batch["text"], batch["asked"], strict=True):
+            ranks = rule.ranks(text)
+            for run in asked:
+                at, n = run["at"], run["n"]
+                if at + n + rule.length - rule.unit <= len(ranks):
+                    own = windows(ranks[at : at + n + rule.length - rule.unit], rule.half, rule.unit)
+                    parts.append((own[:n].copy(), own[rule.length - rule.half :].copy(), np.full(n, doc, np.int64), np.full(n, row, np.int64), np.arange(at, at + n), np.full(n, run["sure"])))
+                    held += n
+                if held >= TOGETHER:
+                    yield frame(parts)
+                    parts, held = [], 0
+    if parts:
+        yield frame(parts)
 
 
 def merged(at: np.ndarray, n: np.ndarray, rule: Rule, size: int) -> tuple[np.ndarray, np.ndarray]:

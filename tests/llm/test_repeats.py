@@ -2,6 +2,7 @@ import hashlib
 import random
 from collections import Counter, defaultdict
 
+import pandas as pd
 import pytest
 
 from docquery.llm import repeats, substring_dedup, suffix_dedup
@@ -83,6 +84,17 @@ def test_pieces_of_long_texts_agree(monkeypatch):
     assert Counter(i for a, b in parts for i in range(a, b)) == Counter(range(4951))
 
 
+def test_ranked_windows_come_in_bounded_frames(monkeypatch):
+    rule = suffix_dedup.byte_rule(50, 16)
+    rows = [(i, 0, "".join(random.Random(i).choice("ab") for _ in range(900)), [{"at": 0, "n": 300, "sure": False}, {"at": 700, "n": 150, "sure": True}, {"at": 800, "n": 99, "sure": True}]) for i in range(7)]
+    batch = pd.DataFrame(rows, columns=["doc_id", "row", "text", "asked"])
+    whole = pd.concat(list(repeats.rank_windows(iter([batch]), rule)))
+    monkeypatch.setattr(repeats, "TOGETHER", 400)
+    parts = list(repeats.rank_windows(iter([batch.iloc[:3], batch.iloc[3:]]), rule))
+    assert len(parts) > 4 and max(map(len, parts)) <= 700 and len(whole) == 7 * 450
+    assert pd.concat(parts).reset_index(drop=True).equals(whole.reset_index(drop=True))
+
+
 def test_repeated_rows_and_texts(spark):
     text = " ".join(f"w{i}" for i in range(80))
     df = spark.createDataFrame([(1, text), (1, text), (2, text), (None, text)], "doc_id long, text string")
