@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docquery.functions.text import LINE_END, SPACES, WHITESPACE
+from docquery.functions.text import LINE_END, SPACE_MARKS, SPACES, WHITESPACE
 from docquery.operators.routing import CONTENT_TYPES, EXTENSIONS
 
 
@@ -24,6 +24,7 @@ FUNCTIONS = [
     ("dq_strip", "s STRING", "STRING", f"trim(BOTH {_text(SPACES)} FROM s)"),
     ("dq_collapse", "s STRING", "STRING", f"regexp_replace(trim(BOTH {_text(SPACES)} FROM s), {_text(WHITESPACE + '+')}, ' ')"),
     ("dq_lines", "s STRING", "ARRAY<STRING>", f"IF(element_at(split(s, {_text(LINE_END)}, -1), -1) = '', slice(split(s, {_text(LINE_END)}, -1), 1, size(split(s, {_text(LINE_END)}, -1)) - 1), split(s, {_text(LINE_END)}, -1))"),
+    ("dq_words", "s STRING", "ARRAY<STRING>", f"split(trim(BOTH {_text(SPACE_MARKS)} FROM regexp_replace(s, '[ \\n]+', ' ')), ' ')"),
     # names and types of files
     ("dq_basename", "s STRING", "STRING", f"regexp_extract(s, {_text(chr(40) + '[^/]*' + chr(41) + '/*')} || '\\u005cz', 1)"),
     ("dq_suffix", "s STRING", "STRING", r"lower(regexp_extract(dq_basename(s), '(?s)\\A.+(\\.[^.]+)\\z', 1))"),
