@@ -16,8 +16,12 @@ from docquery.functions.text import let, strip
 
 #: Hits per query; digits of a score in which ties are ties.
 TOP_K, DIGITS = 5, 12
-#: Bytes of points, and queries, that a task compares at most; points of a part where their bytes are not known; scores held at once.
-SPLIT_BYTES, SPLIT_QUERIES, SPLIT_POINTS, SCORES = 64 << 20, 4096, 50_000, 1 << 21
+#: Bytes of points, and of queries, that a task compares at most: whoever has many parts of queries moves the points as often.
+SPLIT_BYTES, ASKED_BYTES = 64 << 20, 16 << 20
+#: Points and queries of a part where their bytes are not known.
+SPLIT_POINTS, SPLIT_QUERIES = 50_000, 4096
+#: Scores held at once, and queries in a step; cells are compared together where at least this share of them is wanted.
+SCORES, QUERY_STEP, DENSE = 1 << 20, 512, 0.25
 BLOCK_HITS = "query_id long, workspace_id long, point_id long, score double, tied double"
 
 
@@ -117,37 +121,96 @@ def matrix(vectors: pa.ChunkedArray) -> np.ndarray:
     return flat.to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(len(vectors), -1)
 
 
-def best_of_block(asked: np.ndarray, ids: np.ndarray, points: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(query, ids, scores, rounded scores) of the k best points, by matrix products of bounded size."""
-    step = max(1, SCORES // max(1, len(ids)))
-    for begin in range(0, len(asked), step):
-        scores = asked[begin : begin + step] @ points.T
-        tied = np.round(scores, DIGITS)
-        for q in range(len(scores)):
-            near = np.arange(len(ids)) if len(ids) <= k else np.flatnonzero(tied[q] >= -np.partition(-tied[q], k - 1)[k - 1])
-            near = near[np.lexsort((ids[near], -tied[q, near]))[:k]]
-            yield begin + q, ids[near], scores[q, near], tied[q, near]
+def _steps(n: int, k: int, asked: int, starts: np.ndarray | None, wanted: np.ndarray | None, floor: np.ndarray) -> Iterator[tuple[np.ndarray, int, int]]:
+    """(queries, first point, last point + 1) to compare, of bounded size, small where a query has no k hits yet; with cells, none that no query wants."""
+
+    def cut(rows: np.ndarray, a: int, z: int) -> Iterator[tuple[np.ndarray, int, int]]:
+        most = max(1, SCORES // len(rows))
+        size = min(most, max(64, 4 * k)) if np.isneginf(floor[rows]).any() else most
+        while a < z:
+            yield rows, a, min(z, a + size)
+            a, size = a + size, min(most, 2 * size)
+
+    groups = [np.arange(i, min(asked, i + QUERY_STEP)) for i in range(0, asked, QUERY_STEP)]
+    if wanted is None:
+        for rows in groups:
+            yield from cut(rows, 0, n)
+    elif wanted.mean() < DENSE:  # cell by cell, for the queries that want it
+        for cell in range(len(starts) - 1):
+            rows = np.flatnonzero(wanted[:, cell])
+            for i in range(0, len(rows), QUERY_STEP):
+                yield from cut(rows[i : i + QUERY_STEP], starts[cell], starts[cell + 1])
+    else:  # several cells at once, for the queries that want any of them
+        for rows in groups:
+            for _, a, z in cut(rows, 0, n):
+                first, last = np.searchsorted(starts, a, "right") - 1, np.searchsorted(starts, z, "left")
+                some = rows[wanted[rows, first:last].any(axis=1)]
+                if len(some):
+                    yield some, a, z
+
+
+def best_of_block(asked: np.ndarray, ids: np.ndarray, points: np.ndarray, k: int, least: np.ndarray | None = None, starts: np.ndarray | None = None, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(query, place of the point, score, rounded score) of each query's k best points, as columns.
+
+    Products in single precision, whose error is bounded, tell which points may
+    be among the best so far; of those the scores are computed in double
+    precision. With `least`, rounded scores below it are no hits. With cells
+    (points starts[c] up to starts[c + 1]) a query meets at least those it wants
+    (queries x cells), and others only where that costs nothing.
+    """
+    length = np.linalg.norm(asked, axis=1)
+    reach = np.linalg.norm(points, axis=1).max(initial=0.0)
+    kind = np.float32 if max(reach, length.max(initial=0.0)) < 1e15 else np.float64
+    with np.errstate(over="ignore", invalid="ignore"):
+        slack = np.nan_to_num((points.shape[1] + 8) * np.finfo(kind).eps * length * reach, nan=np.inf) + 2 * 10.0**-DIGITS
+    rough, rough_asked = points.astype(kind), asked.astype(kind)
+    place, score, tied = np.full((len(asked), k), -1), np.zeros((len(asked), k)), np.full((len(asked), k), -np.inf)
+    floor = np.full(len(asked), -np.inf) if least is None else least.astype(np.float64)
+    some = max(1, (SCORES << 1) // max(1, points.shape[1]))
+    for rows, a, z in _steps(len(points), k, len(asked), starts, wanted, floor):
+        near = rough_asked[rows] @ rough[a:z].T >= (floor - slack)[rows, None].astype(kind)
+        found = np.flatnonzero(near)
+        for i in range(0, len(found), some):
+            r, at = np.divmod(found[i : i + some], z - a)
+            r, at = rows[r], at + a
+            s = np.einsum("ij,ij->i", asked[r], points[at])
+            t = np.round(s, DIGITS)
+            last = place[r, -1]
+            better = (t > tied[r, -1]) | (t == tied[r, -1]) & (ids[at] < ids[last]) & (last >= 0)
+            better &= t >= floor[r]
+            r, at, s, t = r[better], at[better], s[better], t[better]
+            if not len(r):
+                continue
+            # the hits so far of the queries that have better ones, and those
+            changed, of = np.unique(r, return_inverse=True)
+            of = np.concatenate([np.repeat(np.arange(len(changed)), k), of])
+            at, s, t = np.concatenate([place[changed].ravel(), at]), np.concatenate([score[changed].ravel(), s]), np.concatenate([tied[changed].ravel(), t])
+            order = np.lexsort((np.where(at < 0, 0, ids[at]), -t, of))
+            of, at, s, t = of[order], at[order], s[order], t[order]
+            rank = np.arange(len(of)) - np.searchsorted(of, np.arange(len(changed)))[of]
+            kept = rank < k
+            to = changed[of[kept]], rank[kept]
+            place[to], score[to], tied[to] = at[kept], s[kept], t[kept]
+            floor[changed] = np.maximum(floor[changed], tied[changed, -1])
+    query, rank = np.nonzero(place >= 0)
+    return query, place[query, rank], score[query, rank], tied[query, rank]
 
 
 def _block_hits(points: pa.Table, asked: pa.Table, k: int) -> pa.Table:
-    columns: list[list[np.ndarray]] = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)], [np.zeros(0)]]
-    if len(points) and len(asked):
-        queries = asked["query_id"].to_numpy()
-        for q, ids, scores, tied in best_of_block(matrix(asked["asked"]), points["point_id"].to_numpy(), matrix(points["vector"]), k):
-            for column, part in zip(columns, (np.full(len(ids), queries[q]), ids, scores, tied), strict=True):
-                column.append(part)
-    query, ids, scores, tied = map(np.concatenate, columns)
-    space = asked["workspace_id"][0].as_py() if len(asked) else None
-    return pa.table({"query_id": query, "workspace_id": pa.array([space] * len(query), pa.int64()), "point_id": ids, "score": scores, "tied": tied})
-
-
-def ranked(found: DataFrame, k: int) -> DataFrame:
-    """The k best of the hits that blocks gave, with their rank."""
+    if not len(points) or not len(asked):
+        return pa.table({"query_id": pa.array([], pa.int64()), "workspace_id": pa.array([], pa.int64()), "point_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64()), "tied": pa.array([], pa.float64())})
+    ids = points["point_id"].to_numpy()
+    query, place, score, tied = best_of_block(matrix(asked["asked"]), ids, matrix(points["vector"]), k)
+    return pa.table({"query_id": asked["query_id"].to_numpy()[query], "workspace_id": pa.array([asked["workspace_id"][0].as_py()] * len(query), pa.int64()), "point_id": ids[place], "score": score, "tied": tied})
+
+
+def ranked(found: DataFrame, k: int, *kept: str) -> DataFrame:
+    """The k best of the hits that blocks gave, with their rank; the rounded score only where it is to be kept."""
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("tied"), "point_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).drop("tied")
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).drop(*{"tied"} - set(kept))
 
 
-def top_k(points: DataFrame, queries: DataFrame, k: int = TOP_K, split_points: int | None = None, split_queries: int = SPLIT_QUERIES) -> DataFrame:
+def top_k(points: DataFrame, queries: DataFrame, k: int = TOP_K, split_points: int | None = None, split_queries: int | None = None) -> DataFrame:
     """query_id, workspace_id, point_id, score, rank: the k points of the query's workspace with the largest inner product (unit vectors: cosine).
 
     points (point_id, workspace_id, vector) and queries (query_id, workspace_id,
@@ -156,16 +219,20 @@ def top_k(points: DataFrame, queries: DataFrame, k: int = TOP_K, split_points: i
     that are null or hold what is no finite number, take no part; vectors meet
     those of their own length. A workspace's points are dealt into parts of
     SPLIT_BYTES (or of split_points points), and its queries into parts of
-    split_queries; a pair of parts is one task's matrix product, which hands on
-    k hits of each query. Points are read twice, once for the sizes.
+    ASKED_BYTES (or of split_queries queries); a pair of parts is one task,
+    which hands on k hits of each query. Points are read twice, once for the
+    sizes.
     """
     if k <= 0:
         raise ValueError("limit must be positive")
     held, wanted = points.where("point_id is not null and workspace_id is not null").where(finite("vector")), queries.where("query_id is not null and workspace_id is not null").where(finite("vector"))
     blocks = lambda n, size: F.ceil(n / size).cast("int")
-    asked_of = queries.where("workspace_id is not null").groupBy("workspace_id").agg(blocks(F.count("*"), split_queries).alias("asked_parts"))
-    load, limit = (F.count("*"), split_points) if split_points else (F.sum(F.size("vector").cast("long") * 8), SPLIT_BYTES)
-    parts = F.greatest(blocks(load, limit), F.lit(1)).alias("parts")
+    bytes_of = F.sum(F.size("vector").cast("long") * 8)
+    load, limit = (F.count("*"), split_points) if split_points else (bytes_of, SPLIT_BYTES)
+    asked_load, asked_limit = (F.count("*"), split_queries) if split_queries else (bytes_of, ASKED_BYTES)
+    some = lambda n, size: F.greatest(blocks(n, size), F.lit(1))
+    asked_of = wanted.groupBy("workspace_id").agg(some(asked_load, asked_limit).alias("asked_parts"))
+    parts = some(load, limit).alias("parts")
     sizes = held.join(asked_of, "workspace_id", "left_semi").groupBy("workspace_id").agg(parts).join(asked_of, "workspace_id")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     dealt = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")

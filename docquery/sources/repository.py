@@ -6,13 +6,15 @@ partition each. The cell table says for each cell its centroid, how far its
 farthest and its nearest point lie from it, and how many there are.
 
 A search first compares the points of the cells nearest to each query that
-hold k points together. Its k-th best distance there bounds the rest: by the
+hold k points together. Its k-th best score there bounds the rest: by the
 triangle inequality no point of a cell is nearer to the query than the query's
 distance to the centroid less the cell's radius, nor than its nearest point's
 distance to the centroid less the query's. Only cells that may still hold a hit
 are read after that. The hits are those of comparing all points; how many cells
 are spared hangs on the points: clustered ones spare most, vectors without any
-structure none.
+structure none. Neighbouring cells come to a task together, and of each query
+only the numbers of the cells that it wants: what is moved and stored grows
+with the points and the queries, not with pairs of a query and a cell.
 
 A change writes new partitions and a new cell table, and then claims the next
 number of the log with one file; readers see the whole change or nothing, and
@@ -29,11 +31,11 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docquery.operators.indexing import payload_error, vector_error
-from docquery.operators.vectors import DIGITS, SPLIT_POINTS, SPLIT_QUERIES, TOP_K, best_of_block, latest, matrix, normalised, ranked
+from docquery.operators.vectors import ASKED_BYTES, DIGITS, SPLIT_BYTES, SPLIT_POINTS, SPLIT_QUERIES, TOP_K, best_of_block, latest, matrix, normalised, ranked
 from docquery.sources.scratch import claim, exists, written
 from docquery.sources.store import Conflict
 
@@ -46,6 +48,7 @@ CELL_POINTS, MOST_CELLS, SAMPLE, ROUNDS = 64, 1024, 32, 4
 SLACK, BROADCAST_CELLS = 1e-6, 1 << 20
 ROWS = ["workspace_id", "cell", "point_id", "vector", "reach", "payload"]
 HITS = "query_id long, workspace_id long, cell int, point_id long, score double, tied double"
+WANTED = "query_id long, workspace_id long, group long, cells array<int>"
 
 
 def distances(asked: np.ndarray, centroids: np.ndarray) -> np.ndarray:
@@ -84,38 +87,47 @@ def _place(points: pa.Table, cells: pa.Table) -> pa.Table:
 
 
 def _cells_to_read(asked: pa.Table, cells: pa.Table, k: int, first: bool) -> pa.Table:
-    """(query, cell) of the nearest cells that hold k points, or of those that may hold points within each query's bound; of a part of a workspace's queries."""
-    out_q, out_c = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    if len(asked) and len(cells):
-        numbers, counts, radius, nearest = (cells[c].to_numpy() for c in ("cell", "points", "radius", "nearest"))
-        centroids, queries, ids = matrix(cells["centroid"]), matrix(asked["vector"]), asked["query_id"].to_numpy()
-        bounds = np.zeros(len(ids)) if first else asked["bound"].to_numpy()
-        for i in range(0, len(ids), 1024):
-            far = distances(queries[i : i + 1024], centroids)
-            if first:
-                order = np.argsort(far, axis=1, kind="stable")
-                taken = np.zeros(far.shape, bool)
-                np.put_along_axis(taken, order, np.cumsum(counts[order], axis=1) - counts[order] < k, axis=1)
-            else:
-                taken = np.maximum(far - radius, nearest - far) <= bounds[i : i + 1024, None] + SLACK
-            q, c = np.nonzero(taken)
-            out_q.append(ids[i + q])
-            out_c.append(numbers[c])
-    q = np.concatenate(out_q)
-    space = asked["workspace_id"][0].as_py() if len(asked) else None
-    return pa.table({"query_id": q, "workspace_id": pa.array([space] * len(q), pa.int64()), "cell": pa.array(np.concatenate(out_c), pa.int32())})
-
-
-def _cell_hits(points: pa.Table, asked: pa.Table, k: int) -> pa.Table:
-    columns: list[list[np.ndarray]] = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)], [np.zeros(0)]]
-    if len(points) and len(asked):
-        queries = asked["query_id"].to_numpy()
-        for q, ids, scores, tied in best_of_block(matrix(asked["vector"]), points["point_id"].to_numpy(), matrix(points["vector"]), k):
-            for column, part in zip(columns, (np.full(len(ids), queries[q]), ids, scores, tied), strict=True):
-                column.append(part)
-    query, ids, scores, tied = map(np.concatenate, columns)
-    first = lambda name, kind: pa.array([asked[name][0].as_py() if len(query) else None] * len(query), kind)
-    return pa.table({"query_id": query, "workspace_id": first("workspace_id", pa.int64()), "cell": first("cell", pa.int32()), "point_id": ids, "score": scores, "tied": tied})
+    """(query, group, its cells) of the nearest cells that hold k points, or of those that may hold points within each query's bound; of a part of a workspace's queries."""
+    schema = pa.schema([("query_id", pa.int64()), ("workspace_id", pa.int64()), ("group", pa.int64()), ("cells", pa.list_(pa.int32()))])
+    if not len(asked) or not len(cells):
+        return schema.empty_table()
+    cells = cells.sort_by([("group", "ascending"), ("cell", "ascending")])
+    numbers, groups, counts, radius, nearest = (cells[c].to_numpy() for c in ("cell", "group", "points", "radius", "nearest"))
+    centroids, queries, ids = matrix(cells["centroid"]), matrix(asked["vector"]), asked["query_id"].to_numpy()
+    bounds = np.zeros(len(ids)) if first else asked["bound"].to_numpy()
+    out = []
+    for i in range(0, len(ids), 1024):
+        far = distances(queries[i : i + 1024], centroids)
+        if first:
+            order = np.argsort(far, axis=1, kind="stable")
+            taken = np.zeros(far.shape, bool)
+            np.put_along_axis(taken, order, np.cumsum(counts[order], axis=1) - counts[order] < k, axis=1)
+        else:
+            taken = np.maximum(far - radius, nearest - far) <= bounds[i : i + 1024, None] + SLACK
+        q, c = np.nonzero(taken)
+        # runs of one query and group are a row each
+        begins = np.flatnonzero(np.r_[True, (q[1:] != q[:-1]) | (groups[c[1:]] != groups[c[:-1]])]) if len(q) else np.zeros(0, np.int64)
+        lists = pa.ListArray.from_arrays(pa.array(np.r_[begins, len(q)], pa.int32()), pa.array(numbers[c], pa.int32()))
+        out.append(pa.table([pa.array(ids[i + q[begins]]), pa.array([asked["workspace_id"][0].as_py()] * len(begins), pa.int64()), pa.array(groups[c[begins]]), lists], schema=schema))
+    return pa.concat_tables(out)
+
+
+def _group_hits(points: pa.Table, asked: pa.Table, k: int) -> pa.Table:
+    """The k best of each query among the points of its cells, of a part of a group of cells."""
+    schema = pa.schema([("query_id", pa.int64()), ("workspace_id", pa.int64()), ("cell", pa.int32()), ("point_id", pa.int64()), ("score", pa.float64()), ("tied", pa.float64())])
+    if not len(points) or not len(asked):
+        return schema.empty_table()
+    points = points.sort_by("cell")
+    cell, ids = points["cell"].to_numpy(), points["point_id"].to_numpy()
+    held, starts = np.unique(cell, return_index=True)
+    lists = asked["cells"].combine_chunks()
+    own, of = lists.flatten().to_numpy(), np.repeat(np.arange(len(asked)), lists.value_lengths().to_numpy())
+    at = np.minimum(np.searchsorted(held, own), len(held) - 1)
+    there = held[at] == own  # a part of a group need not hold points of each cell
+    wanted = np.zeros((len(asked), len(held)), bool)
+    wanted[of[there], at[there]] = True
+    query, place, score, tied = best_of_block(matrix(asked["vector"]), ids, matrix(points["vector"]), k, asked["least"].to_numpy(), np.r_[starts, len(cell)], wanted)
+    return pa.table([pa.array(asked["query_id"].to_numpy()[query]), pa.array([asked["workspace_id"][0].as_py()] * len(query), pa.int64()), pa.array(cell[place]), pa.array(ids[place]), pa.array(score), pa.array(tied)], schema=schema)
 
 
 def _blocks(n: Column, size: int) -> Column:
@@ -236,24 +248,32 @@ class VectorRepository:
         if not claim(self.spark, f"{self.root}/log/{n:012d}.json", json.dumps({"n": n, "dimension": self.dimension, "cells": f"cells/{mark.hex}"})):
             raise Conflict(f"change {n} is taken")
 
-    def _hits(self, asked: DataFrame, pairs: DataFrame, cells: DataFrame, k: int) -> DataFrame:
-        """The k best of each query in each of its cells; pairs (query_id, workspace_id, cell)."""
-        count = lambda name, size: _blocks(F.count("*"), size).alias(name)
-        load = pairs.groupBy("workspace_id", "cell").agg(count("asked_parts", SPLIT_QUERIES))
-        sizes = load.join(cells, ["workspace_id", "cell"]).select("workspace_id", "cell", "generation", "asked_parts", _blocks(F.col("points"), SPLIT_POINTS).alias("parts"))
-        sizes = written(sizes, "cells-read")
-        keys = ["workspace_id", "cell", "part", "asked_part"]
-        both = ["workspace_id", "cell"]
-        left = self._stored(sizes, ["point_id", "vector"]).join(sizes.drop("generation"), both).select(*both, _dealt("point_id", "parts").alias("part"), _every("asked_parts").alias("asked_part"), "point_id", "vector")
-        right = pairs.join(asked.select("query_id", "vector"), "query_id").join(sizes.drop("generation"), both).select(*both, _every("parts").alias("part"), _dealt("query_id", "asked_parts").alias("asked_part"), "query_id", "vector")
-        return left.groupBy(*keys).cogroup(_apart(right).groupBy(*keys)).applyInArrow(functools.partial(_cell_hits, k=k), HITS)
-
-    def _pairs(self, asked: DataFrame, cells: DataFrame, k: int, first: bool) -> DataFrame:
+    def _grouped(self, cells: DataFrame) -> DataFrame:
+        """cells with their group, neighbours by number that hold the points of about one task, and the parts that a group is dealt into where a cell holds more."""
+        size = max(1, SPLIT_BYTES // (8 * self.dimension))
+        before = F.sum("points").over(Window.partitionBy("workspace_id").orderBy("cell")) - F.col("points")
+        grouped = cells.withColumn("group", F.floor(before / size))
+        return grouped.withColumn("parts", _blocks(F.sum("points").over(Window.partitionBy("workspace_id", "group")), 2 * size))
+
+    def _hits(self, asked: DataFrame, wanted: DataFrame, cells: DataFrame, k: int) -> DataFrame:
+        """The k best of each query (query_id, vector, least) in each group of cells; wanted (query_id, workspace_id, group, cells), cells as _grouped() gives them."""
+        both = ["workspace_id", "group"]
+        load = wanted.groupBy(*both).agg(_blocks(F.count("*"), max(SPLIT_QUERIES, ASKED_BYTES // (8 * self.dimension))).alias("asked_parts"))
+        read = wanted.select("workspace_id", F.explode("cells").alias("cell")).distinct()
+        sizes = written(cells.join(read, ["workspace_id", "cell"], "left_semi").join(load, both).select("workspace_id", "cell", "generation", "group", "parts", "asked_parts"), "cells-read")
+        keys = [*both, "part", "asked_part"]
+        left = self._stored(sizes, ["point_id", "vector"]).join(sizes.drop("generation"), ["workspace_id", "cell"]).select(*both, _dealt("point_id", "parts").alias("part"), _every("asked_parts").alias("asked_part"), "cell", "point_id", "vector")
+        asked_of = wanted.join(asked.select("query_id", "vector", "least"), "query_id").join(sizes.select(*both, "parts", "asked_parts").distinct(), both)
+        right = asked_of.select(*both, _every("parts").alias("part"), _dealt("query_id", "asked_parts").alias("asked_part"), "query_id", "vector", "least", "cells")
+        return left.groupBy(*keys).cogroup(_apart(right).groupBy(*keys)).applyInArrow(functools.partial(_group_hits, k=k), HITS)
+
+    def _wanted(self, asked: DataFrame, cells: DataFrame, k: int, first: bool) -> DataFrame:
+        """query_id, workspace_id, group and the numbers of the cells there that a query has to be compared with."""
         parts = asked.groupBy("workspace_id").agg(_blocks(F.count("*"), SPLIT_QUERIES).alias("parts"))
         left = asked.join(parts, "workspace_id").withColumn("part", _dealt("query_id", "parts"))
-        right = cells.join(parts, "workspace_id").withColumn("part", _every("parts"))
+        right = cells.drop("parts").join(parts, "workspace_id").withColumn("part", _every("parts"))
         keys = ["workspace_id", "part"]
-        found = left.groupBy(*keys).cogroup(_apart(right).groupBy(*keys)).applyInArrow(functools.partial(_cells_to_read, k=k, first=first), "query_id long, workspace_id long, cell int")
+        found = left.groupBy(*keys).cogroup(_apart(right).groupBy(*keys)).applyInArrow(functools.partial(_cells_to_read, k=k, first=first), WANTED)
         return written(found, "cells-to-read")
 
     def search(self, queries: DataFrame, k: int = TOP_K) -> DataFrame:
@@ -271,13 +291,13 @@ class VectorRepository:
             raise ValueError("limit must be greater than zero")
         usable = F.col("query_id").isNotNull() & (F.col("workspace_id") > 0) & vector_error("vector", self.dimension).isNull()
         asked = written(queries.where(usable).select("query_id", "workspace_id", normalised(F.col("vector")).alias("vector")).where("vector is not null"), "asked")
-        cells = self.cells()
-        first = self._pairs(asked, cells, k, True)
-        near = written(self._hits(asked, first, cells, k), "near")
-        last = ranked(near, k).where(F.col("rank") == k).select("query_id", (F.sqrt(F.greatest(2 - 2 * F.col("score"), F.lit(0.0))) + 10.0 ** (-DIGITS / 2)).alias("bound"))
-        bounded = asked.join(last, "query_id", "left").withColumn("bound", F.coalesce("bound", F.lit(float("inf"))))
-        rest = self._pairs(bounded, cells, k, False).join(first, ["query_id", "workspace_id", "cell"], "left_anti")
-        best = written(ranked(near.unionByName(self._hits(asked, rest, cells, k)), k), "hits")
+        cells, none = self._grouped(self.cells()), F.lit(float("-inf"))
+        first = self._wanted(asked, cells, k, True)
+        near = ranked(self._hits(asked.withColumn("least", none), first, cells, k), k, "tied").where(F.col("rank") == k)
+        last = near.select("query_id", (F.col("tied") - 2 * 10.0**-DIGITS).alias("least"), (F.sqrt(F.greatest(2 - 2 * F.col("score"), F.lit(0.0))) + 10.0 ** (-DIGITS / 2)).alias("bound"))
+        bounded = written(asked.join(last, "query_id", "left").withColumns({"least": F.coalesce("least", none), "bound": F.coalesce("bound", F.lit(float("inf")))}), "bounded")
+        rest = self._wanted(bounded, cells, k, False)
+        best = written(ranked(self._hits(bounded, rest, cells, k), k), "hits")
         held = self._stored(best.join(cells, ["workspace_id", "cell"]), ["point_id", "payload"]).drop("generation")
         hits = best.join(held, ["workspace_id", "cell", "point_id"]).withColumn("error_message", payload_error())
-        return hits.select("query_id", "workspace_id", "rank", "score", "point_id", "payload", "error_message"), first.unionByName(rest)
+        return hits.select("query_id", "workspace_id", "rank", "score", "point_id", "payload", "error_message"), first.unionByName(rest).select("query_id", "workspace_id", F.explode("cells").alias("cell")).distinct()
